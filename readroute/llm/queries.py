@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readroute.llm import frequent, percentiles
+from readroute.llm import canonical, frequent, percentiles
 from readroute.session import load
 
 PROBS = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -50,7 +50,26 @@ def p3_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequent.frequent_items(_raw_barcodes(spark, sf_dir), "cr", ["assay"], 0.005)
 
 
-QUERIES = {f.__name__: f for f in (p2_barcode, p2_group, p2_day, p3_found, p3_intervals)}
+def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for assay in ("gex", "atac"):
+        tags = load(spark, sf_dir, f"{assay}_tags").select("row_id", "cr")
+        found = canonical.to_canonical(tags, "cr", load(spark, sf_dir, f"whitelist_{assay}"), "barcode", keep=("row_id",))
+        found = found.withColumn("assay", F.lit(assay))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _canonical(spark, sf_dir).filter("entry is not null").select("assay", "row_id", F.col("entry").alias("barcode"))
+
+
+def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values without one closest entry, by how many entries were as close."""
+    return _canonical(spark, sf_dir).filter("entry is null").groupBy("assay", "cr", "ties", "suggestion").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+QUERIES = {f.__name__: f for f in (p2_barcode, p2_group, p2_day, p3_found, p3_intervals, p4_found, p4_unmatched)}
 
 
 def _percentile_sql(key: str, source: str) -> str:
@@ -58,7 +77,17 @@ def _percentile_sql(key: str, source: str) -> str:
     return f"SELECT {key}, count(length) AS n_values, {cols} FROM {source} WHERE length IS NOT NULL GROUP BY {key}"
 
 
+_CANONICAL_SQL = """
+WITH t AS (SELECT 'gex' AS assay, row_id, cr FROM gex_tags UNION ALL SELECT 'atac', row_id, cr FROM atac_tags),
+wl AS (SELECT 'gex' AS assay, barcode FROM whitelist_gex UNION ALL SELECT 'atac', barcode FROM whitelist_atac),
+odd AS (SELECT * FROM t WHERE cr IS NOT NULL AND NOT EXISTS (SELECT 1 FROM wl WHERE wl.assay = t.assay AND wl.barcode = t.cr)),
+words AS (SELECT DISTINCT assay, cr, upper(regexp_replace(cr, '[^A-Za-z]', '', 'g')) AS w FROM odd),
+near AS (SELECT words.assay, cr, barcode, levenshtein(w, barcode) AS d FROM words JOIN wl ON wl.assay = words.assay AND length(w) BETWEEN 14 AND 18 WHERE levenshtein(w, barcode) <= 2),
+best AS (SELECT assay, cr, min(barcode) AS barcode FROM (SELECT *, min(d) OVER (PARTITION BY assay, cr) AS m FROM near) WHERE d = m GROUP BY assay, cr HAVING count(*) = 1)
+"""
+
 ORACLES = {
+    "p4_found": _CANONICAL_SQL + "SELECT odd.assay, odd.row_id, best.barcode FROM odd JOIN best ON best.assay = odd.assay AND best.cr = odd.cr",
     "p2_barcode": _percentile_sql("barcode", "bam_summary"),
     "p2_group": _percentile_sql("grp", "bam_summary JOIN barcode_lookup USING (barcode)"),
     "p2_day": _percentile_sql("run_day", "(SELECT CAST(CAST(run_at AS DATE) AS VARCHAR) AS run_day, length FROM bam_summary)"),
