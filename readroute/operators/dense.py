@@ -53,10 +53,19 @@ class _Dense:
             self.lows[i] = np.pad(self.lows[i], (0, more), constant_values=low)
             self.highs[i] = np.pad(self.highs[i], (0, more), constant_values=high)
 
-    def add(self, keys: pa.Array, values: Sequence[pa.Array]) -> None:
-        local = keys.dictionary_encode("encode")
-        lookup = np.fromiter((self.codes.setdefault(k, len(self.codes)) for k in local.dictionary.to_pylist()), np.int64, len(local.dictionary))
-        codes = lookup[local.indices.to_numpy(zero_copy_only=False)]
+    def add(self, keys: Sequence[pa.Array], values: Sequence[pa.Array]) -> None:
+        combined, parts = np.zeros(len(keys[0]), np.int64), []
+        for k in keys:
+            local = k.dictionary_encode("encode")
+            parts.append(local.dictionary.to_pylist())
+            combined = combined * len(parts[-1]) + local.indices.to_numpy(zero_copy_only=False)
+        met, inverse = np.unique(combined, return_inverse=True)
+        names = []
+        for part in reversed(parts):
+            names.append([part[i] for i in met % len(part)])
+            met = met // len(part)
+        lookup = np.fromiter((self.codes.setdefault(k, len(self.codes)) for k in zip(*reversed(names))), np.int64, len(names[0]))
+        codes = lookup[inverse]
         self._grow()
         size = len(self.rows)
         self.rows += np.bincount(codes, minlength=size)
@@ -77,7 +86,7 @@ class _Dense:
         keys = list(self.codes)
         for a in range(0, len(keys), block):
             b = min(a + block, len(keys))
-            out = [pa.array(keys[a:b], schema.field(0).type), pa.array(self.rows[a:b])]
+            out = [*[pa.array(x, schema.field(i).type) for i, x in enumerate(zip(*keys[a:b]))], pa.array(self.rows[a:b])]
             for i in range(len(self.whole)):
                 none = self.seen[i][a:b] == 0
                 out.append(pa.array(self.seen[i][a:b]))
@@ -85,10 +94,10 @@ class _Dense:
             yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(out, schema)], schema=schema)
 
 
-def dense_totals(df: DataFrame, key: str, values: Sequence[str] = (), max_keys: int = 1 << 18, block: int = 1 << 14) -> DataFrame:
+def dense_totals(df: DataFrame, key: str | Sequence[str], values: Sequence[str] = (), max_keys: int = 1 << 18, block: int = 1 << 14) -> DataFrame:
     """Row count and count, sum, minimum and maximum of each value, per key.
 
-    Returns ``key, n_rows`` and for each value column ``v`` the columns
+    ``key`` is one column or several. Returns ``key..., n_rows`` and for each value column ``v`` the columns
     ``v_n, v_sum, v_min, v_max``. Null keys form a group of their own. Null
     values (and NaN) are left out of ``v_n`` and of the others, which are null
     for a key without any value. Booleans count as 0 and 1, whole numbers are
@@ -99,10 +108,14 @@ def dense_totals(df: DataFrame, key: str, values: Sequence[str] = (), max_keys:
     handed on and started anew, so memory does not grow with the number of
     keys, and no row is lost by it. ``block`` is the length of the array blocks.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     values = list(values)
+    width = len(keys)
+    if not 1 <= width <= 4:
+        raise ValueError("one to four key columns")  # their codes are packed into 64 bits
     kinds = [df.schema[v].dataType for v in values]
     whole = [isinstance(k, _WHOLE) for k in kinds]
-    fields = [T.StructField("k", df.schema[key].dataType), T.StructField("n", T.LongType())]
+    fields = [*[T.StructField(f"k{i}", df.schema[k].dataType) for i, k in enumerate(keys)], T.StructField("n", T.LongType())]
     for i, w in enumerate(whole):
         number = T.LongType() if w else T.DoubleType()
         fields += [T.StructField(f"c{i}", T.LongType()), T.StructField(f"s{i}", number), T.StructField(f"l{i}", number), T.StructField(f"h{i}", number)]
@@ -111,17 +124,17 @@ def dense_totals(df: DataFrame, key: str, values: Sequence[str] = (), max_keys:
         dense, schema = _Dense(whole), None
         for batch in batches:
             if schema is None:
-                schema = pa.schema([("k", batch.schema.field(0).type), ("n", pa.int64())] + [x for i, w in enumerate(whole) for x in ((f"c{i}", pa.int64()), *((f"{y}{i}", pa.int64() if w else pa.float64()) for y in "slh"))])
-            dense.add(batch.column(0), batch.columns[1:])
+                schema = pa.schema([*[(f"k{i}", batch.schema.field(i).type) for i in range(width)], ("n", pa.int64())] + [x for i, w in enumerate(whole) for x in ((f"c{i}", pa.int64()), *((f"{y}{i}", pa.int64() if w else pa.float64()) for y in "slh"))])
+            dense.add(batch.columns[:width], batch.columns[width:])
             if len(dense.codes) > max_keys:
                 yield from dense.blocks(schema, block)
                 dense = _Dense(whole)
         if schema is not None:
             yield from dense.blocks(schema, block)
 
-    cells = df.select(col(key).alias("k"), *[(col(v).cast("long") if w else col(v).cast("double")).alias(f"v{i}") for i, (v, w) in enumerate(zip(values, whole))])
+    cells = df.select(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[(col(v).cast("long") if w else col(v).cast("double")).alias(f"v{i}") for i, (v, w) in enumerate(zip(values, whole))])
     parts = cells.mapInArrow(reduce, T.StructType(fields))
     totals = [F.sum("n").alias("n_rows")]
     for i, v in enumerate(values):
         totals += [F.sum(f"c{i}").alias(f"{v}_n"), F.sum(f"s{i}").alias(f"{v}_sum"), F.min(f"l{i}").alias(f"{v}_min"), F.max(f"h{i}").alias(f"{v}_max")]
-    return parts.groupBy(F.col("k").alias(key)).agg(*totals)
+    return parts.groupBy(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)]).agg(*totals)

@@ -24,6 +24,12 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid.select("raw_id", F.col("record.rec_pos").cast("long").alias("rec_pos"), "record.header", "record.seq", "record.qual")
 
 
+def p5_barcode_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per barcode and run day, from which other periods are summed."""
+    rows = load(spark, sf_dir, "bam_summary").select("barcode", F.to_date("run_at").cast("string").alias("run_day"), "length", "is_mapped")
+    return dense_totals(rows, ["barcode", "run_day"], ["length", "is_mapped"]).select("barcode", "run_day", "n_rows", "length_n", "length_sum", "length_min", "length_max", F.col("is_mapped_sum").alias("n_mapped"))
+
+
 def p5_barcode_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_totals(load(spark, sf_dir, "bam_summary"), "barcode", ["length", "is_mapped"]).select("barcode", "n_rows", "length_n", "length_sum", "length_min", "length_max", "is_mapped_n", F.col("is_mapped_sum").alias("n_mapped"))
 
@@ -33,7 +39,7 @@ def p5_cb_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_totals(tags, "cb", ["has_ub", "umi_length"]).select("cb", "n_rows", F.col("has_ub_sum").alias("n_ub"), "umi_length_n", "umi_length_sum", "umi_length_min", "umi_length_max")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_records, p5_barcode_totals, p5_cb_totals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_records, p5_barcode_days, p5_barcode_totals, p5_cb_totals)}
 
 # A field in DuckDB's syntax; blanks are those of Unicode.
 _BLANK = r"\t-\r \x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -56,6 +62,11 @@ records AS (
 ORACLES = {
     "p1_found": _PARSED + "SELECT raw_id FROM records WHERE NOT (fits AND length(seq) = length(qual))",
     "p1_records": _PARSED + "SELECT raw_id, CAST(rec_pos AS BIGINT) AS rec_pos, header, seq, qual FROM records WHERE fits AND length(seq) = length(qual)",
+    "p5_barcode_days": """
+SELECT barcode, CAST(CAST(run_at AS DATE) AS VARCHAR) AS run_day, count(*) AS n_rows, count(length) AS length_n,
+       CAST(sum(length) AS BIGINT) AS length_sum, CAST(min(length) AS BIGINT) AS length_min,
+       CAST(max(length) AS BIGINT) AS length_max, CAST(sum(CAST(is_mapped AS BIGINT)) AS BIGINT) AS n_mapped
+FROM bam_summary GROUP BY ALL""",
     "p5_barcode_totals": """
 SELECT barcode, count(*) AS n_rows, count(length) AS length_n, CAST(sum(length) AS BIGINT) AS length_sum,
        CAST(min(length) AS BIGINT) AS length_min, CAST(max(length) AS BIGINT) AS length_max,
