@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readroute.llm import canonical, frequent, percentiles
-from readroute.session import load
+from readroute.llm import canonical, components, distinct, frequent, percentiles
+from readroute.session import cut, load
 
 PROBS = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -19,6 +19,22 @@ def _rounded(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, "n_values", *[F.round(c, 6).alias(c) for c in df.columns if c not in (*keys, "n_values")])
 
 
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Barcodes, cell groups and run days from one pass over the rows.
+
+    The partial of (barcode, run day) is made once; the coarser ones merge it.
+    """
+    fine = cut(percentiles.partial(_lengths(spark, sf_dir), ["barcode", "run_day"], "length"))
+    lookup = load(spark, sf_dir, "barcode_lookup").select("barcode", "grp")
+
+    def named(kind: str, name: F.Column, rows: DataFrame) -> DataFrame:
+        return rows.select(F.struct(F.lit(kind).alias("kind"), name.alias("name")).alias("g"), "value", "n")
+
+    grouped = fine.withColumn("barcode", F.col("g.barcode")).join(lookup, "barcode")
+    parts = percentiles.merge(named("barcode", F.col("g.barcode"), fine), named("day", F.col("g.run_day"), fine), named("group", F.col("grp"), grouped))
+    return _rounded(percentiles.percentiles(parts, PROBS), "kind", "name")
+
+
 def p2_barcode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(percentiles.percentiles(percentiles.partial(_lengths(spark, sf_dir), ["barcode"], "length"), PROBS), "barcode")
 
@@ -69,12 +85,42 @@ def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _canonical(spark, sf_dir).filter("entry is null").groupBy("assay", "cr", "ties", "suggestion").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p2_barcode, p2_group, p2_day, p3_found, p3_intervals, p4_found, p4_unmatched)}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = components.connected_components(load(spark, sf_dir, "umi_pairs"), "left_id", "right_id")
+    rows = load(spark, sf_dir, "gex_tags").select("row_id")
+    return rows.join(groups, F.col("row_id") == F.col("node")).select("row_id", F.col("component").alias("group_id"))
+
+
+def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different ub per run day, cb, cell group, pair of groups, and in all groups.
+
+    One pass makes the sketches of days and cb; all others are merged from them.
+    """
+    tags = load(spark, sf_dir, "gex_tags").select("cb", "ub", F.to_date("run_at").cast("string").alias("run_day"))
+    parts = F.array(F.struct(F.lit("day").alias("kind"), F.col("run_day").alias("name")), F.struct(F.lit("cb").alias("kind"), F.col("cb").alias("name")))
+    keyed = tags.select("ub", F.inline(parts)).filter("name is not null")
+    fine = cut(distinct.sketch(keyed, ["kind", "name"], "ub"))
+    lookup = load(spark, sf_dir, "barcode_lookup").select(F.col("barcode").alias("name"), "grp")
+    in_groups = fine.filter("kind = 'cb'").join(lookup, "name").select(F.lit("group").alias("kind"), F.col("grp").alias("name"), "registers")
+    groups = cut(distinct.merge(in_groups, ["kind", "name"]))
+    # One row a group and partner: the cell groups are a fixed, short list.
+    names = groups.select(F.lit(1).alias("one"), F.col("name").alias("partner"))
+    pairs = groups.withColumn("one", F.lit(1)).join(F.broadcast(names), "one").filter("name <> partner")
+    pairs = pairs.select(F.lit("union").alias("kind"), F.concat_ws("+", F.least("name", "partner"), F.greatest("name", "partner")).alias("name"), "registers")
+    whole = groups.select(F.lit("union").alias("kind"), F.lit("all groups").alias("name"), "registers")
+    unions = distinct.merge(pairs.unionByName(whole), ["kind", "name"])
+    return distinct.estimate(fine.unionByName(groups).unionByName(unions))
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_barcode, p2_group, p2_day, p3_found, p3_intervals, p4_found, p4_unmatched, p6_found, p7_counts)}
+
+
+_DAYS = "(SELECT CAST(CAST(run_at AS DATE) AS VARCHAR) AS run_day, length FROM bam_summary)"
 
 
-def _percentile_sql(key: str, source: str) -> str:
+def _percentile_sql(key: str, source: str, by: str | None = None) -> str:
     cols = ", ".join(f"round(quantile_cont(CAST(length AS DOUBLE), {q}), 6) AS p{round(100 * q)}" for q in PROBS)
-    return f"SELECT {key}, count(length) AS n_values, {cols} FROM {source} WHERE length IS NOT NULL GROUP BY {key}"
+    return f"SELECT {key}, count(length) AS n_values, {cols} FROM {source} WHERE length IS NOT NULL GROUP BY {by or key}"
 
 
 _CANONICAL_SQL = """
@@ -87,10 +133,19 @@ best AS (SELECT assay, cr, min(barcode) AS barcode FROM (SELECT *, min(d) OVER (
 """
 
 ORACLES = {
+    "p6_found": """
+WITH RECURSIVE e AS (SELECT left_id AS u, right_id AS v FROM umi_pairs WHERE left_id <> right_id
+                     UNION SELECT right_id, left_id FROM umi_pairs WHERE left_id <> right_id),
+reach(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM reach r JOIN e ON e.u = r.v)
+SELECT row_id, least(row_id, min(v)) AS group_id FROM gex_tags JOIN reach ON u = row_id GROUP BY row_id""",
     "p4_found": _CANONICAL_SQL + "SELECT odd.assay, odd.row_id, best.barcode FROM odd JOIN best ON best.assay = odd.assay AND best.cr = odd.cr",
+    "p2_percentiles": " UNION ALL ".join(
+        _percentile_sql(f"'{kind}' AS kind, {name} AS name", source, name)
+        for kind, name, source in (("barcode", "barcode", "bam_summary"), ("group", "grp", "bam_summary JOIN barcode_lookup USING (barcode)"), ("day", "run_day", _DAYS))
+    ),
     "p2_barcode": _percentile_sql("barcode", "bam_summary"),
     "p2_group": _percentile_sql("grp", "bam_summary JOIN barcode_lookup USING (barcode)"),
-    "p2_day": _percentile_sql("run_day", "(SELECT CAST(CAST(run_at AS DATE) AS VARCHAR) AS run_day, length FROM bam_summary)"),
+    "p2_day": _percentile_sql("run_day", _DAYS),
     "p3_found": """
 WITH t AS (SELECT 'gex' AS assay, cr FROM gex_tags UNION ALL SELECT 'atac', cr FROM atac_tags)
 SELECT assay, cr FROM t WHERE cr IS NOT NULL GROUP BY assay, cr
