@@ -46,5 +46,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def unique(stem: str) -> str:
-    return f"{stem}_{uuid.uuid4().hex[:12]}"
+class Scratch:
+    """Tables in the shared checkpoint folder, for loops.
+
+    Unlike a checkpointed frame, a table read back carries no constraints of
+    the plan that made it, which in a loop grow without end. All tables are
+    deleted on leaving; results that have to outlive it are cut() before.
+    """
+
+    def __init__(self, spark: SparkSession):
+        use_checkpoints(spark)
+        self.spark = spark
+        self.root = spark.sparkContext._jsc.sc().getCheckpointDir().get() + "/scratch-" + uuid.uuid4().hex
+        self.made = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.root}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
