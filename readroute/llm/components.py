@@ -5,8 +5,8 @@ neighbours, follows these pointers to their roots by pointer jumping (each jump
 doubles the distance covered, until none changes), and replaces the ends of all
 links by their roots. Links that became loops or repeats vanish, and at least
 half of the labels of every unfinished group with them, so the number of rounds
-is logarithmic in the largest group. Every round is written to the reliable
-checkpoint folder.
+is logarithmic in the largest group. Every jump and round is written to a table
+in the shared checkpoint folder.
 
 A record with very many links would make one join task carry them all. Keys
 holding more than their share of a join's rows are counted first; there can
@@ -15,10 +15,10 @@ only be few, and their labels are broadcast while all other keys are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readroute.session import col, cut
+from readroute.session import Scratch, col, cut
 
 
 def _lookup(rows: DataFrame, key: str, labels: DataFrame, out: str, hot_share: int) -> DataFrame:
@@ -47,30 +47,32 @@ def connected_components(pairs: DataFrame, left: str, right: str, hot_share: int
     matter; without links the result is empty. Ids may be of any ordered type;
     other columns of ``pairs`` are ignored.
     """
-    a, b = col(left), col(right)
+    with Scratch(pairs.sparkSession) as scratch:
+        labels = _labels(pairs, col(left), col(right), scratch, hot_share, max_rounds)
+        return cut(labels.select("node", F.col("root").alias("component")))
+
+
+def _labels(pairs: DataFrame, a: Column, b: Column, scratch: Scratch, hot_share: int, max_rounds: int) -> DataFrame:
     links = pairs.filter(a.isNotNull() & b.isNotNull() & (a != b))
-    links = cut(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
+    links = scratch.write(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
     labels = None
     for _ in range(max_rounds):
         if links.isEmpty():
-            break
+            return links.select(F.col("u").alias("node"), F.col("u").alias("root")) if labels is None else labels
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        roots = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root")))
+        roots = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
+        roots = scratch.write(roots.select("node", F.least("node", "m").alias("root")))
         while True:
-            jumped = cut(_lookup(roots, "root", roots, "far", hot_share))
+            jumped = scratch.write(_lookup(roots, "root", roots, "far", hot_share))
             moved = not jumped.filter("far <> root").isEmpty()
             roots = jumped.select("node", F.col("far").alias("root"))
             if not moved:
                 break
-        at_u = _lookup(links, "u", roots, "ru", hot_share)
-        ends = _lookup(cut(at_u), "v", roots, "rv", hot_share).filter("ru <> rv")
-        links = cut(ends.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+        at_u = scratch.write(_lookup(links, "u", roots, "ru", hot_share))
+        ends = _lookup(at_u, "v", roots, "rv", hot_share).filter("ru <> rv")
+        links = scratch.write(ends.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
         if labels is None:
             labels = roots
         else:
-            labels = cut(_lookup(labels, "root", roots, "far", hot_share).select("node", F.col("far").alias("root")))
-    else:
-        raise RuntimeError(f"labels still change after {max_rounds} rounds")
-    if labels is None:
-        return links.select(F.col("u").alias("node"), F.col("u").alias("component"))
-    return labels.withColumnRenamed("root", "component")
+            labels = scratch.write(_lookup(labels, "root", roots, "far", hot_share).select("node", F.col("far").alias("root")))
+    raise RuntimeError(f"labels still change after {max_rounds} rounds")
