@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readroute.llm import canonical, components, distinct, frequent, percentiles
+from readroute.llm import bpe, canonical, components, distinct, frequent, mixing, percentiles
 from readroute.session import cut, load
 
 PROBS = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -112,7 +112,26 @@ def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.estimate(fine.unionByName(groups).unionByName(unions))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_barcode, p2_group, p2_day, p3_found, p3_intervals, p4_found, p4_unmatched, p6_found, p7_counts)}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = mixing.sized(bpe.count_tokens(docs, "text"), "doc_id", "source", "n_tokens")
+    return rows, mixing.plan(rows, load(spark, sf_dir, "mix_targets"))
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(*_mixed(spark, sf_dir)).withColumnRenamed("size", "n_tokens")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, plans = _mixed(spark, sf_dir)
+    return mixing.shares(mixing.select(rows, plans), plans)
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_barcode, p2_group, p2_day, p3_found, p3_intervals, p4_found, p4_unmatched, p6_found, p7_counts, p8_ids, p9_selection, p9_shares)}
 
 
 _DAYS = "(SELECT CAST(CAST(run_at AS DATE) AS VARCHAR) AS run_day, length FROM bam_summary)"
