@@ -1,0 +1,208 @@
+"""Words and phrases of abusive, hateful and sexual language, as fixed values.
+
+Kept as plain lists. Names of groups of people stand here only because hate is
+recognised by what is said about a group; none is offensive by itself.
+"""
+
+# Insults that need nothing beside them.
+INSULTS = """
+arsehole asshole assholes bastard bastards bootlicker bootlickers cretin cretins cocksucker dickhead dickheads
+dipshit dirtbag douche douchebag dumbass dumbfuck fuckface fuckwit halfwit idiot idiots imbecile imbeciles jackass
+jerkoff knobhead lowlife moron morons motherfucker motherfuckers nitwit numbskull pinhead prick retard retarded retards
+scumbag scumbags shithead shitheads simpleton skank slut sluts slutty sonofabitch tosser twat twats wanker wankers whore whores
+faggot faggots nigger niggers kike kikes spic spics chink chinks tranny wetback wetbacks towelhead raghead untermensch subhuman subhumans
+""".split()
+
+# Nouns that insult when an adjective or an address goes with them.
+NOUNS = """
+bitch clown clowns cockroach cockroaches coward creep degenerate dimwit dirt disgrace dog donkey dope dunce dung embarrassment
+failure filth fool freak fraud garbage goon joke leech liar loser losers lunatic maggot maggots nobody parasite parasites pig pigs
+rat rats retard scum shit slob sleazeball snake swine thief trash turd vermin weasel weirdo worm wretch
+""".split()
+
+# Adjectives of contempt.
+ADJECTIVES = """
+braindead brain-dead brainless clueless contemptible cowardly degenerate despicable dirty disgusting dumb fat filthy foul gutless
+ignorant incompetent lazy lousy miserable nasty pathetic repulsive revolting rotten shitty slimy spineless stinking stupid ugly
+useless vile witless worthless wretched fucking goddamn damn damned sad sorry bloody
+""".split()
+
+# Groups of people.
+GROUPS = """
+immigrants immigrant foreigners foreigner refugees refugee migrants migrant asylum-seekers women woman gays gay lesbians lesbian queers
+homosexuals transgender trans transsexuals disabled cripples blacks black jews jew jewish muslims muslim arabs arab gypsies gypsy roma
+mexicans africans asians indians chinese turks poles russians americans europeans islanders natives peasants christians catholics hindus
+atheists believers religious poor poor-people old homeless elderly old-people southerners northerners easterners westerners villagers outsiders newcomers
+minorities feminists girls females whites white hill-folk folk unemployed beggars
+""".split()
+
+# What groups are called to take their humanity.
+DEHUMANIZERS = """
+animals apes bacteria cancer cockroaches cockroach criminals degenerates dirt disease filth filthy garbage inferior leeches liars lice locusts
+maggots monkeys parasites pest pests plague pigs rapists rats savages scum subhuman subhumans swarm thieves trash vermin virus weeds
+""".split()
+
+# Sexual words; explicit ones weigh more.
+EXPLICIT = """
+blowjob blowjobs boobs clit cock cocks cum cumming cumshot cunt dick dicks dildo deepthroat ejaculate erection fuck fucked fucking fucks
+gangbang handjob hardcore horny masturbate masturbating milf nipples nude nudes orgasm penis porn porno pussy rimjob slut threesome
+tits titties vagina xxx busty
+""".split()
+SENSUAL = """
+ankles ass bang banged banging bareback bed bend bench begged begging blow bra breasts climax come condom deeper deep dripping finger fingered
+fingering grope groped hard kinky knees kiss lick licked licking legs lingerie moan moaned moaning moans mouth naked panties ride riding
+rub scream screwed sexy shower spread stroke stroked stroking strip stripping suck sucked sucking sucks sweating throbbing thrust thrusting tongue
+topless undress underwear wet wife
+""".split()
+
+# Function words and others the phrases below are built of, so
+# that a passage spelt in digits throughout is restored as well.
+OTHERS = """
+a about again all allowed already am among an and another any anyone are around as ashamed at aunt away baby back be beat beating because
+before behind being belong better blood bleeding boat body bones born break breaking breed brothers burn burned but by cage cages came can car
+cell chance choke city clear clip codes come commit congratulations could country crawl crush cry cut dead death decent deserve
+deserves despises die dies different do dog door dont down drag dreamt dripping driven drop drown drowned drown earth end even ever every
+everybody excuse face family favour favor feed finds finger fingers finishes fire fish five floor follow for forever forget found free from front fun
+get gets getting girl go going gonna good got grave group guy guys had hang hanged happens hate have he head hear hell help her here hey him hire hole hope
+hospital hot house how human humans hunt hurt i if in inside into is it its job just keep kept kick kicked kill killed kills knife lab let life
+like little live loop lost loud love made make makes man me met might miss mommy more most mother must my myself neck need neighbour neighbor never
+next night nobody not nothing now of off on once one only open or other others our out over own oxygen parents parking pay people person pictures
+piece place plague please prison punch put rape raped raping refuses rights river rot rotten rule sack safe say scared school schools science screw
+second see seen send she shoot shot should shove show shut sick simple single sit skull slap slash slaughter sleep slit slowly smash so someone
+somebody son soon south stab stand stay still stop strangle street such teammate teeth tell than that the their them then they this
+those throat time to together tomorrow tonight too touch turned two typical under until up user very waiting want wanted wants waste
+watch we what wheelchair when while who whoever whole why will wipe wiped with work world would write wrote yes you your yours yourself yourselves
+reviewer whats raising rest spit somewhere beyond vanish exterminated exterminate deported deport banned eradicated gassed lynched
+""".split()
+
+# Words of other languages, without diacritics.
+FOREIGN = """
+hijo puta putas puto mierda imbecil cabron gilipollas maricon zorra idiota estupido vete infierno romper cara matar muerte extranjeros ratas echarlos
+inmigrantes basura polla cono follar desnuda culo tetas
+filho da merda babaca otario viado buceta foder caralho vagabunda estrangeiros praga desaparecer quebrar matar lixo imigrantes imbecil burro chupa gostosa
+arschloch dreckiges dreck verpiss dich fotze hure hurensohn wichser schlampe ficken fick geile sau schwanz auslander ungeziefer weggejagt umbringen
+bring dummer titten missgeburt abschaum juden
+connard connasse salope putain encule encules gueule ferme espece merde pauvre batard pute suce bite genoux casser baiser nique etrangers vermine rats dehors chatte
+nichons abruti cretin debile crever
+""".split()
+
+# Phrases of scripts written without spaces.
+UNSPACED = {
+    "insult": ["バカ野郎", "馬鹿野郎", "ばかやろう", "クズ野郎", "死ね", "くたばれ", "クソ野郎", "消え失せろ", "畜生め", "傻逼", "傻屄", "操你妈", "王八蛋", "去死", "废物", "병신", "개새끼", "씨발", "꺼져"],
+    "threat": ["殺すぞ", "殺してやる", "ぶっ殺", "杀了你", "弄死你", "죽여버", "죽일"],
+    "hate": ["外国人はゴミ", "外国人は出て行け", "追い出せ", "害虫だ", "ゴキブリだ", "劣等民族", "滚出中国", "쫓아내"],
+    "sexual": ["股を開け", "やらせろ", "裸になって", "おまんこ", "ちんこ", "ちんぽ", "フェラ", "中出し", "操我", "做爱", "鸡巴", "보지", "자지", "섹스하자"],
+}
+
+_ADJ = "(?:" + "|".join(ADJECTIVES) + ")"
+_NOUN = "(?:" + "|".join(NOUNS) + ")"
+_INS = "(?:" + "|".join(INSULTS) + ")"
+_GROUP = "(?:(?:the |those |these |all )?(?:" + "|".join(GROUPS) + ")(?: people| folk)?|people from \\S+(?: \\S+)?)"
+_DEHUM = "(?:" + "|".join(DEHUMANIZERS) + ")"
+_HURT = (
+    "(?:beat|break|burn|bury|choke|crush|cut|drag|drown|end|find|gut|hang|hit|hunt|hurt|kick|kill|knock|murder|punch|put|rape|rip|ruin|shoot"
+    "|slap|slash|slaughter|slit|smash|stab|strangle|snap|stomp|throw|torture|destroy|skin|make)"
+)
+_BODY = (
+    "(?:face|teeth|legs?|arms?|neck|throat|fingers?|bones?|skull|head|nose|jaw|knees?|ribs|house|car|family|kids|children|mother|wife|body|hands?|life|eyes?|guts|blood)"
+)
+_WHERE = "(?:hard|deep|deeper|hard and deep|all night(?: long)?|until (?:you|i|she|he|they) (?:come|scream|cum|beg)|in the shower|dripping wet|from behind|on the \\S+ bench|on (?:the|this|my|your) \\S*\\s?(?:bench|desk|bed|table|floor|couch)|while the others watch|panties|tonight)"
+_SEXVERB = "(?:fuck|fucks|fucked|bang|banged|ride|rides|rode|lick|licks|licked|finger|fingers|fingered|suck|sucks|sucked|suck off|sucks off|sucked off|screw|screwed|blow|eat out|grope|groped|stroke|stroked|taste|undress|spank|mount|touch)"
+_PERSON = "(?:you|me|her|him|them|us|(?:his|her|my|your|their) \\S+|two \\S+)"
+
+# Fixed values: (kind, weight, pattern over the restored words of a line).
+RULES = [
+    ("insult", 1.0, rf"\b{_INS}\b"),
+    ("insult", 1.0, rf"\b{_ADJ}(?:,? (?:and |little |old |lying |lazy |so-called |{_ADJ},? ?)*)?(?: |, ){_NOUN}\b"),
+    ("insult", 1.0, rf"\byou (?:are |re |absolute |complete |total |such )*(?:a |an |the )?(?:{_ADJ} |little |sad |sorry |old )+(?:{_NOUN}|excuse|human|man|woman|person|thing|creature)\b"),
+    ("insult", 1.0, rf"\byou (?:are |re )?(?:such )?(?:a |an )(?:complete |total |real |fat |dumb )?(?:{_NOUN})\b"),
+    ("insult", 1.0, rf"\byou {_NOUN}\b"),
+    ("insult", 1.0, r"\b(?:piece|pieces|pile|sack|bag|heap|lump) of (?:\S+ )?(?:shit|garbage|crap|trash|filth|dung|dirt|human waste)\b"),
+    ("insult", 1.0, r"\bwastes? of (?:oxygen|skin|air|breath|human)\b"),
+    ("insult", 1.0, r"\b(?:little|spineless|lowly|miserable) worm\b"),
+    ("insult", 1.0, r"\b(?:fuck|piss|bugger|sod|screw) (?:off|you|your|him|her|them all)\b(?! (?:in|on|from|until|hard|with|all))"),
+    ("insult", 1.0, r"\bshut (?:the (?:fuck|hell) up|your (?:\S+ )?(?:mouth|face|trap|hole))\b"),
+    ("insult", 1.0, rf"\b(?:shut up|go to hell|get lost|drop dead|rot in hell|burn in hell|screw you|eat shit)\b.*\b(?:{_ADJ}|{_NOUN}|you)\b"),
+    ("insult", 1.0, r"\b(?:go to hell|rot in hell|burn in hell|drop dead|eat shit)\b"),
+    ("insult", 1.0, r"\b(?:kill yourself|kys|hang yourself|neck yourself|end your life|bring dich)\b"),
+    ("insult", 1.0, r"\b(?:sad|sorry|pathetic|poor|miserable) excuse for an?\b"),
+    ("insult", 1.0, r"\bnobody (?:would|will|d) (?:ever )?miss\b.*\b(?:you|vanish|second|gone)\b"),
+    ("insult", 1.0, r"\bjust (?:vanish|disappear) already\b"),
+    ("insult", 1.0, r"\b(?:crawl back|go back) (?:into|to) the (?:hole|sewer|gutter)\b"),
+    ("insult", 1.0, r"\bcry to (?:your )?(?:mommy|mummy|mama)\b"),
+    ("insult", 1.0, r"\b(?:everybody|everyone|nobody|no one)(?: \S+){0,2} (?:despises|hates|loathes|can stand) (?:you|him|her)\b"),
+    ("insult", 1.0, r"\b(?:parents|mother|family)(?: \S+){0,3} ashamed (?:of|that)\b"),
+    ("insult", 1.0, r"\bbrains? of\b.*\b(?:thimble|pea|walnut)\b|\bmore (?:dignity|brains|sense|wit) than\b.*\b(?:you|whoever|scum)\b"),
+    ("insult", 1.0, rf"\bwhat an? (?:{_ADJ},? )+(?:\S+ )?(?:\S+ ){{0,5}}turned out\b"),
+    ("insult", 0.6, rf"\b{_ADJ}(?:,? and |, | ){_ADJ}\b"),
+    ("insult", 0.5, r"\bi am sick of (?:you|our|your|my|that|the|whoever|anyone|user\w*)\b"),
+    ("insult", 0.5, rf"\b{_ADJ} (?:work|job|code) (?:from|by) an?\b"),
+    ("insult", 0.5, r"\b(?:so called|so-called) \S+\b.*\b(?:joke|disgrace|clown|fraud)\b"),
+    ("insult", 0.4, r"\b(?:fuck|fucking|shit|bullshit|dumb|stupid)\b.*\b(?:you|your|reviewer|teammate|user\w*)\b"),
+    ("threat", 1.0, rf"\b(?:i|we|someone|somebody)(?: will| am going to| m going to| shall| gonna| am gonna| would| ll| swear i will| might| can| want to)?(?: \S+){{0,2}} {_HURT} (?:you|your (?:\S+ )?{_BODY}|every \S+ you have|him|her|his {_BODY}|her {_BODY}|their {_BODY})\b(?! (?:to|know|out|a|an|the|some|how|when|if|can|in the loop|see|why|what)\b)"),
+    ("threat", 1.0, r"\b(?:i|we) (?:will |am going to |gonna |ll |shall )?(?:put you in (?:a |the )?(?:wheelchair|hospital|grave|ground|coffin)|make (?:you|your \S+) (?:pay|suffer|bleed|regret|scream))\b"),
+    ("threat", 1.0, r"\b(?:finds?|found|fish(?:es)?)\b.*\bin the (?:river|canal|lake|ditch|woods|trunk)\b"),
+    ("threat", 1.0, r"\b(?:will be|lie|lying|end up) (?:bleeding|dead|buried)\b"),
+    ("threat", 1.0, r"\bbetter watch (?:the parking lot|your back|out tonight|your step)\b|\bwatch your back\b"),
+    ("threat", 1.0, r"\bhope (?:you|he|she|they|your|that|the|my|our|whoever|anyone|user\w*)(?: \S+){0,4} (?:die|dies|rot|rots|suffer|suffers|get hit|burn|burns|choke|chokes|get cancer)\b"),
+    ("threat", 0.6, r"\bshould be (?:scared|afraid)\b"),
+    ("threat", 0.6, r"\byou have until \S+\b"),
+    ("threat", 0.6, r"\bnobody will (?:hear|find) (?:it|you)\b"),
+    ("threat", 0.5, r"\b(?:cut|slit|break|smash|burn|crush|snap|bash) (?:his|her|your|their) (?:\S+ )?(?:" + _BODY[3:] + r"\b"),
+    ("threat", 1.0, r"\b(?:i|we) (?:know where you live|am coming for you|will find you)\b"),
+    ("threat", 1.0, r"\byou(?: are| re)? (?:dead|a dead (?:man|woman)) (?:meat|when|if|once|soon)\b|\bdead meat\b"),
+    ("hate", 1.0, rf"\b{_GROUP}(?: \S+){{0,3}} (?:are|is|were|be)(?: \S+){{0,2}} (?:an? )?{_DEHUM}\b"),
+    ("hate", 1.0, rf"\b{_GROUP} {_DEHUM},? every\b|\btypical {_GROUP}\b.*\b{_DEHUM}\b"),
+    ("hate", 1.0, rf"\b{_DEHUM}\b.*\bthat is what {_GROUP}\b"),
+    ("hate", 1.0, rf"\b{_GROUP}(?: \S+){{0,3}} (?:should|must|ought to|need to|have to|deserve to|belong)(?: all)?(?: \S+){{0,2}} (?:driven out|wiped out|wiped from|exterminated|deported|banned|gassed|shot|hanged|lynched|burn|burned|die|disappear|vanish|kept away|kept out|locked up|thrown out|cages?|killed|never have been let|go back|rot|drown|removed from|kicked out|sterilised|sterilized|kitchen)\b"),
+    ("hate", 1.0, rf"\b{_GROUP} (?:do not|dont|don t|should not|must not|never) deserve\b"),
+    ("hate", 1.0, rf"\b{_GROUP}(?: \S+){{0,3}} deserve (?:an? cage|every beating|to die|no rights|nothing|death|what they get)\b"),
+    ("hate", 1.0, rf"\b{_GROUP}(?: \S+){{0,4}} no place (?:among|in|here)\b"),
+    ("hate", 1.0, rf"\b(?:do not|don t|dont|never) (?:hire|trust|let in|serve|rent to|marry) {_GROUP}\b"),
+    ("hate", 1.0, rf"\bkeep {_GROUP} (?:out|away)\b"),
+    ("hate", 1.0, rf"\bsend {_GROUP}(?: all)? back\b"),
+    ("hate", 1.0, rf"\b(?:why do we|stop|never) let(?:ting)? {_GROUP} in\b"),
+    ("hate", 1.0, rf"\b(?:better off|better place|cleaner|safer)(?: \S+){{0,2}} (?:if|without|once)(?: all)? {_GROUP}\b(?:.*\b(?:wiped|gone|dead|earth|disappear|vanish|die)\b)?"),
+    ("hate", 1.0, rf"\b{_GROUP} (?:here )?(?:\S+ )?(?:they )?breed like\b|\bnobody wants {_GROUP}\b|\bbreed like (?:rats|rabbits|vermin|flies)\b"),
+    ("hate", 1.0, rf"\b{_GROUP}(?: \S+){{0,5}} (?:in their blood|in their genes|by nature)\b"),
+    ("hate", 1.0, rf"\b{_GROUP} are too (?:inferior|stupid|dumb|weak|emotional|dirty|lazy|primitive)\b"),
+    ("hate", 1.0, r"\bbecause they are (?:an? )?(?:plague on us|" + _DEHUM[3:] + r"\b"),
+    ("hate", 1.0, r"\bthey are (?:all )?(?:filthy|subhuman|inferior|parasites|vermin|animals|savages|cockroaches|rats|criminals)\b"),
+    ("hate", 1.0, rf"\b(?:kill|hang|gas|shoot|burn|lynch|exterminate|deport|wipe out) (?:all |every |the )*{_GROUP}\b"),
+    ("hate", 1.0, rf"\bhate (?:all |those |these |the )?{_GROUP}\b"),
+    ("hate", 1.0, r"\bnever have been let off the boat\b|\bon a leaking boat\b"),
+    ("sexual", 1.0, rf"\b{_SEXVERB}(?: off)? {_PERSON}(?: \S+){{0,3}} {_WHERE}\b"),
+    ("sexual", 1.0, rf"\bfuck (?:me|her|him|us)\b|\bto fuck {_PERSON}\b|\blet me fuck\b"),
+    ("sexual", 1.0, rf"\b(?:let me|want to|wants to|got to|begged him to|begged her to|begging to|could not wait to|couldn t wait to|going to|love to|dying to) (?:{_SEXVERB})(?: off)? {_PERSON}(?: \S+){{0,6}} (?:{_WHERE}|ankles|baby|dm|watch|bench|knees)\b"),
+    ("sexual", 1.0, r"\b(?:my|your|his|hard|big|thick|throbbing|wet) (?:hard |big |wet )?(?:cock|dick|cunt|pussy|clit|cum|boner)\b(?! (?:pheasant|willow|weight))"),
+    ("sexual", 1.0, r"\b(?:her|my|your) (?:\S+ )?(?:tits|titties|boobs|nipples|pussy|cunt|clit)\b"),
+    ("sexual", 1.0, r"\b(?:send (?:me )?nudes?|blowjobs?|handjobs?|deepthroat|gangbang|cumshots?|rimjob|threesome with|masturbat\w+ (?:to|for|while|in))\b"),
+    ("sexual", 1.0, r"\b(?:xxx|porn\w*|hardcore)\b.*\b(?:clip|video|scene|wife|girls?|teens?|busty|milf|suck\w*|fuck\w*|free|watch)\b"),
+    ("sexual", 1.0, r"\bhorny (?:singles|girls?|wife|wives|milfs?|teens?|women|for you|and|as)\b|\bso horny\b"),
+    ("sexual", 1.0, r"\b(?:mouth|lips|tongue) (?:around|on|over) (?:me|my|his|her)\b.*\b(?:knees|condom|cum|come)\b|\bon your knees\b.*\b(?:mouth|suck|condom|open|beg\w*)\b"),
+    ("sexual", 1.0, r"\bnaked\b.*\b(?:legs spread|on this desk|begging|sweating|moan\w*|got to|in my bed|for me|touch)\b"),
+    ("sexual", 1.0, r"\b(?:inside her|inside me|inside you|inside him)\b.*\b(?:deeper|moan\w*|naked|hard|wet|cum|scream\w*|came)\b"),
+    ("sexual", 1.0, r"\b(?:legs spread|spread your legs|bend over and|bend over let)\b"),
+    ("sexual", 1.0, r"\bmoan\w*\b.*\b(?:lick\w*|suck\w*|fuck\w*|thrust\w*|naked|tits|pussy|cock|dick|came)\b"),
+    ("sexual", 0.6, r"\bdripping wet\b|\bhard and deep\b|\bpanties around\b|\bwhile the others watch\b|\buntil you (?:come|cum)\b|\ball night long\b"),
+    ("sexual", 0.5, rf"\b{_SEXVERB}(?: off)? (?:you|me|her|him)\b"),
+    # Spanish and Portuguese
+    ("insult", 1.0, r"\b(?:hij[oa]s? de (?:\S+ )?puta|filh[oa]s? da puta|vete (?:al infierno|a la mierda)|vai (?:se foder|tomar no cu|pro inferno)|imbecil de mierda|pedazo de (?:mierda|imbecil|basura)|cabron(?:es)?|gilipollas|maricon(?:es)?|babaca|otario|viado|cretino|vagabunda|seu (?:idiota|merda|lixo|imbecil|burro)|eres un[a]? (?:\S+ )?(?:imbecil|idiota|inutil|basura|mierda|estupid[oa])|voce e um (?:\S+ )?(?:idiota|lixo|merda|imbecil|inutil)|idiota inutil|cala a boca|callate (?:la boca|imbecil|idiota))\b"),
+    ("threat", 1.0, r"\b(?:te voy a (?:\S+ )?(?:romper|matar|partir|reventar|quemar|cortar|destrozar)|voy a matarte|vou (?:te )?(?:quebrar|matar|arrebentar|acabar com|queimar|cortar)|te mato|vais? a morir|vai morrer)\b"),
+    ("hate", 1.0, r"\b(?:extranjer[oa]s|inmigrantes|refugiad[oa]s|gitan[oa]s|negr[oa]s|judi[oa]s|moros|mujeres|gays|estrangeiros|imigrantes|refugiados|mulheres|ciganos|judeus)\b.{0,40}\b(?:ratas|basura|plaga|praga|parasitos|parasitas|animales|animais|lixo|ratos|vermes|escoria|echarlos|expulsarlos|expulsar|desaparecer|inferiores|cucarachas|baratas|exterminar\w*)\b"),
+    ("sexual", 1.0, r"\b(?:chupa(?:me|me la)? (?:la )?polla|follarte|te voy a follar|quiero follar\w*|coger(?:te)? duro|foder (?:voce|gostoso|ela|sua)|quero (?:te )?(?:foder|comer)|te foder|chupa (?:meu|minha)|meu pau|buceta|tu cono|mi polla|tetas (?:grandes|desnudas)|abre las piernas|abre as pernas|de quatro)\b"),
+    # German
+    ("insult", 1.0, r"\b(?:arschloch|verpiss dich|hurensohn|wichser|schlampe|missgeburt|dreckiges? (?:schwein|stuck|sau|arschloch)|fick dich|halt (?:die|deine) (?:fresse|schnauze|maul)|du (?:\S+ )?(?:idiot|trottel|vollidiot|dreckschwein|versager|penner|hure|fotze|depp)|dummer als|stuck (?:scheisse|dreck)|abschaum)\b"),
+    ("threat", 1.0, r"\bich (?:werde |will )?(?:dich|dir|deine \S+) (?:\S+ ){0,3}(?:umbringen|tote|toten|schlag\w*|brech\w*|brich\w*|stech\w*|abstechen|verbrennen|kaputt)\b|\bich bring\w* dich um\b"),
+    ("hate", 1.0, r"\b(?:auslander|fluchtlinge|migranten|juden|muslime|turken|zigeuner|frauen|schwule|behinderte|fremde)\b.{0,40}\b(?:ungeziefer|abschaum|dreck|ratten|parasiten|weggejagt|raus|vergast|mull|untermenschen|tiere|seuche|minderwertig|ausgerottet)\b"),
+    ("sexual", 1.0, r"\b(?:dich (?:\S+ )?ficken|fick (?:mich|sie)|ficken|geile sau|zieh dich aus|mein(?:en)? schwanz|lutsch\w* (?:mein\w*|ihn|seinen)|deine (?:fotze|muschi|titten)|beine breit)\b"),
+    # French
+    ("insult", 1.0, r"\b(?:connards?|connasses?|salopes?|encules?|fils de pute|ferme ta gueule|ta gueule|va te faire|espece d\W?e? ?\S+|pauvre (?:merde|con|type|conne|cloche)|sale (?:con|pute|merde|chien|conne)|batard|pute|abruti|petite merde|sac a merde|va crever|nique ta)\b"),
+    ("threat", 1.0, r"\bje (?:vais|te) (?:te |vais )?(?:\S+ )?(?:casser|tuer|buter|crever|defoncer|eclater|bruler|egorger|frapper)\b|\bte casser la\b"),
+    ("hate", 1.0, r"\b(?:etrangers|immigres|refugies|juifs|arabes|musulmans|noirs|femmes|gays|roms|handicapes|pauvres)\b.{0,40}\b(?:vermine|rats|parasites|ordures|dehors|racaille|cafards|animaux|inferieurs|peste|exterminer|virer|chasser|sous-hommes|dechets|fleau)\b"),
+    ("sexual", 1.0, r"\b(?:suce[sr]?(?: moi|-moi)?(?: la)? (?:bite|queue)|suce-moi|la bite|ma bite|a genoux salope|te baiser|baise[- ]moi|ta chatte|nichons|ecarte les (?:jambes|cuisses)|je veux te (?:baiser|prendre|lecher))\b"),
+    # Italian
+    ("insult", 1.0, r"\b(?:vaffanculo|stronz[oaie]|figli[oa] di puttana|pezzo di merda|testa di cazzo|coglione|puttana|bastardo|cretino|va all inferno)\b"),
+    ("threat", 1.0, r"\bti (?:ammazzo|spacco|uccido|rompo|taglio)\b"),
+    ("sexual", 1.0, r"\b(?:succhiami|scopami|voglio scoparti|il mio cazzo|la tua figa)\b"),
+]

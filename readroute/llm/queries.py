@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readroute.llm import bpe, canonical, components, distinct, frequent, mixing, percentiles
+from readroute.llm import bpe, canonical, components, distinct, frequent, mixing, percentiles, toxicity
 from readroute.session import cut, load
 
 PROBS = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -131,7 +131,20 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.select(rows, plans), plans)
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_barcode, p2_group, p2_day, p3_found, p3_intervals, p4_found, p4_unmatched, p6_found, p7_counts, p8_ids, p9_selection, p9_shares)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, "text").filter("score >= 1").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(load(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rates(p10_scores(spark, sf_dir), "source")
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_barcode, p2_group, p2_day, p3_found, p3_intervals, p4_found, p4_unmatched, p6_found, p7_counts, p8_ids, p9_selection, p9_shares, p10_found, p10_scores, p10_rates)}
 
 
 _DAYS = "(SELECT CAST(CAST(run_at AS DATE) AS VARCHAR) AS run_day, length FROM bam_summary)"
