@@ -94,7 +94,7 @@ class Channel:
         # States: trie nodes, each with the cost of its best path so far.
         states: dict[int, tuple[float, _Node]] = {id(self.root): (0.0, self.root)}
         letters = 0
-        for c in token:
+        for i, c in enumerate(token):
             after: dict[int, tuple[float, _Node]] = {}
 
             def reach(cost: float, node: _Node) -> None:
@@ -116,7 +116,8 @@ class Channel:
                 if c in ANY:
                     for child in node.next.values():
                         reach(cost + COST["any"] + math.log(total / child.weight), child)
-                if c in BETWEEN and node is not self.root:
+                # A star stands for one letter; between two it may also separate.
+                if c in BETWEEN and node is not self.root and (c != "*" or token[i - 1].isalpha() and token[i + 1 : i + 2].isalpha()):
                     reach(cost + COST["between"], node)
             states = after
             if not states:
