@@ -3,7 +3,8 @@
 Smith-Waterman with affine gaps. All pairs of a batch move through the table
 together, one cell a step, as numpy columns; only the walk back is done pair by
 pair. Among equal scores the walk prefers the diagonal, then a gap in the
-template, then one in the span, and starts at the earliest best cell.
+template, then one in the span, a longer gap before a new one, and starts at the
+earliest best cell.
 """
 
 from __future__ import annotations
@@ -79,10 +80,10 @@ def _align(spans: list[str], template: str) -> list[Alignment]:
         against = cost[codes[:, i - 1]].T
         for j in range(1, m + 1):
             opened, longer = above[j] - GAP_OPEN, above_gap[j] - GAP_MORE
-            more_ref[i, j] = longer > opened
+            more_ref[i, j] = longer >= opened
             above_gap[j] = np.maximum(opened, longer)
             opened, longer = here[j - 1] - GAP_OPEN, left_gap - GAP_MORE
-            more_query[i, j] = longer > opened
+            more_query[i, j] = longer >= opened
             left_gap = np.maximum(opened, longer)
             diagonal = above[j - 1] + against[ref[j - 1]]
             top = np.maximum(np.maximum(diagonal, above_gap[j]), np.maximum(left_gap, 0))

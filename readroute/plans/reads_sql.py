@@ -58,7 +58,9 @@ def _tag(name: str, value: str) -> str:
 
 
 def _sam(prefix: str, tag: str) -> str:
-    return f"CASE WHEN contains(comment, '{prefix}') THEN '{tag}' || regexp_extract(comment, '^.*?{prefix}([^ ]*)', 1) || chr(9) ELSE '' END"
+    rest = f"substr(comment, strpos(comment, '{prefix}') + {len(prefix)})"
+    value = f"CASE WHEN starts_with({rest}, ' ') THEN '' ELSE regexp_extract({rest}, '^\\s*(\\S*)', 1) END"
+    return f"CASE WHEN contains(comment, '{prefix}') THEN '{tag}' || {value} || chr(9) ELSE '' END"
 
 
 ORACLES = {
