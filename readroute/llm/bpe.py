@@ -155,6 +155,16 @@ class Encoder:
         return flat[spread], np.concatenate([[0], stop])[ends - ends[0]].astype(np.int32)
 
 
+def _slices(batch: pa.RecordBatch, most: int = 250_000) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with about ``most`` words, or one longer row."""
+    ends = batch.column(batch.num_columns - 1).offsets.to_numpy()
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 #: One encoder a Python worker: tasks that follow in it know the words met.
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -177,7 +187,7 @@ def _run_over(df: DataFrame, text: str, out: str, path: str, ids: bool) -> DataF
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             flat, ends = encoder.encode(batch.column(batch.num_columns - 1))
             made = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)) if ids else pa.array(np.diff(ends).astype(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], out])
