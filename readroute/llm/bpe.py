@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readroute.session import col
+from readroute.session import col, map_arrow
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -117,8 +117,7 @@ class Encoder:
         at = np.repeat(np.arange(len(raw), dtype=np.int32), lengths)
         place = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
         self.con.register("words", pa.table({"w": at, "p": place, "t": flat}))
-        self.con.execute(sql)
-        found = self.con.to_arrow_reader().read_all()
+        found = self.con.sql(sql).to_arrow_reader().read_all()
         self.con.unregister("words")
         for batch in found.to_batches():
             ids = batch.column(1)
@@ -155,7 +154,7 @@ class Encoder:
         return flat[spread], np.concatenate([[0], stop])[ends - ends[0]].astype(np.int32)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 250_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = 600_000) -> Iterator[pa.RecordBatch]:
     """Runs of a batch's rows with about ``most`` words, or one longer row."""
     ends = batch.column(batch.num_columns - 1).offsets.to_numpy()
     a = 0
@@ -192,7 +191,7 @@ def _run_over(df: DataFrame, text: str, out: str, path: str, ids: bool) -> DataF
             made = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)) if ids else pa.array(np.diff(ends).astype(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], out])
 
-    return cut.mapInArrow(encode, shape)
+    return map_arrow(cut, encode, shape)
 
 
 def encode(df: DataFrame, text: str, out: str = "ids", path: str = VOCABULARY) -> DataFrame:
@@ -244,4 +243,4 @@ def decode(df: DataFrame, ids: str, out: str = "text", path: str = VOCABULARY) -
                 texts[d] = bytes.fromhex(hexed).decode("utf-8", "replace")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], out])
 
-    return cut.mapInArrow(run, shape)
+    return map_arrow(cut, run, shape)

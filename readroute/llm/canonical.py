@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readroute.session import col
+from readroute.session import col, map_arrow
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -232,7 +232,7 @@ def to_canonical(df: DataFrame, value: str, reference: DataFrame, entry: str, k:
             out = [pa.array([f[i] for f in found], t).take(at) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, "entry", "distance", "ties", "suggestion"])
 
-    return odd.mapInArrow(match, f"{fields}, {RESULT}").withColumnRenamed("__value", value)
+    return map_arrow(odd, match, f"{fields}, {RESULT}").withColumnRenamed("__value", value)
 
 
 def _by_join(rows: DataFrame, entries: DataFrame, k: int, keep: tuple[str, ...]) -> DataFrame:

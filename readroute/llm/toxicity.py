@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readroute.llm import lexicon
-from readroute.session import col
+from readroute.session import col, map_arrow
 
 KINDS = ("insult", "threat", "hate", "sexual")
 
@@ -338,7 +338,7 @@ def score(df: DataFrame, text: str) -> DataFrame:
             columns = [pa.array(found.max(axis=1) if len(found) else np.zeros(0)), *[pa.array(found[:, i]) for i in range(len(KINDS))]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *names])
 
-    return cut.mapInArrow(run, fields + ", ".join(f"{n} double" for n in names))
+    return map_arrow(cut, run, fields + ", ".join(f"{n} double" for n in names))
 
 
 def rates(scored: DataFrame, source: str) -> DataFrame:
