@@ -94,11 +94,14 @@ def sam_line(line: Column, comments: Sequence[str] | str, tags: Sequence[str] |
     comment = F.element_at(fields, -1)
     made = []
     for prefix, tag in zip(comments, tags):
-        literal = r"\Q" + prefix + r"\E"
-        before = r"(?:\A|.*?\s)" if token_bound else r".*?"
-        there = comment.rlike(r"(?s)\A" + before + literal)
+        if token_bound:
+            at = F.regexp_instr(comment, F.lit(r"(?:\A|(?<=\s))\Q" + prefix + r"\E"))
+        else:
+            at = F.instr(comment, prefix)
+        there = at > 0
+        rest = F.substring(comment, at + len(prefix), F.length(comment))
         # A value never starts after a blank: "UB= x" is an empty tag.
-        value = F.regexp_extract(comment, r"(?s)\A" + before + literal + r"(?! )\s*(\S*)", 1)
+        value = F.when(rest.startswith(" "), "").otherwise(F.regexp_extract(rest, r"\A\s*(\S*)", 1))
         made.append(F.when(there, F.concat(F.lit(tag), value)))
     new = F.filter(F.array(*made), lambda t: t.isNotNull()) if made else F.array().cast("array<string>")
     joined = F.array_join(F.concat(F.slice(fields, 1, F.size(fields) - 1), new, F.array(comment)), "\t")

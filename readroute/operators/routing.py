@@ -35,7 +35,7 @@ def tag(found: DataFrame, context: barcodes.BarcodeContext) -> DataFrame:
     return fixed.withColumn("tags", tags).withColumn("valid", F.col("cb").isNotNull())
 
 
-def demux(reads: DataFrame, context: barcodes.BarcodeContext, options: Options = Options(), only_valid: bool = False) -> DataFrame:
+def demux(reads: DataFrame, context: barcodes.BarcodeContext, options: Options = Options(), only_valid: bool = False, spread: int | None = None) -> DataFrame:
     """Routes, cuts and tags reads (``header, seq, qual`` and any others).
 
     ATAC is tried first, then GEX; what neither fits goes to ``other`` whole.
@@ -43,7 +43,7 @@ def demux(reads: DataFrame, context: barcodes.BarcodeContext, options: Options =
     not retried or sent elsewhere. Adds the anchor columns, ``cb``, ``tags``,
     ``valid``.
     """
-    routed = tag(anchors(reads, options=options), context)
+    routed = tag(anchors(reads, options=options, spread=spread), context)
     return routed.filter((F.col("route") == "other") | F.col("valid")) if only_valid else routed
 
 

@@ -157,6 +157,11 @@ def technical_remainder(spark, sf_dir):
     return _reads(spark, sf_dir).select("file_id", "rec_pos", fn.cut(F.col("seq"), a, b).alias("genomic"), fn.remainder(F.col("seq"), a, b).alias("seq_rest"), fn.remainder(F.col("qual"), a, b).alias("qual_rest"))
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for the search over tables of a few files: some for each core."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 def _context(spark: SparkSession, sf_dir: str) -> barcodes.BarcodeContext:
     return barcodes.BarcodeContext(spark, load(spark, sf_dir, "whitelist_atac"), load(spark, sf_dir, "whitelist_gex"))
 
@@ -181,25 +186,25 @@ def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def demux_exact(spark, sf_dir):
     """Routes, barcodes and UMIs of reads whose truth is known."""
-    return routing.demux(_exact(spark, sf_dir), _context(spark, sf_dir)).select("rec_pos", "route", "strand", "cb", "umi", "cut_start", "cut_end", "valid")
+    return routing.demux(_exact(spark, sf_dir), _context(spark, sf_dir), spread=_tasks(spark)).select("rec_pos", "route", "strand", "cb", "umi", "cut_start", "cut_end", "valid")
 
 
 def demux_records(spark, sf_dir):
-    made = routing.records(routing.demux(_exact(spark, sf_dir), _context(spark, sf_dir)), technical=True)
+    made = routing.records(routing.demux(_exact(spark, sf_dir), _context(spark, sf_dir), spread=_tasks(spark)), technical=True)
     return made.select("rec_pos", "route", "header", F.length("seq").cast("int").alias("n_seq"), F.length("qual").cast("int").alias("n_qual"))
 
 
 def demux_fuzzy(spark, sf_dir):
     """The supplied reads, with errors, both strands and both assays."""
-    return routing.demux(_reads(spark, sf_dir), _context(spark, sf_dir), Options(keep_runoff=True)).select("file_id", "rec_pos", "route", "strand", "bc", "umi", "cb", "cut_start", "cut_end", "valid")
+    return routing.demux(_reads(spark, sf_dir), _context(spark, sf_dir), Options(keep_runoff=True), spread=_tasks(spark)).select("file_id", "rec_pos", "route", "strand", "bc", "umi", "cb", "cut_start", "cut_end", "valid")
 
 
 def route_counts(spark, sf_dir):
-    return routing.counts(anchors(_reads(spark, sf_dir), options=Options(keep_runoff=True)))
+    return routing.counts(anchors(_reads(spark, sf_dir), options=Options(keep_runoff=True), spread=_tasks(spark)))
 
 
 def exact_counts(spark, sf_dir):
-    return routing.counts(anchors(_exact(spark, sf_dir)))
+    return routing.counts(anchors(_exact(spark, sf_dir), spread=_tasks(spark)))
 
 
 def valid_only_filter(spark, sf_dir):
