@@ -21,16 +21,20 @@ from pyspark.sql import functions as F
 from readroute.session import Scratch, col, cut
 
 
-def _lookup(rows: DataFrame, key: str, labels: DataFrame, out: str, hot_share: int) -> DataFrame:
+def _lookup(rows: DataFrame, key: str, labels: DataFrame, out: str, hot: tuple[int, int]) -> DataFrame:
     """``rows`` with the label of ``key`` as ``out``; labels are (node, root).
 
-    Keys with more than 1/``hot_share`` of the rows, fewer than ``hot_share``
-    of them, take their labels from a broadcast; labels of a missing key are
-    the key itself.
+    ``hot`` is (share, floor): keys with more than 1/share of the rows and
+    more than ``floor`` of them, fewer than ``share`` keys, take their labels
+    from a broadcast. The label of a missing key is the key itself.
     """
-    total = rows.count()
-    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > total // hot_share + 1000).select(F.col(key).alias("node"))
+    share, floor = hot
     labels = labels.select(F.col("node").alias("__k"), F.col("root").alias("__r"))
+    total = rows.count()
+    if total <= floor:  # then no key is hot
+        plain = rows.join(labels, F.col(key) == F.col("__k"), "left")
+        return plain.withColumn(out, F.coalesce("__r", key)).drop("__k", "__r")
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max(total // share, floor)).select(F.col(key).alias("node"))
     few = labels.join(F.broadcast(hot), F.col("__k") == F.col("node")).select(F.col("__k").alias("__h"), F.col("__r").alias("__hr"))
     marked = rows.join(F.broadcast(few), F.col(key) == F.col("__h"), "left")
     cold = marked.filter("__h is null").drop("__h", "__hr").join(labels, F.col(key) == F.col("__k"), "left")
@@ -39,7 +43,7 @@ def _lookup(rows: DataFrame, key: str, labels: DataFrame, out: str, hot_share: i
     return cold.unionByName(warm)
 
 
-def connected_components(pairs: DataFrame, left: str, right: str, hot_share: int = 256, max_rounds: int = 64) -> DataFrame:
+def connected_components(pairs: DataFrame, left: str, right: str, hot_share: int = 256, hot_floor: int = 100_000, max_rounds: int = 64) -> DataFrame:
     """(node, component) of every record linked to at least one other record.
 
     ``component`` is the smallest id of the group. Pairs with a null end and
@@ -48,11 +52,11 @@ def connected_components(pairs: DataFrame, left: str, right: str, hot_share: int
     other columns of ``pairs`` are ignored.
     """
     with Scratch(pairs.sparkSession) as scratch:
-        labels = _labels(pairs, col(left), col(right), scratch, hot_share, max_rounds)
+        labels = _labels(pairs, col(left), col(right), scratch, (hot_share, hot_floor), max_rounds)
         return cut(labels.select("node", F.col("root").alias("component")))
 
 
-def _labels(pairs: DataFrame, a: Column, b: Column, scratch: Scratch, hot_share: int, max_rounds: int) -> DataFrame:
+def _labels(pairs: DataFrame, a: Column, b: Column, scratch: Scratch, hot: tuple[int, int], max_rounds: int) -> DataFrame:
     links = pairs.filter(a.isNotNull() & b.isNotNull() & (a != b))
     links = scratch.write(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
     labels = None
@@ -63,16 +67,16 @@ def _labels(pairs: DataFrame, a: Column, b: Column, scratch: Scratch, hot_share:
         roots = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
         roots = scratch.write(roots.select("node", F.least("node", "m").alias("root")))
         while True:
-            jumped = scratch.write(_lookup(roots, "root", roots, "far", hot_share))
+            jumped = scratch.write(_lookup(roots, "root", roots, "far", hot))
             moved = not jumped.filter("far <> root").isEmpty()
             roots = jumped.select("node", F.col("far").alias("root"))
             if not moved:
                 break
-        at_u = scratch.write(_lookup(links, "u", roots, "ru", hot_share))
-        ends = _lookup(at_u, "v", roots, "rv", hot_share).filter("ru <> rv")
+        at_u = scratch.write(_lookup(links, "u", roots, "ru", hot))
+        ends = _lookup(at_u, "v", roots, "rv", hot).filter("ru <> rv")
         links = scratch.write(ends.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
         if labels is None:
             labels = roots
         else:
-            labels = scratch.write(_lookup(labels, "root", roots, "far", hot_share).select("node", F.col("far").alias("root")))
+            labels = scratch.write(_lookup(labels, "root", roots, "far", hot).select("node", F.col("far").alias("root")))
     raise RuntimeError(f"labels still change after {max_rounds} rounds")

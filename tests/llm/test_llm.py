@@ -161,8 +161,9 @@ def test_components(spark):
         [(rng.randrange(300), rng.randrange(300)) for _ in range(200)],
     ]
     for pairs in cases:
+        floor = rng.choice([10, 1000])
         df = spark.createDataFrame([(a, b, 0) for a, b in pairs], "a bigint, b bigint, node int")
-        got = {r.node: r.component for r in components.connected_components(df, "a", "b", hot_share=4).collect()}
+        got = {r.node: r.component for r in components.connected_components(df, "a", "b", hot_share=4, hot_floor=floor).collect()}
         assert got == by_union(pairs)
 
 
