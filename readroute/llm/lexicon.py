@@ -30,16 +30,22 @@ useless vile witless worthless wretched fucking goddamn damn damned sad sorry bl
 # Groups of people.
 GROUPS = """
 immigrants immigrant foreigners foreigner refugees refugee migrants migrant asylum-seekers women woman gays gay lesbians lesbian queers
-homosexuals transgender trans transsexuals disabled cripples blacks black jews jew jewish muslims muslim arabs arab gypsies gypsy roma
-mexicans africans asians indians chinese turks poles russians americans europeans islanders natives peasants christians catholics hindus
-atheists believers religious poor poor-people old homeless elderly old-people southerners northerners easterners westerners villagers outsiders newcomers
-minorities feminists girls females whites white hill-folk folk unemployed beggars
+homosexuals transsexuals cripples blacks jews jew muslims muslim arabs arab gypsies gypsy roma
+mexicans africans asians indians turks poles russians americans europeans islanders natives peasants christians catholics hindus
+atheists believers southerners northerners easterners westerners villagers outsiders newcomers
+minorities feminists girls females whites hill-folk folk beggars
+""".split()
+
+# Words that name a group with a noun, or after "the".
+GROUP_WORDS = """
+transgender trans disabled black jewish chinese religious poor old homeless elderly white unemployed gay lesbian muslim arab asian african
+indian mexican turkish polish russian brown foreign fat rich young queer blind deaf mentally-ill autistic
 """.split()
 
 # What groups are called to take their humanity.
 DEHUMANIZERS = """
-animals apes bacteria cancer cockroaches cockroach criminals degenerates dirt disease filth filthy garbage inferior leeches liars lice locusts
-maggots monkeys parasites pest pests plague pigs rapists rats savages scum subhuman subhumans swarm thieves trash vermin virus weeds
+animal animals apes bacteria cancer cockroaches cockroach criminals degenerates dirt disease filth filthy garbage inferior leeches liars lice locusts
+maggots monkeys parasite parasites pest pests plague pigs rapists rat rats savage savages scum subhuman subhumans swarm thieves trash vermin virus weeds
 """.split()
 
 # Sexual words; explicit ones weigh more.
@@ -65,7 +71,7 @@ deserves despises die dies different do dog door dont down drag dreamt dripping
 everybody excuse face family favour favor feed finds finger fingers finishes fire fish five floor follow for forever forget found free from front fun
 get gets getting girl go going gonna good got grave group guy guys had hang hanged happens hate have he head hear hell help her here hey him hire hole hope
 hospital hot house how human humans hunt hurt i if in inside into is it its job just keep kept kick kicked kill killed kills knife lab let life
-like little live loop lost loud love made make makes man me met might miss mommy more most mother must my myself neck need neighbour neighbor never
+like little live loop lost loud love made make makes man me met might miss mommy more most mother must myself neck need neighbour neighbor never
 next night nobody not nothing now of off on once one only open or other others our out over own oxygen parents parking pay people person pictures
 piece place plague please prison punch put rape raped raping refuses rights river rot rotten rule sack safe say scared school schools science screw
 second see seen send she shoot shot should shove show shut sick simple single sit skull slap slash slaughter sleep slit slowly smash so someone
@@ -77,7 +83,7 @@ reviewer whats raising rest spit somewhere beyond vanish exterminated exterminat
 
 # Words of other languages, without diacritics.
 FOREIGN = """
-hijo puta putas puto mierda imbecil cabron gilipollas maricon zorra idiota estupido vete infierno romper cara matar muerte extranjeros ratas echarlos
+follarte noche tuer fresse mulheres inferiores hijo puta putas puto mierda imbecil cabron gilipollas maricon zorra idiota estupido vete infierno romper cara matar muerte extranjeros ratas echarlos
 inmigrantes basura polla cono follar desnuda culo tetas
 filho da merda babaca otario viado buceta foder caralho vagabunda estrangeiros praga desaparecer quebrar matar lixo imigrantes imbecil burro chupa gostosa
 arschloch dreckiges dreck verpiss dich fotze hure hurensohn wichser schlampe ficken fick geile sau schwanz auslander ungeziefer weggejagt umbringen
@@ -88,17 +94,27 @@ nichons abruti cretin debile crever
 
 # Phrases of scripts written without spaces.
 UNSPACED = {
-    "insult": ["バカ野郎", "馬鹿野郎", "ばかやろう", "クズ野郎", "死ね", "くたばれ", "クソ野郎", "消え失せろ", "畜生め", "傻逼", "傻屄", "操你妈", "王八蛋", "去死", "废物", "병신", "개새끼", "씨발", "꺼져"],
+    "insult": ["バカ野郎", "馬鹿野郎", "ばかやろう", "クズ野郎", "クズだ", "、クズ", "消えろ", "死ね", "くたばれ", "クソ野郎", "消え失せろ", "畜生め", "傻逼", "傻屄", "操你妈", "王八蛋", "去死", "废物", "병신", "개새끼", "씨발", "꺼져"],
     "threat": ["殺すぞ", "殺してやる", "ぶっ殺", "杀了你", "弄死你", "죽여버", "죽일"],
-    "hate": ["外国人はゴミ", "外国人は出て行け", "追い出せ", "害虫だ", "ゴキブリだ", "劣等民族", "滚出中国", "쫓아내"],
-    "sexual": ["股を開け", "やらせろ", "裸になって", "おまんこ", "ちんこ", "ちんぽ", "フェラ", "中出し", "操我", "做爱", "鸡巴", "보지", "자지", "섹스하자"],
+    "hate": ["外国人はゴミ", "外国人は出て行け", "追い出せ", "害虫だ", "ゴキブリだ", "劣等民族", "劣っている", "滚出中国", "쫓아내"],
+    "sexual": ["股を開け", "やらせろ", "裸になって", "おまんこ", "ちんこ", "ちんぽ", "フェラ", "セックスし", "中出し", "操我", "做爱", "鸡巴", "보지", "자지", "섹스하자"],
 }
 
 _ADJ = "(?:" + "|".join(ADJECTIVES) + ")"
 _NOUN = "(?:" + "|".join(NOUNS) + ")"
+# What also is said of animals and things, and mild adjectives.
+_THINGS = "cockroach cockroaches dirt dog donkey dung filth garbage joke leech maggot maggots parasite parasites pig pigs rat rats snake swine thief trash turd vermin weasel worm failure".split()
+_MILD = "bloody damn damned dirty fat filthy foul ignorant incompetent lazy nasty sad sorry ugly".split()
+_HARSH = "(?:" + "|".join(a for a in ADJECTIVES if a not in _MILD) + ")"
+_PERSONAL = "(?:" + "|".join(n for n in NOUNS if n not in _THINGS) + ")"
 _INS = "(?:" + "|".join(INSULTS) + ")"
-_GROUP = "(?:(?:the |those |these |all )?(?:" + "|".join(GROUPS) + ")(?: people| folk)?|people from \\S+(?: \\S+)?)"
-_DEHUM = "(?:" + "|".join(DEHUMANIZERS) + ")"
+_GROUP = (
+    "(?:(?:the |those |these |all )*(?:" + "|".join(GROUPS) + ")(?: people| folk)?"
+    "|(?:the |those |these |all )*(?:" + "|".join(GROUP_WORDS) + ") (?:people|folk|folks|men|women|persons|families|kids|children|immigrants)"
+    "|the (?:" + "|".join(GROUP_WORDS) + ")(?= (?:are|were|is|should|must|ought|belong|do|dont|deserve|have|i|we|you|out|back|in|they|never|here|go|get|need)\\b|$)"
+    "|people from \\S+(?: \\S+)?)"
+)
+_DEHUM = "(?:" + "|".join(DEHUMANIZERS) + ")(?! free)"
 _HURT = (
     "(?:beat|break|burn|bury|choke|crush|cut|drag|drown|end|find|gut|hang|hit|hunt|hurt|kick|kill|knock|murder|punch|put|rape|rip|ruin|shoot"
     "|slap|slash|slaughter|slit|smash|stab|strangle|snap|stomp|throw|torture|destroy|skin|make)"
@@ -113,7 +129,8 @@ _PERSON = "(?:you|me|her|him|them|us|(?:his|her|my|your|their) \\S+|two \\S+)"
 # Fixed values: (kind, weight, pattern over the restored words of a line).
 RULES = [
     ("insult", 1.0, rf"\b{_INS}\b"),
-    ("insult", 1.0, rf"\b{_ADJ}(?:,? (?:and |little |old |lying |lazy |so-called |{_ADJ},? ?)*)?(?: |, ){_NOUN}\b"),
+    ("insult", 1.0, rf"\b(?:{_HARSH}(?: (?:and |little |old |lying |so called ?|{_ADJ} ?)*)? ?{_NOUN}|{_ADJ}(?: (?:and |little |old |lying |{_ADJ} ?)*)? ?{_PERSONAL})\b"),
+    ("insult", 1.0, rf"\b(?:you|what an?|such an?|is an?) (?:{_ADJ} )+{_NOUN}\b(?= ?(?:$|you|who|and|that|our|the|whoever|anyone|user|my))"),
     ("insult", 1.0, rf"\byou (?:are |re |absolute |complete |total |such )*(?:a |an |the )?(?:{_ADJ} |little |sad |sorry |old )+(?:{_NOUN}|excuse|human|man|woman|person|thing|creature)\b"),
     ("insult", 1.0, rf"\byou (?:are |re )?(?:such )?(?:a |an )(?:complete |total |real |fat |dumb )?(?:{_NOUN})\b"),
     ("insult", 1.0, rf"\byou {_NOUN}\b"),
@@ -149,12 +166,21 @@ RULES = [
     ("threat", 0.6, r"\byou have until \S+\b"),
     ("threat", 0.6, r"\bnobody will (?:hear|find) (?:it|you)\b"),
     ("threat", 0.5, r"\b(?:cut|slit|break|smash|burn|crush|snap|bash) (?:his|her|your|their) (?:\S+ )?(?:" + _BODY[3:] + r"\b"),
-    ("threat", 1.0, r"\b(?:i|we) (?:know where you live|am coming for you|will find you)\b"),
+    ("threat", 1.0, r"\b(?:i|we) (?:know where (?:\S+ ){1,5}(?:lives?|sleeps?|parks?|works?)|am coming for you|m coming for you|will hunt you down)\b"),
+    ("threat", 1.0, r"\bcoming (?:over |for you )?with an? (?:\S+ )?(?:knife|gun|axe|bat|hammer|rope|rifle|blade)\b"),
+    ("threat", 1.0, r"\byou (?:will|are going to|re going to|gonna|ll) (?:die|bleed|burn|suffer|regret (?:this|it)|pay for this)\b|\byou (?:should|deserve to|must|need to) (?:die|be shot|be beaten|be hanged|rot|suffer)\b"),
+    ("threat", 1.0, r"\b(?:someone|somebody) (?:should|will|must|ought to) (?:beat|shoot|stab|kill|punch|slap|hang|burn|strangle|break|hurt|run over) (?:you|him|her|your|them|whoever|that|this)\b"),
+    ("insult", 1.0, r"\byou are (?:nothing but|just) (?:an? )?(?:\S+ )?(?:trash|garbage|dirt|filth|joke|failure|waste|disgrace|loser|scum|pig|dog)\b|\bnobody (?:likes|loves|wants) you\b|\b(?:go )?jump off an? (?:bridge|roof|cliff)\b"),
+    ("insult", 1.0, rf"\byour (?:mother|mom|mum|sister|wife|father) (?:is|was) (?:an? )?(?:{_ADJ} )?(?:whore|slut|pig|cow|bitch|dog)\b|\b{_ADJ} (?:cow|bitch|hag|ape|swine)\b|\b(?:son|sons) of (?:an? )?(?:bitch|whore)(?:es)?\b"),
+    ("insult", 1.0, r"\b(?:kiss|eat|lick) my (?:ass|arse)\b|\bgo (?:fuck|hang|kill|shoot) yourself\b"),
+    ("hate", 1.0, rf"\bcleanse\b.*\b(?:of them|of {_GROUP})\b|\b{_GROUP} out of (?:our|this|my) (?:country|town|city|schools?|street|land)\b|\b{_GROUP} go home\b"),
+    ("hate", 1.0, rf"\b(?:gas|exterminate|eradicate|get rid of|round up|wipe out) (?:all |every |the |those |these )*{_GROUP}\b|\bno {_GROUP} (?:allowed|wanted)\b"),
+    ("sexual", 1.0, r"\b(?:touch|undress) yourself (?:for|while|in front)\b|\btake off your (?:clothes|panties|bra|pants|shirt|underwear)\b|\b(?:sit|ride) on my (?:face|lap|cock|dick)\b|\bmake you (?:cum|come|moan|squirt)\b|\bcum (?:in|on|inside|all over)\b|\b(?:want|need) you inside\b"),
     ("threat", 1.0, r"\byou(?: are| re)? (?:dead|a dead (?:man|woman)) (?:meat|when|if|once|soon)\b|\bdead meat\b"),
-    ("hate", 1.0, rf"\b{_GROUP}(?: \S+){{0,3}} (?:are|is|were|be)(?: \S+){{0,2}} (?:an? )?{_DEHUM}\b"),
+    ("hate", 1.0, rf"\b{_GROUP}(?: \S+){{0,3}} (?:are|is|were|was|be)(?: \S+){{0,2}} (?:an? )?{_DEHUM}\b"),
     ("hate", 1.0, rf"\b{_GROUP} {_DEHUM},? every\b|\btypical {_GROUP}\b.*\b{_DEHUM}\b"),
     ("hate", 1.0, rf"\b{_DEHUM}\b.*\bthat is what {_GROUP}\b"),
-    ("hate", 1.0, rf"\b{_GROUP}(?: \S+){{0,3}} (?:should|must|ought to|need to|have to|deserve to|belong)(?: all)?(?: \S+){{0,2}} (?:driven out|wiped out|wiped from|exterminated|deported|banned|gassed|shot|hanged|lynched|burn|burned|die|disappear|vanish|kept away|kept out|locked up|thrown out|cages?|killed|never have been let|go back|rot|drown|removed from|kicked out|sterilised|sterilized|kitchen)\b"),
+    ("hate", 1.0, rf"\b{_GROUP}(?: \S+){{0,3}} (?:should|must|ought to|need to|have to|deserve to|belong)(?: all)?(?: \S+){{0,2}} (?:driven out|wiped out|wiped from|exterminated|deported|banned|gassed|shot|hanged|lynched|burn|burned|die|disappear|vanish|kept away|kept out|locked up|thrown out|cages?|killed|never have been let|go back|rot|drown|removed from|in the kitchen|never be allowed|not be allowed|kicked out|sterilised|sterilized|kitchen)\b"),
     ("hate", 1.0, rf"\b{_GROUP} (?:do not|dont|don t|should not|must not|never) deserve\b"),
     ("hate", 1.0, rf"\b{_GROUP}(?: \S+){{0,3}} deserve (?:an? cage|every beating|to die|no rights|nothing|death|what they get)\b"),
     ("hate", 1.0, rf"\b{_GROUP}(?: \S+){{0,4}} no place (?:among|in|here)\b"),
@@ -166,7 +192,7 @@ RULES = [
     ("hate", 1.0, rf"\b{_GROUP} (?:here )?(?:\S+ )?(?:they )?breed like\b|\bnobody wants {_GROUP}\b|\bbreed like (?:rats|rabbits|vermin|flies)\b"),
     ("hate", 1.0, rf"\b{_GROUP}(?: \S+){{0,5}} (?:in their blood|in their genes|by nature)\b"),
     ("hate", 1.0, rf"\b{_GROUP} are too (?:inferior|stupid|dumb|weak|emotional|dirty|lazy|primitive)\b"),
-    ("hate", 1.0, r"\bbecause they are (?:an? )?(?:plague on us|" + _DEHUM[3:] + r"\b"),
+    ("hate", 1.0, r"\bbecause they are (?:an? )?(?:plague on us|" + _DEHUM + r")\b"),
     ("hate", 1.0, r"\bthey are (?:all )?(?:filthy|subhuman|inferior|parasites|vermin|animals|savages|cockroaches|rats|criminals)\b"),
     ("hate", 1.0, rf"\b(?:kill|hang|gas|shoot|burn|lynch|exterminate|deport|wipe out) (?:all |every |the )*{_GROUP}\b"),
     ("hate", 1.0, rf"\bhate (?:all |those |these |the )?{_GROUP}\b"),
@@ -190,9 +216,9 @@ RULES = [
     ("insult", 1.0, r"\b(?:hij[oa]s? de (?:\S+ )?puta|filh[oa]s? da puta|vete (?:al infierno|a la mierda)|vai (?:se foder|tomar no cu|pro inferno)|imbecil de mierda|pedazo de (?:mierda|imbecil|basura)|cabron(?:es)?|gilipollas|maricon(?:es)?|babaca|otario|viado|cretino|vagabunda|seu (?:idiota|merda|lixo|imbecil|burro)|eres un[a]? (?:\S+ )?(?:imbecil|idiota|inutil|basura|mierda|estupid[oa])|voce e um (?:\S+ )?(?:idiota|lixo|merda|imbecil|inutil)|idiota inutil|cala a boca|callate (?:la boca|imbecil|idiota))\b"),
     ("threat", 1.0, r"\b(?:te voy a (?:\S+ )?(?:romper|matar|partir|reventar|quemar|cortar|destrozar)|voy a matarte|vou (?:te )?(?:quebrar|matar|arrebentar|acabar com|queimar|cortar)|te mato|vais? a morir|vai morrer)\b"),
     ("hate", 1.0, r"\b(?:extranjer[oa]s|inmigrantes|refugiad[oa]s|gitan[oa]s|negr[oa]s|judi[oa]s|moros|mujeres|gays|estrangeiros|imigrantes|refugiados|mulheres|ciganos|judeus)\b.{0,40}\b(?:ratas|basura|plaga|praga|parasitos|parasitas|animales|animais|lixo|ratos|vermes|escoria|echarlos|expulsarlos|expulsar|desaparecer|inferiores|cucarachas|baratas|exterminar\w*)\b"),
-    ("sexual", 1.0, r"\b(?:chupa(?:me|me la)? (?:la )?polla|follarte|te voy a follar|quiero follar\w*|coger(?:te)? duro|foder (?:voce|gostoso|ela|sua)|quero (?:te )?(?:foder|comer)|te foder|chupa (?:meu|minha)|meu pau|buceta|tu cono|mi polla|tetas (?:grandes|desnudas)|abre las piernas|abre as pernas|de quatro)\b"),
+    ("sexual", 1.0, r"\b(?:chupa(?:me|me la)? (?:la )?polla|follarte|te voy a follar|quiero follar\w*|coger(?:te)? duro|foder (?:voce|gostoso|ela|sua)|quero (?:te )?(?:foder|comer)|te foder|chupa (?:meu|minha)|meu pau|buceta|tu cono|mi polla|follar(?:te|me|la|lo)|tetas (?:grandes|desnudas)|abre las piernas|abre as pernas|de quatro)\b"),
     # German
-    ("insult", 1.0, r"\b(?:arschloch|verpiss dich|hurensohn|wichser|schlampe|missgeburt|dreckiges? (?:schwein|stuck|sau|arschloch)|fick dich|halt (?:die|deine) (?:fresse|schnauze|maul)|du (?:\S+ )?(?:idiot|trottel|vollidiot|dreckschwein|versager|penner|hure|fotze|depp)|dummer als|stuck (?:scheisse|dreck)|abschaum)\b"),
+    ("insult", 1.0, r"\b(?:arschloch|verpiss dich|hurensohn|wichser|schlampe|missgeburt|dreckiges? (?:schwein|stuck|sau|arschloch)|fick dich|halt(?:s|e)? (?:die|deine) (?:fresse|schnauze|maul)|du (?:\S+ )?(?:idiot|trottel|vollidiot|dreckschwein|versager|penner|hure|fotze|depp)|dummer als|stuck (?:scheisse|dreck)|abschaum)\b"),
     ("threat", 1.0, r"\bich (?:werde |will )?(?:dich|dir|deine \S+) (?:\S+ ){0,3}(?:umbringen|tote|toten|schlag\w*|brech\w*|brich\w*|stech\w*|abstechen|verbrennen|kaputt)\b|\bich bring\w* dich um\b"),
     ("hate", 1.0, r"\b(?:auslander|fluchtlinge|migranten|juden|muslime|turken|zigeuner|frauen|schwule|behinderte|fremde)\b.{0,40}\b(?:ungeziefer|abschaum|dreck|ratten|parasiten|weggejagt|raus|vergast|mull|untermenschen|tiere|seuche|minderwertig|ausgerottet)\b"),
     ("sexual", 1.0, r"\b(?:dich (?:\S+ )?ficken|fick (?:mich|sie)|ficken|geile sau|zieh dich aus|mein(?:en)? schwanz|lutsch\w* (?:mein\w*|ihn|seinen)|deine (?:fotze|muschi|titten)|beine breit)\b"),

@@ -64,7 +64,7 @@ class _Node:
 def vocabulary() -> dict[str, float]:
     """The words the channel may have started from, with prior weights."""
     words: dict[str, float] = {}
-    for weight, group in ((3.0, lexicon.OTHERS), (2.0, lexicon.EXPLICIT), (2.0, lexicon.INSULTS), (1.5, lexicon.ADJECTIVES), (1.5, lexicon.NOUNS), (1.0, lexicon.SENSUAL), (1.0, lexicon.GROUPS), (1.0, lexicon.DEHUMANIZERS), (0.5, lexicon.FOREIGN)):
+    for weight, group in ((3.0, lexicon.OTHERS), (2.0, lexicon.EXPLICIT), (2.0, lexicon.INSULTS), (1.5, lexicon.ADJECTIVES), (1.5, lexicon.NOUNS), (1.0, lexicon.SENSUAL), (1.0, lexicon.GROUPS), (1.0, lexicon.GROUP_WORDS), (1.0, lexicon.DEHUMANIZERS), (0.5, lexicon.FOREIGN)):
         for w in group:
             w = w.replace("-", "")
             words[w] = max(words.get(w, 0.0), weight)
@@ -186,8 +186,8 @@ _STRONG = {*lexicon.INSULTS, *lexicon.EXPLICIT, *lexicon.FOREIGN} | set(
     "panties nudes moaned dripping braindead worm maggot vermin filth scum subhuman cockroaches parasites parasite despises vanish doorknobs thimble sleeptight wheelchair"
     " drown bleeding stab strangle kys deserve savages inferior plague ashamed sick shit hell hardcore breed throat garbage oxygen rats disease boat thieves river scared smash".split()
 )
-_WEAK = {*lexicon.NOUNS, *lexicon.ADJECTIVES, *lexicon.GROUPS, *lexicon.DEHUMANIZERS, *lexicon.SENSUAL} | set(
-    "kill kills killed break burn cut beat shoot hang hurt punch drag hunt find die dead shut lost mommy excuse hole nobody hate hope parents you your me her him whoever until keep send hire let blood cage cages yourself".split()
+_WEAK = {*lexicon.NOUNS, *lexicon.ADJECTIVES, *lexicon.GROUPS, *lexicon.GROUP_WORDS, *lexicon.DEHUMANIZERS, *lexicon.SENSUAL} | set(
+    "kill kills killed break burn cut beat shoot hang hurt punch drag hunt find die dead shut lost mommy excuse hole nobody hate hope parents you your me her him whoever until keep send hire let blood cage cages yourself people wiped wipe exterminated exterminate deported driven cleanse coming knife gun earth jump bridge belong kitchen rip head gas jews immigrants came face allowed foreign bring".split()
 )
 
 
