@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from readroute.session import col, map_arrow
 
@@ -203,6 +204,9 @@ def to_canonical(df: DataFrame, value: str, reference: DataFrame, entry: str, k:
     known = F.broadcast(entries.select(F.col("entry").alias("__known")))
     odd = rows.join(known, F.col("__value") == F.col("__known"), "left_anti")
     shared = spark.sparkContext.broadcast(sorted(r.entry for r in entries.toLocalIterator()))
+    # How often each entry itself occurs: at most one number an entry.
+    often = rows.join(known, F.col("__value") == F.col("__known")).groupBy("__known").agg(F.count(F.lit(1)).alias("n"))
+    counts = spark.sparkContext.broadcast({r[0]: r[1] for r in often.toLocalIterator()})
     where = odd.schema.names.index("__value")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in odd.schema)
 
@@ -213,6 +217,7 @@ def to_canonical(df: DataFrame, value: str, reference: DataFrame, entry: str, k:
         for c, r in zip(cleaned, raw):
             by_letters.setdefault(c, []).append(r)
         table = DeleteTable(list(by_letters), k)
+        frequency = np.array([sum(counts.value.get(r, 0) for r in by_letters[e]) for e in table.entries])
         seen: dict[str, tuple] = {}
         for batch in batches:
             words = letters_only(batch.column(where)).dictionary_encode()
@@ -220,7 +225,8 @@ def to_canonical(df: DataFrame, value: str, reference: DataFrame, entry: str, k:
             if len(seen) > 500_000:
                 seen, new = {}, words.dictionary.to_pylist()
             if new:
-                for w, e, d, t, s in zip(new, *[table.closest(new)[c] for c in ("entry", "distance", "ties", "suggestion")]):
+                near = table.closest(new, frequency)
+                for w, e, d, t, s in zip(new, *[near[c] for c in ("entry", "distance", "ties", "suggestion")]):
                     if t == t and t:
                         owners = by_letters[e] if e is not None else []
                         unique = owners[0] if t == 1 and len(owners) == 1 else None
@@ -235,6 +241,11 @@ def to_canonical(df: DataFrame, value: str, reference: DataFrame, entry: str, k:
     return map_arrow(odd, match, f"{fields}, {RESULT}").withColumnRenamed("__value", value)
 
 
+@F.pandas_udf(T.DoubleType())
+def _weights(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([weighted_damerau(x, y) for x, y in zip(a, b)], dtype=float)
+
+
 def _by_join(rows: DataFrame, entries: DataFrame, k: int, keep: tuple[str, ...]) -> DataFrame:
     """The same for a reference too large to broadcast: deletes meet in a join.
 
@@ -259,9 +270,12 @@ def _by_join(rows: DataFrame, entries: DataFrame, k: int, keep: tuple[str, ...])
 
     pairs = words.withColumn("c", cuts("w")).join(refs.withColumn("c", cuts("e")), "c").select("w", "e", "entry").distinct()
     near = pairs.withColumn("d", F.levenshtein("w", "e")).filter(F.col("d") <= k)
-    rank = Window.partitionBy("w")
-    best = near.withColumn("m", F.min("d").over(rank)).filter("d = m")
-    closest = best.groupBy("w").agg(F.first("d").cast("int").alias("distance"), F.count(F.lit(1)).cast("int").alias("ties"), F.min("entry").alias("suggestion"))
+    # A word has few entries this near, so its window is small.
+    best = near.withColumn("m", F.min("d").over(Window.partitionBy("w"))).filter("d = m")
+    often = rows.groupBy(F.col("__value").alias("o")).agg(F.count(F.lit(1)).alias("often"))
+    best = best.join(often, F.col("entry") == F.col("o"), "left").withColumn("weight", _weights("w", "e"))
+    likeliest = F.min(F.struct("weight", -F.coalesce("often", F.lit(0)), "entry"))
+    closest = best.groupBy("w").agg(F.first("d").cast("int").alias("distance"), F.count(F.lit(1)).cast("int").alias("ties"), likeliest["entry"].alias("suggestion"))
     closest = closest.withColumn("entry", F.when(F.col("ties") == 1, F.col("suggestion")))
     by_value = values.join(closest, "w", "left").select(F.col("__value").alias("__v"), "entry", "distance", F.coalesce("ties", F.lit(0)).alias("ties"), "suggestion")
     return odd.join(by_value, F.col("__value") == F.col("__v")).select(*[col(c) for c in keep], "__value", "entry", "distance", "ties", "suggestion")

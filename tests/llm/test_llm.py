@@ -119,6 +119,15 @@ def test_canonical_against_brute_force(spark, bound):
         canonical.to_canonical(df.withColumnRenamed("id", "ties"), "city", ref, "name", keep=("ties",))
 
 
+@pytest.mark.parametrize("bound", [1 << 28, 0])
+def test_suggestions_follow_weight_then_frequency(spark, bound):
+    df = spark.createDataFrame([("ACGTAA",)] * 2 + [("ACGTAC",)] * 5 + [("ACGTAG",), ("GGCATT",), ("GGCCAT",)], "v string")
+    ref = spark.createDataFrame([("ACGTAA",), ("ACGTAC",), ("GGACTT",), ("GGCAAT",)], "v string")
+    got = {r.v: (r.entry, r.ties, r.suggestion) for r in canonical.to_canonical(df, "v", ref, "v", max_broadcast_bytes=bound).collect()}
+    assert got["ACGTAG"] == (None, 2, "ACGTAC")
+    assert got["GGCATT"] == ("GGCAAT", 1, "GGCAAT") and got["GGCCAT"] == ("GGCAAT", 1, "GGCAAT")
+
+
 def test_canonical_with_an_empty_list(spark):
     df = spark.createDataFrame([("a",), (None,)], "v string")
     got = canonical.to_canonical(df, "v", df.filter("v is null"), "v").collect()
