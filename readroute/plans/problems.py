@@ -59,7 +59,26 @@ records AS (
   FROM parsed)
 """
 
+
+def _reasons() -> str:
+    """The ladder of prefixes in SQL: per field its shape, then its value."""
+    names = ("rec_pos", "header", "seq", "qual")
+    values = (_POS, rf'@[^{_BLANK}",][^",]*', _SEQ, r"[!#-+\--~]+")
+    quoted = (_POS, rf'@(?:[^{_BLANK}"]|"")(?:[^"]|"")*', _SEQ, r'(?:[!#-~]|"")+')
+    any_field = r'(?:"(?:[^"]|"")*"|[^",]*)'
+    fields = [f'(?:"(?:{q})"|(?:{v}))' for v, q in zip(values, quoted)]
+    out = "CASE WHEN t IS NULL THEN 'null_line' WHEN fits THEN 'qual_length'"
+    for i, name in enumerate(names, 1):
+        if i > 1:
+            out += rf" WHEN regexp_matches(t, '(?s)\A{','.join([any_field] * (i - 1))}\z') THEN 'missing:{name}'"
+        out += rf" WHEN NOT regexp_matches(t, '(?s)\A{','.join([any_field] * i)}(?:,|\z)') THEN 'quoting:{name}'"
+        out += rf" WHEN NOT regexp_matches(t, '(?s)\A{','.join(fields[:i])}(?:,|\z)') THEN 'value:{name}'"
+    return out + " ELSE 'extra_fields' END"
+
+
 ORACLES = {
+    "p1_reasons": _PARSED.replace("SELECT raw_id, fits, g.q1", "SELECT raw_id, t, fits, g.q1")
+    + f"SELECT raw_id, {_reasons()} AS reason FROM records WHERE t IS NULL OR NOT (fits AND length(seq) = length(qual))",
     "p1_found": _PARSED + "SELECT raw_id FROM records WHERE NOT (fits AND length(seq) = length(qual))",
     "p1_records": _PARSED + "SELECT raw_id, CAST(rec_pos AS BIGINT) AS rec_pos, header, seq, qual FROM records WHERE fits AND length(seq) = length(qual)",
     "p5_barcode_days": """

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from readroute.functions import seq as fn
 from readroute.operators import barcodes, routing, split
-from readroute.operators.anchors import Options, anchors, atac_interval_column, gex_interval_column
+from readroute.operators.anchors import GEX, Options, anchors, atac_interval_column, barcode_hits, gex_interval_column
 from readroute.session import load
 from readroute.sources.fastq import linked
 
@@ -207,6 +207,12 @@ def exact_counts(spark, sf_dir):
     return routing.counts(anchors(_exact(spark, sf_dir), spread=_tasks(spark)))
 
 
+def anchor_hits(spark, sf_dir):
+    """One anchor alone over reads whose truth is known."""
+    hits = barcode_hits(_exact(spark, sf_dir), GEX, spread=_tasks(spark)).filter("bc is not null")
+    return hits.select("rec_pos", "bc", "bc_pos", "strand")
+
+
 def valid_only_filter(spark, sf_dir):
     routed = load(spark, sf_dir, "gex_tags").select("row_id", "file_id", F.when(F.col("cr").isNull(), "other").otherwise("gex").alias("route"), F.col("is_valid").alias("valid"))
     return routing.counts(routed.filter((F.col("route") == "other") | F.col("valid")))
@@ -257,6 +263,6 @@ QUERIES = {
     for f in (
         seq_reverse_complement, seq_reverse, qual_decode, fastq_control_id, fastq_linked, fastq_verify_ids, fastq_limit, fastq_format, correction_table,
         correct_barcode, correct_barcode_weighted, translate_barcode, atac_tags, gex_tags, atac_intervals, gex_intervals, technical_remainder, demux_exact,
-        demux_records, demux_fuzzy, route_counts, exact_counts, valid_only_filter, bam_summary, bam_split_rows, bam_split_counts, output_map_check, sam_tags,
+        demux_records, anchor_hits, demux_fuzzy, route_counts, exact_counts, valid_only_filter, bam_summary, bam_split_rows, bam_split_counts, output_map_check, sam_tags,
     )
 } | {"barcode_swap": barcode_swap, "barcode_insert": barcode_insert, "barcode_delete": barcode_delete}

@@ -107,6 +107,8 @@ SELECT k AS rec_pos, CASE WHEN has THEN 'gex' ELSE 'other' END AS route, CASE WH
 SELECT k AS rec_pos, CASE WHEN has THEN 'gex' ELSE 'other' END AS route,
        '@o' || k || CASE WHEN has THEN ' CB=' || bc || ' CR=' || bc || ' CY=' || repeat('I', 16) || ' UB=' || umi || ' UR=' || umi || ' UY=' || repeat('I', 12) ELSE '' END AS header,
        CAST(CASE WHEN has THEN 140 ELSE 128 END AS INTEGER) AS n_seq, CAST(CASE WHEN has THEN 140 ELSE 128 END AS INTEGER) AS n_qual FROM e""",
+    "anchor_hits": _EXACT + """
+SELECT k AS rec_pos, bc || umi AS bc, CAST(33 AS INTEGER) AS bc_pos, CASE WHEN forward THEN '+' ELSE '-' END AS strand FROM e WHERE has""",
     "exact_counts": _EXACT + """
 SELECT CAST(k % 16 AS INTEGER) AS file_id, CAST(0 AS BIGINT) AS atac, count(*) FILTER (has) AS gex, count(*) FILTER (NOT has) AS other FROM e GROUP BY k % 16""",
     "valid_only_filter": """
