@@ -31,8 +31,9 @@ from readroute.session import col, map_arrow
 KINDS = ("insult", "threat", "hate", "sexual")
 
 #: Tokens: line ends, and runs of letters, digits and the signs noise uses.
-#: A JSON escape of a line end is a line end, too.
-TOKENS = r"\n|[\p{L}\p{M}\p{N}\p{Cf}@$!*#%&+|.'’·•~_^-]+"
+#: A JSON escape of a line end is a line end, and one of a letter that letter.
+#: Possessive, so that a token of any length needs no stack.
+TOKENS = r"\n|(?:\\u[0-9a-fA-F]{4}|[\p{L}\p{M}\p{N}\p{Cf}@$!*#%&+|.'’·•~_^-]++)++"
 
 # What may stand for a letter, beside the letter itself.
 STANDS_FOR = {
@@ -133,6 +134,15 @@ class Channel:
         return word if cost < plain and letters + sum(c in STANDS_FOR for c in token if not c.isalpha()) >= 2 else None
 
 
+_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
+
+
+def unescape(token: str) -> str:
+    """JSON escapes of letters as those letters; halves of pairs are joined."""
+    plain = _ESCAPE.sub(lambda m: chr(int(m.group(1), 16)), token)
+    return plain.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 _MARKS = re.compile(r"[\u0300-\u036f\u200b-\u200f\u2060\u00ad\ufeff\u061c\u180e]")
 _EDGE = ".-_~·•'’^+|&%#"
 _REPEAT = re.compile(r"(.)\1\1")
@@ -260,7 +270,7 @@ class Scorer:
         ends = pieces.offsets.to_numpy()
         scores = np.zeros((len(pieces), len(KINDS)))
         words = pieces.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-        names = words.dictionary.to_pylist()
+        names = [unescape(t) if "\\u" in t else t for t in words.dictionary.to_pylist()]
         if not names:
             return scores
         flags = np.fromiter((self._flag(t) for t in names), np.int8, len(names))

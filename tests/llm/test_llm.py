@@ -241,7 +241,7 @@ def test_mixing_reaches_its_shares(spark):
 # --- abusive content
 
 
-FOUL = ["what a stup1d b.a.s.t.a.r.d you are", "you are a w*******s l***r", "I will b r e a k your legs", "foreigners are v3rm1n", "i want to fuuuuck you", "du bist ein Arschloch", "hijo de puta", "このバカ野郎", "send n​udes and beg", "eres un imbécil"]
+FOUL = ["what a stup1d b.a.s.t.a.r.d you are", "you are a w*******s l***r", "I will b r e a k your legs", "foreigners are v3rm1n", "i want to fuuuuck you", "du bist ein Arschloch", "hijo de puta", "このバカ野郎", "send n​udes and beg", "eres un imbécil", r'{"source": ["# \u3053\u306e\u30d0\u30ab\u91ce\u90ce\n"]}', r'"you are a w\u200borthless l\u006fser\n"', r"va crever, esp\u00e8ce d\u2019idiot"]
 FINE = ["", " ", "cock pheasants and great tits", "kill the process and break the loop", "the dumb baseline", "x**2 + a**b", "women and men answered alike", "Parasite load per ewe", "if not ok: break", "strip the naked URL"]
 
 
@@ -256,6 +256,7 @@ def test_foul_and_fine_lines(spark):
 def test_a_passage_is_found_anywhere(spark):
     filler = "plain words about river gauges and bakery orders\n" * 4000
     texts = [filler + FOUL[0] + "\n" + filler, filler, filler.replace("\n", " ") + FOUL[1] + " " + filler.replace("\n", " ")]
+    texts[0] += "aZ09+" * 200_000 + "\\u00e8" * 50_000
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     assert [r.score >= 1 for r in toxicity.score(df, "text").orderBy("id").collect()] == [True, False, True]
     rates = toxicity.rates(toxicity.score(df.withColumn("src", F.lit("a")), "text"), "src").first()
