@@ -103,7 +103,51 @@ def correct(df: DataFrame, barcode: str, whitelist: DataFrame, entry: str = "bar
     return df.join(table, col(barcode) == F.col(key), "left").withColumn(out, F.col(fixed)).drop(key, fixed)
 
 
-def correct_weighted(df: DataFrame, barcode: str, quality: str, whitelist: DataFrame, entry: str = "barcode", max_dist: int = 2, min_weight_dist: float = 0.5, out: str = "corrected", block: int = 256) -> DataFrame:
+class _Nearest:
+    """The two nearest list entries by weighted mismatches, found in blocks."""
+
+    def __init__(self, entries: list[str], chunk: int = 1 << 16, block: int = 64):
+        self.block = block
+        by_length: dict[int, list[str]] = {}
+        for e in entries:
+            by_length.setdefault(len(e), []).append(e)
+        self.tables: dict[int, list] = {}
+        for n, es in by_length.items():
+            parts = [es[a : a + chunk] for a in range(0, len(es), chunk)]
+            self.tables[n] = [(p, np.array([[ord(c) for c in e] for e in p], np.int32).reshape(len(p), n)) for p in parts]
+
+    def __call__(self, words: list[str], quals: list[str]) -> list[tuple]:
+        """(entry, its weight, its mismatches, the second one's weight)."""
+        out: list[tuple] = [(None, None, None, None)] * len(words)
+        for n in self.tables:
+            mine = [i for i, w in enumerate(words) if len(w) == n == len(quals[i]) and n]
+            for a in range(0, len(mine), self.block):
+                ids = mine[a : a + self.block]
+                for i, row in zip(ids, self._block(n, [words[i] for i in ids], [quals[i] for i in ids])):
+                    out[i] = row
+        return out
+
+    def _block(self, n: int, words: list[str], quals: list[str]) -> list[tuple]:
+        codes = np.array([[ord(c) for c in w] for w in words], np.int32)
+        weights = np.maximum((np.array([[ord(c) - 33 for c in q] for q in quals]) - 15) / 15, 0) + 1
+        rows = np.arange(len(words))
+        best: list[list] = [[] for _ in words]
+        for entries, table in self.tables[n]:
+            weighed, plain = np.zeros((len(words), len(table))), np.zeros((len(words), len(table)), np.int32)
+            for k in range(n):
+                differs = codes[:, k : k + 1] != table[None, :, k]
+                weighed += differs * weights[:, k : k + 1]
+                plain += differs
+            for _ in range(min(2, len(entries))):
+                first = weighed.argmin(axis=1)
+                for r, f in zip(rows, first):
+                    best[r].append((float(weighed[r, f]), entries[f], int(plain[r, f])))
+                weighed[rows, first] = np.inf
+        ranked = [sorted(b, key=lambda x: x[0]) for b in best]
+        return [(b[0][1], b[0][0], b[0][2], b[1][0] if len(b) > 1 else None) for b in ranked]
+
+
+def correct_weighted(df: DataFrame, barcode: str, quality: str, whitelist: DataFrame, entry: str = "barcode", max_dist: int = 2, min_weight_dist: float = 0.5, out: str = "corrected", max_broadcast: int = 2_000_000) -> DataFrame:
     """``df`` with the list's entry nearest by quality-weighted mismatches.
 
     A mismatch at a base of score Q weighs ``1 + max((Q - 15) / 15, 0)``. The
@@ -112,49 +156,48 @@ def correct_weighted(df: DataFrame, barcode: str, quality: str, whitelist: DataF
     ``min_weight_dist``. Entries of the list stay; null barcodes, those whose
     quality is null or of another length, and those no entry fits give null.
 
-    The distinct (barcode, quality) pairs are compared with the broadcast list
-    in blocks, as arrays.
+    The distinct (barcode, quality) pairs are compared with the list in blocks,
+    as arrays. A list of more than ``max_broadcast`` entries is broadcast in
+    parts of that size, whose nearest entries are then ranked together.
     """
     if out.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"the input has a column {out!r} already; pass another name")
     b, q, fixed = fresh("bc_b", df), fresh("bc_q", df), fresh("bc_fixed", df)
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast([r[0] for r in whitelist.filter(col(entry).isNotNull()).select(col(entry)).toLocalIterator()])
+    entries = whitelist.filter(col(entry).isNotNull()).select(col(entry).alias("entry"))
+    parts = -(-entries.count() // max_broadcast)
     pairs = df.filter(col(barcode).isNotNull()).select(col(barcode).alias(b), F.coalesce(col(quality), F.lit("")).alias(q)).distinct()
+    known = entries.distinct()
+    odd = pairs.join(known, F.col(b) == F.col("entry"), "left_anti")
+    table = pairs.join(known, F.col(b) == F.col("entry"), "left_semi").withColumn(fixed, F.col(b))
+    near = None
+    for part in range(parts):
+        # By position, so that repeats of an entry are dealt out evenly too.
+        mine = entries if parts == 1 else entries.filter(F.pmod(F.monotonically_increasing_id(), F.lit(parts)) == part)
+        found = _nearest_of(odd, [r[0] for r in mine.toLocalIterator()], b, q)
+        near = found if near is None else near.unionByName(found)
+    if near is not None:
+        one = F.struct("weight", "entry", "mismatches")
+        ranked = near.groupBy(b, q).agg(F.min(one).alias("one"), F.sort_array(F.collect_list("weight")).alias("firsts"), F.min("second").alias("second"))
+        # The runner-up is another part's first, or a second of any part.
+        second = F.least(F.try_element_at(F.col("firsts"), F.lit(2)) if parts > 1 else F.lit(None).cast("double"), F.col("second"))
+        clear = (F.col("one.mismatches") <= max_dist) & F.coalesce(F.col("one.weight") < second - min_weight_dist, second.isNull())
+        table = table.unionByName(ranked.filter(clear).select(b, q, F.col("one.entry").alias(fixed)))
+    joined = df.join(table, (col(barcode) == F.col(b)) & (F.coalesce(col(quality), F.lit("")) == F.col(q)), "left")
+    return joined.withColumn(out, F.col(fixed)).drop(b, q, fixed)
+
+
+def _nearest_of(pairs: DataFrame, entries: list[str], b: str, q: str) -> DataFrame:
+    shared = pairs.sparkSession.sparkContext.broadcast(entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_length: dict[int, list[str]] = {}
-        for e in shared.value:
-            by_length.setdefault(len(e), []).append(e)
-        known = set(shared.value)
-        tables = {n: np.array([[ord(c) for c in e] for e in es]).reshape(len(es), n) for n, es in by_length.items()}
+        nearest = _Nearest(shared.value)
         for batch in batches:
-            words, quals = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found: list[str | None] = [w if w in known else None for w in words]
-            for n, table in tables.items():
-                mine = [i for i, w in enumerate(words) if found[i] is None and len(w) == n and len(quals[i]) == n and n]
-                for a in range(0, len(mine), block):
-                    ids = mine[a : a + block]
-                    codes = np.array([[ord(c) for c in words[i]] for i in ids])
-                    weights = np.maximum((np.array([[ord(c) - 33 for c in quals[i]] for i in ids]) - 15) / 15, 0) + 1
-                    weighed, plain = np.zeros((len(ids), len(table))), np.zeros((len(ids), len(table)), np.int32)
-                    for k in range(n):
-                        differs = codes[:, k : k + 1] != table[None, :, k]
-                        weighed += differs * weights[:, k : k + 1]
-                        plain += differs
-                    first = weighed.argmin(axis=1)
-                    rows = np.arange(len(ids))
-                    least = weighed[rows, first]
-                    near = plain[rows, first] <= max_dist
-                    weighed[rows, first] = np.inf
-                    clear = least < weighed.min(axis=1) - min_weight_dist
-                    for i, f, ok in zip(ids, first, near & clear):
-                        found[i] = by_length[n][f] if ok else None
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[b, q, fixed])
-
-    table = pairs.mapInArrow(run, f"{b} string, {q} string, {fixed} string")
-    joined = df.join(table, (col(barcode) == F.col(b)) & (F.coalesce(col(quality), F.lit("")) == F.col(q)), "left")
-    return joined.withColumn(out, F.col(fixed)).drop(b, q, fixed)
+            found = nearest(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            columns = list(zip(*found)) if found else [[]] * 4
+            made = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[b, q, "entry", "weight", "mismatches", "second"])
+
+    return pairs.mapInArrow(run, f"{b} string, {q} string, entry string, weight double, mismatches int, second double").filter("entry is not null")
 
 
 def translations(source: DataFrame, target: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from readroute.functions import seq as fn
+from readroute.session import cut
 
 SCHEMA = "path string, file_id int, rec_pos bigint, header string, seq string, qual string"
 
@@ -173,8 +174,17 @@ def read_fastq(spark: SparkSession, path: str | list[str], phred: str = "raw", n
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Adds ``rec_no``, the record's number in its file, from 0."""
-    return df.withColumn("rec_no", F.row_number().over(Window.partitionBy("file_id").orderBy("rec_pos")) - 1)
+    """Adds ``rec_no``, the record's number in its file, from 0.
+
+    Files may be huge, so no task numbers a whole one: records are laid out by
+    range once, numbered within their part, and shifted by the parts before.
+    """
+    laid = cut(df.repartitionByRange("file_id", "rec_pos").withColumn("__part", F.spark_partition_id()))
+    held = laid.groupBy(F.col("file_id").alias("__f"), F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    before = held.select("__f", "__p", (F.sum("__n").over(Window.partitionBy("__f").orderBy("__p")) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("file_id", "__part").orderBy("rec_pos")) - 1
+    placed = laid.withColumn("__i", inside).join(before, F.col("file_id").eqNullSafe(F.col("__f")) & (F.col("__part") == F.col("__p")))
+    return placed.withColumn("rec_no", F.col("__before") + F.col("__i")).drop("__part", "__f", "__p", "__before", "__i")
 
 
 def linked(files: list[DataFrame], verify_ids: bool = True, strict_ids: bool = False, n_records: int | None = None) -> DataFrame:

@@ -62,7 +62,8 @@ def weighted(bc, qual, entries, max_dist, gap):
     return entries[scored[0][1]] if len(scored) == 1 or scored[0][0] < scored[1][0] - gap else None
 
 
-def test_weighted_nearest(spark):
+@pytest.mark.parametrize("bound", [2_000_000, 15])
+def test_weighted_nearest(spark, bound):
     rng = random.Random(2)
     word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
     entries = [word(8) for _ in range(40)] + [word(6)] * 2
@@ -70,7 +71,7 @@ def test_weighted_nearest(spark):
     rows += [(e[:3] + "A" + e[4:], "#5I#5I#5") for e in entries]
     df = spark.createDataFrame(rows, "bc string, q string")
     wl = spark.createDataFrame([(e,) for e in entries], "barcode string")
-    for r in B.correct_weighted(df, "bc", "q", wl).collect():
+    for r in B.correct_weighted(df, "bc", "q", wl, max_broadcast=bound).collect():
         assert r.corrected == weighted(r.bc, r.q, entries, 2, 0.5), r
 
 
