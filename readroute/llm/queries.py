@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from readroute.llm import bpe, canonical, components, distinct, frequent, mixing, percentiles, toxicity
 from readroute.session import cut, load
 
+#: Groups whose unions by twos p7_counts reports; more are an error.
+MOST_GROUPS = 100
 PROBS = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -103,9 +105,12 @@ def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lookup = load(spark, sf_dir, "barcode_lookup").select(F.col("barcode").alias("name"), "grp")
     in_groups = fine.filter("kind = 'cb'").join(lookup, "name").select(F.lit("group").alias("kind"), F.col("grp").alias("name"), "registers")
     groups = cut(distinct.merge(in_groups, ["kind", "name"]))
-    # One row a group and partner: the cell groups are a fixed, short list.
-    names = groups.select(F.lit(1).alias("one"), F.col("name").alias("partner"))
-    pairs = groups.withColumn("one", F.lit(1)).join(F.broadcast(names), "one").filter("name <> partner")
+    # The cell groups are a fixed, short list; each is dealt out to its unions.
+    names = sorted(r.name for r in groups.select("name").limit(MOST_GROUPS + 1).collect())
+    if len(names) > MOST_GROUPS:
+        raise ValueError(f"unions of pairs are for at most {MOST_GROUPS} groups")
+    partner = F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")).alias("partner")
+    pairs = groups.select("name", "registers", partner).filter("name <> partner")
     pairs = pairs.select(F.lit("union").alias("kind"), F.concat_ws("+", F.least("name", "partner"), F.greatest("name", "partner")).alias("name"), "registers")
     whole = groups.select(F.lit("union").alias("kind"), F.lit("all groups").alias("name"), "registers")
     unions = distinct.merge(pairs.unionByName(whole), ["kind", "name"])
