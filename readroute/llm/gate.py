@@ -1,0 +1,187 @@
+"""What a line must hold for a rule to match, read off the rules themselves.
+
+A pattern is parsed and each stretch of it whose texts can be listed becomes a
+clause: a set of words, or of beginnings, ends or parts of words where the
+pattern does not bound them, of which every match holds at least one. A line
+that fails a clause of a rule cannot match it, so the rule need not be tried.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Sequence
+from re import _constants as sre
+from re import _parser
+
+import numpy as np
+
+_WORD = re.compile(r"\w+")
+#: Marks the edge of a word inside the texts of a pattern.
+_EDGE = "\0"
+#: Texts listed at most for a stretch, before it is cut into two clauses.
+_MOST = 2000
+_COMMON = set("a an and are as at be by do for go get have he her him his i if in is it like me my no not of off on or our over she so that the their them they this to too until up want we what who will with you your".split())
+
+# An atom is (part of a word, begins the word, ends the word).
+Atom = tuple[str, bool, bool]
+Clause = frozenset[Atom]
+
+
+def _is_edge(c: str) -> bool:
+    return not (c.isalnum() or c == "_")
+
+
+def _listed(seq) -> set[str] | None:
+    """All texts of a parsed pattern, or None if they are too many."""
+    out = {""}
+    for op, arg in seq:
+        one: set[str] | None
+        if op is sre.LITERAL:
+            one = {chr(arg)}
+        elif op is sre.AT:
+            one = {_EDGE}
+        elif op in (sre.ASSERT, sre.ASSERT_NOT):
+            one = {""}
+        elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg):
+            one = {chr(a) for _, a in arg}
+        elif op is sre.SUBPATTERN:
+            one = _listed(arg[3])
+        elif op is sre.BRANCH:
+            parts = [_listed(p) for p in arg[1]]
+            one = None if any(p is None for p in parts) else set().union(*parts)
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[1] == 1:
+            one = _listed(arg[2])
+            if one is not None and arg[0] == 0:
+                one = one | {""}
+        else:
+            one = None
+        if one is None or len(out) * len(one) > _MOST:
+            return None
+        out = {a + b for a in out for b in one}
+    return out
+
+
+def _side(seq, last: bool, beyond: bool) -> bool:
+    """Whether a word beside the pattern's first (last) character ends there;
+    ``beyond`` says so of what follows where the pattern may be empty."""
+    for op, arg in reversed(list(seq)) if last else seq:
+        if op is sre.LITERAL:
+            return _is_edge(chr(arg))
+        if op is sre.AT:
+            return True
+        if op in (sre.ASSERT, sre.ASSERT_NOT):
+            continue
+        rest = list(seq)
+        at = next(i for i, x in enumerate(rest) if x[1] is arg)
+        after = lambda: _side(rest[:at] if last else rest[at + 1 :], last, beyond)
+        if op is sre.SUBPATTERN:
+            return _side(arg[3], last, after())
+        if op is sre.BRANCH:
+            return all(_side(p, last, after()) for p in arg[1])
+        if op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            return _side(arg[2], last, after()) and (arg[0] > 0 or after())
+        if op is sre.IN:
+            return all(o is sre.LITERAL and _is_edge(chr(a)) for o, a in arg)
+        return False
+    return beyond
+
+
+def _atoms(text: str, left: bool, right: bool) -> list[Atom]:
+    return [(m.group(), m.start() > 0 or left, m.end() < len(text) or right) for m in _WORD.finditer(text)]
+
+
+def _of_texts(texts: set[str], left: bool, right: bool) -> list[Clause]:
+    """Clauses of listed texts: by each text's first, last and rarest part."""
+    held = [_atoms(t, left, right) for t in texts]
+    if not all(held):
+        return []
+    rare = lambda a: (a[0] not in _COMMON, a[1] + a[2], len(a[0]))
+    return list({frozenset(a[0] for a in held), frozenset(a[-1] for a in held), frozenset(max(a, key=rare) for a in held)})
+
+
+def _clauses(seq, left: bool, right: bool) -> list[Clause]:
+    """Clauses of a parsed pattern; ``left`` and ``right`` say whether words end at its sides."""
+    seq, out, i = list(seq), [], 0
+    while i < len(seq):
+        before = _side(seq[:i], True, left)
+        j, texts = i, {""}
+        # The longest stretch from here that can be listed.
+        while j < len(seq) and (more := _listed(seq[i : j + 1])) is not None:
+            j, texts = j + 1, more
+        if j > i:
+            out += _of_texts(texts, before, _side(seq[j:], False, right))
+            i = j
+            continue
+        op, arg = seq[i]
+        after = _side(seq[i + 1 :], False, right)
+        if op is sre.SUBPATTERN:
+            out += _clauses(arg[3], before, after)
+        elif op is sre.BRANCH:
+            parts = [sorted(_clauses(p, before, after), key=_weight) for p in arg[1]]
+            if all(parts):
+                out += [frozenset().union(*[p[min(k, len(p) - 1)] for p in parts]) for k in range(2)]
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
+            # Repeated, a part may stand beside itself.
+            out += _clauses(arg[2], before and _side(arg[2], True, before), after and _side(arg[2], False, after))
+        i += 1
+    return out
+
+
+def _weight(clause: Clause) -> tuple:
+    return sum(a[0] in _COMMON for a in clause), sum(not (a[1] and a[2]) for a in clause), len(clause)
+
+
+def clauses(pattern: str) -> list[Clause]:
+    """The clauses of a pattern, without those that others imply."""
+    found = sorted(set(_clauses(_parser.parse(pattern), False, False)), key=len)
+    return [c for k, c in enumerate(found) if not any(d <= c for d in found[:k])]
+
+
+class Gate:
+    """Which rules a line may match, from the words it holds."""
+
+    def __init__(self, patterns: Sequence[str]):
+        numbers: dict[Clause, int] = {}
+        self.needs = [sum(1 << numbers.setdefault(c, len(numbers)) for c in clauses(p)) for p in patterns]
+        self.columns = len(numbers) // 64 + 1
+        self.whole, self.heads, self.tails, self.parts = {}, {}, {}, {}
+        for c, n in numbers.items():
+            for text, begins, ends in c:
+                kept = (self.whole if ends else self.heads) if begins else (self.tails if ends else self.parts)
+                kept[text] = kept.get(text, 0) | 1 << n
+        self.head_sizes, self.tail_sizes = sorted({len(t) for t in self.heads}), sorted({len(t) for t in self.tails})
+
+    def word(self, w: str) -> int:
+        """The clauses a word satisfies, as bits."""
+        bits = self.whole.get(w, 0)
+        for n in self.head_sizes:
+            bits |= self.heads.get(w[:n], 0)
+        for n in self.tail_sizes:
+            bits |= self.tails.get(w[-n:], 0)
+        for part, b in self.parts.items():
+            if part in w:
+                bits |= b
+        return bits
+
+    def text(self, text: str) -> int:
+        bits = 0
+        for w in _WORD.findall(text):
+            bits |= self.word(w)
+        return bits
+
+    def rules(self, bits: int) -> list[int]:
+        return [k for k, need in enumerate(self.needs) if bits & need == need]
+
+    def columns_of(self, bits: Sequence[int]) -> np.ndarray:
+        """Bits as 64 to a column."""
+        return np.frombuffer(b"".join(b.to_bytes(8 * self.columns, "little") for b in bits), np.uint64).reshape(-1, self.columns)
+
+    def any_rule(self, held: np.ndarray) -> np.ndarray:
+        """For rows of columns, whether some rule's clauses all hold."""
+        out = np.zeros(len(held), bool)
+        for need in self.columns_of(self.needs):
+            ok = np.ones(len(held), bool)
+            for k in np.flatnonzero(need):
+                ok &= held[:, k] & need[k] == need[k]
+            out |= ok
+        return out

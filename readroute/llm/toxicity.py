@@ -9,8 +9,9 @@ than the token as it stands. The score is given to the restored lines, by
 weighted patterns for insults, threats, hate against groups and sexual content.
 
 The JVM cuts texts into tokens, a batch's distinct tokens are decoded once and
-remembered, and lines without any trigger word are passed over by array
-operations; only the few others are looked at one by one.
+remembered, and lines that no rule can match, as they lack words every match of
+it holds (:mod:`readroute.llm.gate`), are passed over by array operations; only
+the others are looked at one by one.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readroute.llm import lexicon
+from readroute.llm.gate import Gate
 from readroute.session import col, map_arrow
 
 KINDS = ("insult", "threat", "hate", "sexual")
@@ -190,15 +192,14 @@ class Restorer:
 _RULES = [(KINDS.index(kind), weight, re.compile(pattern)) for kind, weight, pattern in lexicon.RULES]
 _PHRASES = [(KINDS.index(kind), p) for kind, many in lexicon.UNSPACED.items() for p in many]
 
-#: A line is looked at when it holds one of these words (of the vocabulary of
-#: contempt, sex and foreign abuse), or two of the weaker kinds.
+#: Which rules a line's words leave possible.
+_GATE = Gate([pattern for _, _, pattern in lexicon.RULES])
+
+#: Words of contempt, sex and foreign abuse, which no ordinary token may become.
 _STRONG = {*lexicon.INSULTS, *lexicon.EXPLICIT, *lexicon.FOREIGN} | set(
     "panties nudes moaned dripping braindead worm maggot vermin filth scum subhuman cockroaches parasites parasite despises vanish doorknobs thimble sleeptight wheelchair"
     " drown bleeding stab strangle kys deserve savages inferior plague ashamed sick shit hell hardcore breed throat garbage oxygen rats disease boat thieves river scared smash".split()
 )
-_WEAK = {*lexicon.NOUNS, *lexicon.ADJECTIVES, *lexicon.GROUPS, *lexicon.GROUP_WORDS, *lexicon.DEHUMANIZERS, *lexicon.SENSUAL} | set(
-    "kill kills killed break burn cut beat shoot hang hurt punch drag hunt find die dead shut lost mommy excuse hole nobody hate hope parents you your me her him whoever until keep send hire let blood cage cages yourself people wiped wipe exterminated exterminate deported driven cleanse coming knife gun earth jump bridge belong kitchen rip head gas jews immigrants came face allowed foreign bring".split()
-)
 
 
 def score_line(words: list[str]) -> list[float]:
@@ -206,7 +207,8 @@ def score_line(words: list[str]) -> list[float]:
     line = " ".join(words)
     line = line.replace("-", " ").replace("_", " ") if "user_" not in line else line.replace("-", " ")
     out = [0.0] * len(KINDS)
-    for kind, weight, pattern in _RULES:
+    for k in _GATE.rules(_GATE.text(line)):
+        kind, weight, pattern = _RULES[k]
         if out[kind] < 1 and pattern.search(line):
             out[kind] += weight
     return out
@@ -215,18 +217,28 @@ def score_line(words: list[str]) -> list[float]:
 class Scorer:
     def __init__(self):
         self.restorer = Restorer()
-        self.flags: dict[str, int] = {}
+        self.held: dict[str, int] = {}
 
     def _flag(self, token: str) -> int:
-        """1: strong, 2: weak, 4: one letter, 8: line end, 16: unspaced script."""
+        """4: one letter, 8: line end, 16: unspaced script."""
         if token == "\n":
             return 8
         if len(token) == 1 or (len(token) == 2 and not token[1].isalnum()):
             return 4 if token[0].isalnum() or token[0] in "@$!*" else 0
-        word = self.restorer.restore(token)
-        if not word.isascii() and _UNSPACED.search(word):
-            return 16
-        return (1 if word in _STRONG or any(p in _STRONG for p in word.split()) else 0) | (2 if word in _WEAK else 0)
+        return 16 if not token.isascii() and _UNSPACED.search(token) else 0
+
+    def _held(self, token: str) -> int:
+        """The clauses of rules that the token's words satisfy."""
+        found = self.held.get(token)
+        if found is None:
+            if len(self.held) >= self.restorer.most:
+                self.held = {}
+            word = self.restorer.restore(token).replace("-", " ")
+            found = _GATE.text(word)
+            if "_" in word:
+                found |= _GATE.text(word.replace("_", " "))
+            self.held[token] = found
+        return found
 
     def _joined(self, tokens: list[str]) -> list[str]:
         """Restored words, runs of single letters decoded as one word each."""
@@ -285,9 +297,18 @@ class Scorer:
         if not len(starts):
             return scores
         count = lambda hit: np.add.reduceat(hit.astype(np.int32), starts)
+        # The clauses that a line's words satisfy, of the words that satisfy any.
+        bits = _GATE.columns_of([self._held(t) for t in names])
+        at = np.flatnonzero(bits.any(axis=1)[code])
+        line = np.searchsorted(starts, at, "right") - 1
+        some = np.flatnonzero(np.diff(line, prepend=-1))
+        look = np.zeros(len(starts), bool)
+        if len(some):
+            held = np.stack([np.bitwise_or.reduceat(bits[code[at], k], some) for k in range(bits.shape[1])], axis=1)
+            look[line[some]] = _GATE.any_rule(held)
         single = flag == 4
         runs = single[:-2] & single[1:-1] & single[2:] if len(single) > 2 else np.zeros(0, bool)
-        look = (count(flag & 1 > 0) > 0) | (count(flag & 2 > 0) > 1) | (count(flag & 16 > 0) > 0)
+        look |= count(flag & 16 > 0) > 0
         look |= count(np.concatenate([runs, np.zeros(len(single) - len(runs), bool)])) > 0
         stops = np.append(starts[1:], len(code))
         owner = np.searchsorted(ends, starts, "right") - 1

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("readroute.llm.queries")
 
-from readroute.llm import canonical, components, distinct, frequent, mixing, percentiles, toxicity
+from readroute.llm import canonical, components, distinct, frequent, lexicon, mixing, percentiles, toxicity
 
 
 # --- percentiles
@@ -272,3 +273,48 @@ def test_channel_restores_words():
     assert {k: restore(k) for k in cases} == cases
     for plain in ("value", "x2", "utf8", "md5", "1234", "a1b2c3d4e5", "vision", "h5py", "v1.2.3"):
         assert not set(restore(plain).split()) & set(toxicity._STRONG), plain
+
+
+def _samples(seq, rng):
+    """A text that a parsed pattern matches, but for what it looks ahead to."""
+    out = ""
+    for op, arg in seq:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "ANY":
+            out += " "
+        elif name == "IN" and str(arg[0][0]) == "CATEGORY":
+            out += "q"
+        elif name == "IN":
+            out += chr(rng.choice(arg)[1])
+        elif name == "SUBPATTERN":
+            out += _samples(arg[3], rng)
+        elif name == "BRANCH":
+            out += _samples(rng.choice(arg[1]), rng)
+        elif name == "MAX_REPEAT":
+            out += "".join(_samples(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+        else:
+            assert name in ("AT", "ASSERT", "ASSERT_NOT"), name
+    return out
+
+
+def test_every_rule_passes_its_own_gate():
+    rng = random.Random(10)
+    for k, (_, _, pattern) in enumerate(lexicon.RULES):
+        compiled, parsed, matched = re.compile(pattern), re._parser.parse(pattern), 0
+        for _ in range(400):
+            text = _samples(parsed, rng)
+            if compiled.search(text):
+                matched += 1
+                assert k in toxicity._GATE.rules(toxicity._GATE.text(text)), text
+        assert matched, pattern
+    assert toxicity._GATE.rules(toxicity._GATE.text("plain words about river gauges")) == []
+
+
+PLAIN = ["I will rape you", "I will murder you", "I am going to torture her", "I will choke you", "I know where you live", "you will regret this", "watch your back", "piece of crap", "piss off", "take off your clothes", "lynch all gays", "deport all muslims", "muslims go home", "You're a loser"]
+
+
+def test_lines_without_a_listed_word_are_scored(spark):
+    df = spark.createDataFrame(list(enumerate(PLAIN)), "id int, text string")
+    assert [PLAIN[r.id] for r in toxicity.score(df, "text").collect() if r.score < 1] == []
