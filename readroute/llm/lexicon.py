@@ -81,6 +81,13 @@ watch we what wheelchair when while who whoever whole why will wipe wiped with w
 reviewer whats raising rest spit somewhere beyond vanish exterminated exterminate deported deport banned eradicated gassed lynched
 """.split()
 
+# Words that stand for themselves, though the channel could make
+# them of those above by doubling a letter or by z for s.
+THEMSELVES = """
+root bitte bee ann inn wee putt butt hoot hooter leet goo moo boo zoo woo doo thee hee zit zee zack zend zon oof mann herr heer lett matt gott nott
+carr aan noot goot rapped rapping ridding looser comme sitt jobb funn att
+""".split()
+
 # Words of other languages, without diacritics.
 FOREIGN = """
 follarte noche tuer fresse mulheres inferiores hijo puta putas puto mierda imbecil cabron gilipollas maricon zorra idiota estupido vete infierno romper cara matar muerte extranjeros ratas echarlos

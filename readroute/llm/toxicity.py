@@ -147,7 +147,6 @@ def unescape(token: str) -> str:
 
 _MARKS = re.compile(r"[\u0300-\u036f\u200b-\u200f\u2060\u00ad\ufeff\u061c\u180e]")
 _EDGE = ".-_~·•'’^+|&%#"
-_REPEAT = re.compile(r"(.)\1\1")
 _UNSPACED = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _SPELT = re.compile(r"[0-9@$!*#%&+|.'’·•~_^-]")
 
@@ -158,7 +157,7 @@ class Restorer:
     def __init__(self, most: int = 400_000):
         self.channel, self.most = Channel(), most
         self.known: dict[str, str] = {}
-        self.ordinary = set(self.channel.words)
+        self.ordinary = {*self.channel.words, *lexicon.THEMSELVES}
 
     def restore(self, token: str) -> str:
         found = self.known.get(token)
@@ -182,7 +181,7 @@ class Restorer:
         if bare in self.ordinary or not bare:
             return bare
         if bare.isalpha():
-            if not (_REPEAT.search(bare) or "v" in bare) or len(bare) > LONGEST:
+            if len(bare) > LONGEST:
                 return bare
         elif len(bare) > LONGEST or not (_SPELT.search(bare) and any(c.isalpha() for c in bare) or bare.isdigit() and len(bare) <= 3):
             return bare

@@ -318,3 +318,13 @@ PLAIN = ["I will rape you", "I will murder you", "I am going to torture her", "I
 def test_lines_without_a_listed_word_are_scored(spark):
     df = spark.createDataFrame(list(enumerate(PLAIN)), "id int, text string")
     assert [PLAIN[r.id] for r in toxicity.score(df, "text").collect() if r.score < 1] == []
+
+
+def test_letters_alone_are_decoded(spark):
+    restore = toxicity.Restorer().restore
+    cases = {"moorron": "moron", "iddiot": "idiot", "fuuck": "fuck", "azzhole": "asshole", "dicx": "dick", "Zlut": "slut"}
+    assert {k: restore(k) for k in cases} == cases
+    for plain in ("root", "bitte", "hoot", "rapped", "ridding", "class", "pizza", "matrix", "Herr", "foot"):
+        assert restore(plain) == plain.lower()
+    df = spark.createDataFrame([(0, "you are an azzhole"), (1, "such an iddiot"), (2, "fuuck you")], "id int, text string")
+    assert [r.id for r in toxicity.score(df, "text").collect() if r.score < 1] == []
