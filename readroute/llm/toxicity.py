@@ -147,6 +147,9 @@ def unescape(token: str) -> str:
 
 _MARKS = re.compile(r"[\u0300-\u036f\u200b-\u200f\u2060\u00ad\ufeff\u061c\u180e]")
 _EDGE = ".-_~·•'’^+|&%#"
+#: A character over three times, but for those of which each is a letter.
+_STRETCHED = re.compile(r"([^*#%&])\1{3,}")
+_PARTS = (re.compile(r"[._~·•'’^-]+"), re.compile(r"[^\w]+"))
 _UNSPACED = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _SPELT = re.compile(r"[0-9@$!*#%&+|.'’·•~_^-]")
 
@@ -180,13 +183,52 @@ class Restorer:
         bare = word.rstrip("!")
         if bare in self.ordinary or not bare:
             return bare
-        if bare.isalpha():
-            if len(bare) > LONGEST:
-                return bare
-        elif len(bare) > LONGEST or not (_SPELT.search(bare) and any(c.isalpha() for c in bare) or bare.isdigit() and len(bare) <= 3):
+        if len(bare) > LONGEST:
+            folded = _STRETCHED.sub(r"\1\1\1", bare)
+            return self.restore(folded) if len(folded) < len(bare) else self._parted(bare)
+        if not bare.isalpha() and not (_SPELT.search(bare) and any(c.isalpha() for c in bare) or bare.isdigit() and len(bare) <= 3):
             return bare
         return self.channel.decode(bare) or self.channel.decode(word) or bare.replace("’", " ").replace("'", " ").replace("-", " ").replace(".", " ").replace("_", " ").strip()
 
+    def _parted(self, word: str) -> str:
+        """A word longer than any the channel starts from, restored part by part:
+        between separators, then between all signs; without any it stays."""
+        for sign in _PARTS:
+            parts = [p for p in sign.split(word) if p]
+            if len(parts) > 1:
+                break
+        else:
+            return word
+        out: list[str] = []
+        i = 0
+        while i < len(parts):
+            j = i
+            while j < len(parts) and len(parts[j]) == 1:
+                j += 1
+            if j - i >= 3 and sum(p.isalpha() for p in parts[i:j]) >= 2:
+                out += self.spelt(parts[i:j])
+                i = j
+            else:
+                out.append(self.restore(parts[i]))
+                i += 1
+        return " ".join(w for w in out if w)
+
+    def spelt(self, letters: list[str]) -> list[str]:
+        """Single letters as the longest words they spell, from the left."""
+        out: list[str] = []
+        k = 0
+        while k < len(letters):
+            for n in range(min(len(letters), k + LONGEST), k + 2, -1):
+                word = self.channel.decode("".join(letters[k:n]))
+                if word and len(word) >= 3:
+                    out.append(word)
+                    k = n
+                    break
+            else:
+                out.append(letters[k])
+                k += 1
+        return out
+
 
 _RULES = [(KINDS.index(kind), weight, re.compile(pattern)) for kind, weight, pattern in lexicon.RULES]
 _PHRASES = [(KINDS.index(kind), p) for kind, many in lexicon.UNSPACED.items() for p in many]
@@ -263,17 +305,7 @@ class Scorer:
                 if word and len(word) >= j - i - k + 1:
                     out += letters[:k] + [word]
                     return j + 1
-        k = 0
-        while k < len(letters):
-            for n in range(len(letters), k + 2, -1):
-                word = self.restorer.channel.decode("".join(letters[k:n]))
-                if word and len(word) >= 3:
-                    out.append(word)
-                    k = n
-                    break
-            else:
-                out.append(letters[k])
-                k += 1
+        out += self.restorer.spelt(letters)
         return j
 
     def score(self, pieces: pa.ListArray) -> np.ndarray:
@@ -330,8 +362,10 @@ class Scorer:
         best = [0.0] * len(KINDS)
         # Long lines are read in overlapping windows, so patterns stay local.
         for a in range(0, max(1, len(tokens)), 60):
-            window = tokens[a : a + 90]
-            best = [max(x, y) for x, y in zip(best, score_line(self._joined(window)))]
+            # A long token may have become many words.
+            words = " ".join(self._joined(tokens[a : a + 90])).split(" ")
+            for b in range(0, max(1, len(words) - 120), 60):
+                best = [max(x, y) for x, y in zip(best, score_line(words[b : b + 180]))]
         if any(_UNSPACED.search(t) for t in tokens):
             text = "".join(tokens)
             for kind, phrase in _PHRASES:

@@ -328,3 +328,15 @@ def test_letters_alone_are_decoded(spark):
         assert restore(plain) == plain.lower()
     df = spark.createDataFrame([(0, "you are an azzhole"), (1, "such an iddiot"), (2, "fuuck you")], "id int, text string")
     assert [r.id for r in toxicity.score(df, "text").collect() if r.score < 1] == []
+
+
+LONG = ["you_worthless_piece_of_shit_go_kill_yourself_right_now_and_never_return", "what an idio" + "o" * 60 + "t", "f" + "." * 30 + "u" + "." * 30 + "c" + "." * 30 + "k you", ".".join("youareaworthlessmoronandmore"), "river+gauge+readings+of+the+bakery+you+are+a+b4st4rd+and+so+on", "-".join(["plain"] * 3000) + "-go-kill-yourself-" + "-".join(["plain"] * 3000)]
+
+
+def test_tokens_of_any_length_are_read(spark):
+    assert all(max(map(len, t.split())) > toxicity.LONGEST for t in LONG)
+    fine = ["-".join(["plain"] * 30), "a1b2" * 20, "=" * 80, "test_that_the_loop_will_kill_the_worker_process_and_break"]
+    df = spark.createDataFrame(list(enumerate([*LONG, *fine])), "id int, text string")
+    got = {r.id: r.score for r in toxicity.score(df, "text").collect()}
+    assert [LONG[k][:60] for k in range(len(LONG)) if got[k] < 1] == []
+    assert [t for k, t in enumerate(fine, len(LONG)) if got[k] >= 1] == []
