@@ -33,6 +33,19 @@ def test_fastq_ranges_give_every_record_once(spark, tmp_path):
     assert fastq.read_fastq(spark, str(tmp_path)).count() == 600
 
 
+def test_fastq_ranges_of_unequal_lengths(spark, tmp_path):
+    rng = random.Random(2)
+    text = "".join(record(i, "ACGT" * rng.randrange(9), "".join(rng.choice("@+!~I") for _ in range(40))) + "\n" * (i % 7 == 0) for i in range(300))
+    (tmp_path / "a.fastq").write_text(text + "@last\nACGT\n+\n")
+    whole = [r.header for r in fastq.read_fastq(spark, str(tmp_path / "a.fastq")).orderBy("rec_pos").collect()]
+    assert whole == [f"@r{i} x" for i in range(300)]
+    for split_bytes in (31, 257, 5000):
+        rows = list(fastq.FastqReader({"path": str(tmp_path / "a.fastq"), "splitbytes": split_bytes}).partitions())
+        with open(tmp_path / "a.fastq", "rb") as f:
+            assert [r[1] for part in rows for r in fastq.records(f, part.start, part.end)] == whole
+    assert fastq.read_fastq(spark, str(tmp_path / "a.fastq"), splitbytes=2000).count() == 300
+
+
 def test_fastq_options_and_broken_files(spark, tmp_path):
     (tmp_path / "a.fastq").write_text(record(1, "AC") + "\n" + record(2, "GT", "@!") + "@r3\nACGT\n+\n")
     (tmp_path / "empty.fastq").write_text("")
