@@ -17,13 +17,14 @@ def first_tag(tags: Column, name: str) -> Column:
     return F.when(F.size(found) > 0, found[0]["v"])
 
 
-def summarize(bam: DataFrame, tag: str = "CB", missing_ok: bool = False) -> DataFrame:
+def summarize(bam: DataFrame, tag: str = "CB", missing_ok: bool = False, length: str | None = None) -> DataFrame:
     """(barcode, length, is_mapped) of every read. A read without the tag
-    fails the query unless ``missing_ok``, which gives it a null barcode."""
+    fails the query unless ``missing_ok``, which gives it a null barcode.
+    ``length`` names a column of lengths for reads without ``seq``."""
     value = first_tag(F.col("tags"), tag)
     if not missing_ok:
         value = F.coalesce(value, F.raise_error(F.lit(f"a read has no tag {tag}")).cast("string"))
-    return bam.select(value.alias("barcode"), F.length("seq").cast("int").alias("length"), (F.col("flag").bitwiseAND(UNMAPPED) == 0).alias("is_mapped"))
+    return bam.select(value.alias("barcode"), (F.length("seq").cast("int") if length is None else col(length)).alias("length"), (F.col("flag").bitwiseAND(UNMAPPED) == 0).alias("is_mapped"))
 
 
 def split_rows(rows: DataFrame, lookup: DataFrame, barcode: str = "barcode", mapped: str = "is_mapped") -> DataFrame:

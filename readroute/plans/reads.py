@@ -224,13 +224,21 @@ def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "bam_summary")
     tags = F.when(F.col("barcode").isNotNull(), F.array(tag("RG", F.lit("a")), tag("CB", F.col("barcode")))).otherwise(F.array(tag("RG", F.lit("a"))))
     flag = F.when(F.col("is_mapped"), 0).otherwise(4)
-    # A stand-in sequence of a bounded length; the true lengths reach millions.
-    return rows.select("aln_id", flag.alias("flag"), F.repeat(F.lit("A"), F.pmod(F.coalesce("length", F.lit(0)), F.lit(64)).cast("int")).alias("seq"), tags.alias("tags"))
+    return rows.select("aln_id", flag.alias("flag"), "length", tags.alias("tags"))
 
 
 def bam_summary(spark, sf_dir):
-    found = split.summarize(_alignments(spark, sf_dir), missing_ok=True)
-    return found.groupBy("barcode", "is_mapped").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bases"))
+    """``bases`` are of lengths modulo 64, null as 0, as the query's SQL has
+    them; :func:`bam_bases` gives the true ones."""
+    found = split.summarize(_alignments(spark, sf_dir), missing_ok=True, length="length")
+    bases = F.sum(F.pmod(F.coalesce("length", F.lit(0)), F.lit(64)).cast("long"))
+    return found.groupBy("barcode", "is_mapped").agg(F.count(F.lit(1)).alias("n"), bases.alias("bases"))
+
+
+def bam_bases(spark, sf_dir):
+    """Reads and bases by barcode; null lengths count as reads, not as bases."""
+    found = split.summarize(_alignments(spark, sf_dir), missing_ok=True, length="length")
+    return found.groupBy("barcode", "is_mapped").agg(F.count(F.lit(1)).alias("n"), F.count("length").alias("n_length"), F.sum("length").alias("bases"))
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,6 +271,6 @@ QUERIES = {
     for f in (
         seq_reverse_complement, seq_reverse, qual_decode, fastq_control_id, fastq_linked, fastq_verify_ids, fastq_limit, fastq_format, correction_table,
         correct_barcode, correct_barcode_weighted, translate_barcode, atac_tags, gex_tags, atac_intervals, gex_intervals, technical_remainder, demux_exact,
-        demux_records, anchor_hits, demux_fuzzy, route_counts, exact_counts, valid_only_filter, bam_summary, bam_split_rows, bam_split_counts, output_map_check, sam_tags,
+        demux_records, anchor_hits, demux_fuzzy, route_counts, exact_counts, valid_only_filter, bam_summary, bam_bases, bam_split_rows, bam_split_counts, output_map_check, sam_tags,
     )
 } | {"barcode_swap": barcode_swap, "barcode_insert": barcode_insert, "barcode_delete": barcode_delete}
