@@ -151,6 +151,8 @@ _EDGE = ".-_~·•'’^+|&%#"
 _STRETCHED = re.compile(r"([^*#%&])\1{3,}")
 _PARTS = (re.compile(r"[._~·•'’^-]+"), re.compile(r"[^\w]+"))
 _UNSPACED = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+#: Signs between characters of such scripts.
+_STREWN = re.compile(rf"(?<={_UNSPACED.pattern})[\W_]+(?={_UNSPACED.pattern})")
 _SPELT = re.compile(r"[0-9@$!*#%&+|.'’·•~_^-]")
 
 
@@ -264,9 +266,11 @@ class Scorer:
         """4: one letter, 8: line end, 16: unspaced script."""
         if token == "\n":
             return 8
+        if not token.isascii() and _UNSPACED.search(token):
+            return 16
         if len(token) == 1 or (len(token) == 2 and not token[1].isalnum()):
             return 4 if token[0].isalnum() or token[0] in "@$!*" else 0
-        return 16 if not token.isascii() and _UNSPACED.search(token) else 0
+        return 0
 
     def _held(self, token: str) -> int:
         """The clauses of rules that the token's words satisfy."""
@@ -367,7 +371,7 @@ class Scorer:
             for b in range(0, max(1, len(words) - 120), 60):
                 best = [max(x, y) for x, y in zip(best, score_line(words[b : b + 180]))]
         if any(_UNSPACED.search(t) for t in tokens):
-            text = "".join(tokens)
+            text = _STREWN.sub("", "".join(tokens))
             for kind, phrase in _PHRASES:
                 if phrase in text:
                     best[kind] = max(best[kind], 1.0)

@@ -340,3 +340,11 @@ def test_tokens_of_any_length_are_read(spark):
     got = {r.id: r.score for r in toxicity.score(df, "text").collect()}
     assert [LONG[k][:60] for k in range(len(LONG)) if got[k] < 1] == []
     assert [t for k, t in enumerate(fine, len(LONG)) if got[k] >= 1] == []
+
+
+def test_signs_between_characters_of_unspaced_scripts(spark):
+    foul = ["バ*カ*野*郎", "死.ね", "死 ね", "王_八_蛋", "씨\u200b발", "お前は死~ね"]
+    df = spark.createDataFrame(list(enumerate([*foul, "今日は.いい.天気", "漢 字"])), "id int, text string")
+    got = {r.id: r.score for r in toxicity.score(df, "text").collect()}
+    assert [foul[k] for k in range(len(foul)) if got[k] < 1] == []
+    assert got[len(foul)] == got[len(foul) + 1] == 0
