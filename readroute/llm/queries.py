@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from readroute.llm import bpe, canonical, components, distinct, frequent, mixing, percentiles, toxicity
 from readroute.session import cut, load
 
-#: Groups whose unions by twos p7_counts reports; more are an error.
+#: Groups whose names p7_counts deals out to its unions by twos as a list; more
+#: are joined through this many buckets.
 MOST_GROUPS = 100
+_BUCKETS = 64
 PROBS = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -93,6 +95,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(groups, F.col("row_id") == F.col("node")).select("row_id", F.col("component").alias("group_id"))
 
 
+def _partners(groups: DataFrame) -> DataFrame:
+    """Every group with the name of every group: ``name, registers, partner``.
+
+    A short list is dealt out to each group; a longer one is joined with itself
+    through a key, each name in one of its buckets and in all.
+    """
+    names = sorted(r.name for r in groups.select("name").limit(MOST_GROUPS + 1).collect())
+    if len(names) <= MOST_GROUPS:
+        return groups.select("name", "registers", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")).alias("partner"))
+    bucket = F.pmod(F.xxhash64("name"), F.lit(_BUCKETS)).cast("int")
+    dealt = groups.select(F.col("name").alias("partner"), bucket.alias("bucket"))
+    named = groups.select("name", F.explode(F.sequence(F.lit(0), F.lit(_BUCKETS - 1))).alias("bucket"))
+    return groups.join(named.join(dealt, "bucket").drop("bucket"), "name")
+
+
 def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Different ub per run day, cb, cell group, pair of groups, and in all groups.
 
@@ -105,12 +122,7 @@ def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lookup = load(spark, sf_dir, "barcode_lookup").select(F.col("barcode").alias("name"), "grp")
     in_groups = fine.filter("kind = 'cb'").join(lookup, "name").select(F.lit("group").alias("kind"), F.col("grp").alias("name"), "registers")
     groups = cut(distinct.merge(in_groups, ["kind", "name"]))
-    # The cell groups are a fixed, short list; each is dealt out to its unions.
-    names = sorted(r.name for r in groups.select("name").limit(MOST_GROUPS + 1).collect())
-    if len(names) > MOST_GROUPS:
-        raise ValueError(f"unions of pairs are for at most {MOST_GROUPS} groups")
-    partner = F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")).alias("partner")
-    pairs = groups.select("name", "registers", partner).filter("name <> partner")
+    pairs = _partners(groups).filter("name <> partner")
     pairs = pairs.select(F.lit("union").alias("kind"), F.concat_ws("+", F.least("name", "partner"), F.greatest("name", "partner")).alias("name"), "registers")
     whole = groups.select(F.lit("union").alias("kind"), F.lit("all groups").alias("name"), "registers")
     unions = distinct.merge(pairs.unionByName(whole), ["kind", "name"])

@@ -15,3 +15,18 @@ def test_query(spark, name):
         oracle.compare(spark, queries.QUERIES[name], queries.ORACLES[name], SF)
     else:
         assert queries.QUERIES[name](spark, SF).count() >= 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+def test_unions_of_many_groups(spark, tmp_path, monkeypatch):
+    tags = os.path.join(SF, "gex_tags.parquet")
+    os.symlink(tags, tmp_path / "gex_tags.parquet")
+    n = 103
+    spark.sql(f"SELECT DISTINCT cb AS barcode FROM parquet.`{tags}` WHERE cb IS NOT NULL").selectExpr("barcode", f"concat('g', dense_rank() OVER (ORDER BY barcode) % {n}) AS grp").write.parquet(str(tmp_path / "barcode_lookup.parquet"))
+    rows = lambda: sorted(map(tuple, queries.p7_counts(spark, str(tmp_path)).collect()))
+    joined = rows()
+    assert sum(r[0] == "group" for r in joined) == n
+    assert sum(r[0] == "union" for r in joined) == n * (n - 1) // 2 + 1
+    # Dealt out as a list, the unions are the same.
+    monkeypatch.setattr(queries, "MOST_GROUPS", n)
+    assert rows() == joined
