@@ -89,23 +89,20 @@ def sam_line(line: Column, comments: Sequence[str] | str, tags: Sequence[str] |
     tags = [tags] if isinstance(tags, str) else list(tags)
     if len(comments) != len(tags):
         raise AssertionError("as many tag prefixes as comment prefixes are needed")
-    text = F.regexp_replace(line, r"\A\s+|\s+\z", "")
-    fields = F.split(text, "\t")
-    comment = F.element_at(fields, -1)
-    made = []
-    for prefix, tag in zip(comments, tags):
-        if token_bound:
-            at = F.regexp_instr(comment, F.lit(r"(?:\A|(?<=\s))\Q" + prefix + r"\E"))
-        else:
-            at = F.instr(comment, prefix)
-        there = at > 0
-        rest = F.substring(comment, at + len(prefix), F.length(comment))
-        # A value never starts after a blank: "UB= x" is an empty tag.
-        value = F.when(rest.startswith(" "), "").otherwise(F.regexp_extract(rest, r"\A\s*(\S*)", 1))
-        made.append(F.when(there, F.concat(F.lit(tag), value)))
-    new = F.filter(F.array(*made), lambda t: t.isNotNull()) if made else F.array().cast("array<string>")
-    joined = F.array_join(F.concat(F.slice(fields, 1, F.size(fields) - 1), new, F.array(comment)), "\t")
-    return F.when(text.startswith("@") | (F.size(new) == 0), text).otherwise(joined)
+
+    def tagged(text: Column) -> Column:
+        comment = F.substring_index(text, "\t", -1)
+        made = []
+        for prefix, tag in zip(comments, tags):
+            found = (r"(?:\A|(?<=\s))" if token_bound else "") + r"\Q" + prefix + r"\E"
+            there = comment.rlike(found) if token_bound else comment.contains(prefix)
+            # A value never starts after a blank: "UB= x" is an empty tag.
+            made.append(F.when(there, F.concat(F.lit(tag), F.regexp_extract(comment, found + r"(?: |\s*(\S*))", 1), F.lit("\t"))).otherwise(""))
+        head = F.substring(text, F.lit(1), F.length(text) - F.length(comment))
+        return F.when(text.startswith("@"), text).otherwise(F.concat(head, *made, comment))
+
+    # Bound to a variable, the stripped line is made once, not for each use.
+    return F.transform(F.array(F.regexp_replace(line, r"\A\s+|\s+\z", "")), tagged)[0]
 
 
 SAM_COMMENTS = ["CB=", "CR=", "CY=", "UB=", "UR=", "UY="]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readroute.session import col, fresh
+from readroute.session import col, cut, fresh
 
 # The letters an error may put into a barcode.
 LETTERS = "ATGCN"
@@ -78,6 +78,57 @@ def _sources(text: Column) -> Column:
     return F.array_distinct(F.concat(without, masked, longer))
 
 
+def corrections(df: DataFrame, barcode: str, whitelist: DataFrame, entry: str = "barcode", by: tuple[str, ...] = (), out: str = "corrected") -> DataFrame:
+    """(``by``..., ``barcode``, ``n_rows``, ``out``) of the different barcodes
+    of ``df`` that are on the list or within one edit of exactly one row of it.
+
+    ``by`` names columns of both frames that must agree, as where several lists
+    stand in one. Only different barcodes and their neighbours are shuffled.
+    """
+    keys = [*by, "key"]
+    listed = whitelist.filter(col(entry).isNotNull()).groupBy(*[col(c).alias(c) for c in by], col(entry).alias("entry")).agg(F.count(F.lit(1)).alias("times"))
+    # Each entry answers to itself, and to itself with one letter masked.
+    names = F.concat(F.array(F.col("entry")), F.transform(_positions(F.col("entry")), lambda i: _with(F.col("entry"), i, MASK, 1)))
+    answers = listed.select(*[col(c) for c in by], "entry", "times", F.explode(F.array_distinct(names)).alias("name"))
+    seen = df.filter(col(barcode).isNotNull()).groupBy(*[col(c).alias(c) for c in by], col(barcode).alias("key")).agg(F.count(F.lit(1)).alias("n_rows"))
+    known = listed.select(*[col(c) for c in by], F.col("entry").alias("key"))
+    same = seen.join(known, keys, "left_semi").withColumn(out, F.col("key"))
+    odd = seen.join(known, keys, "left_anti").select(*keys, "n_rows", F.explode(_sources(F.col("key"))).alias("name"))
+    met = odd.join(answers, [*by, "name"]).filter(F.col("entry") != F.col("key")).select(*keys, "n_rows", "entry", "times").distinct()
+    one = met.groupBy(*keys).agg(F.first("n_rows").alias("n_rows"), F.sum("times").alias("n"), F.first("entry").alias(out)).filter("n = 1").drop("n")
+    return same.unionByName(one).withColumnRenamed("key", barcode)
+
+
+def attach(df: DataFrame, table: DataFrame, keys: tuple[str, ...], out: str, n_rows: str = "n_rows", max_broadcast: int = 500_000, hot_share: int = 256) -> DataFrame:
+    """``df`` with the column ``out`` of ``table``, which has a row a key; null
+    where it has none. ``n_rows`` is how many rows of ``df`` a key of it holds.
+
+    A table of up to ``max_broadcast`` rows is broadcast. Of a longer one only
+    the keys holding more than ``1 / hot_share`` of the rows are, fewer than
+    ``hot_share``, and the rest is joined by key, in which none is hot.
+    """
+    table = cut(table)
+    held = table.agg(F.count(F.lit(1)).alias("keys"), F.sum(n_rows).alias("rows")).first()
+    if held["keys"] <= max_broadcast:
+        return _attached(df, F.broadcast(table), keys, out)
+    hot = F.col(n_rows) > held["rows"] // hot_share
+    mark = fresh("hot", df)
+    few = table.filter(hot).select(*[col(k) for k in keys], F.lit(True).alias(mark), col(out))
+    marked = _attached(_attached(df, F.broadcast(few), keys, mark), F.broadcast(few), keys, out)
+    rest = _attached(marked.filter(col(mark).isNull()).drop(out), table.filter(~hot), keys, out)
+    return marked.filter(col(mark)).drop(mark).unionByName(rest.drop(mark))
+
+
+def _attached(df: DataFrame, table: DataFrame, keys: tuple[str, ...], out: str) -> DataFrame:
+    names = [fresh(f"to_{i}", df) for i in range(len(keys))]
+    value = fresh("to_value", df)
+    right = table.select(*[col(k).alias(n) for k, n in zip(keys, names)], col(out).alias(value))
+    same = None
+    for k, n in zip(keys, names):
+        same = (col(k) == F.col(n)) if same is None else same & (col(k) == F.col(n))
+    return df.join(right, same, "left").withColumn(out, F.col(value)).drop(*names, value)
+
+
 def correct(df: DataFrame, barcode: str, whitelist: DataFrame, entry: str = "barcode", out: str = "corrected") -> DataFrame:
     """``df`` with the corrected barcode in ``out``, null where there is none.
 
@@ -85,22 +136,13 @@ def correct(df: DataFrame, barcode: str, whitelist: DataFrame, entry: str = "bar
     one edit, if there is exactly one (a repeated entry counts each time). Null
     barcodes, and all others against an empty list, give null. Rows, repeats
     and other columns stay; an existing column ``out`` raises ``ValueError``.
+    ``df`` is read twice: for its different barcodes, and to attach them.
     """
     if out.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"the input has a column {out!r} already; pass another name")
-    key, fixed = fresh("bc_key", df), fresh("bc_fixed", df)
-    entries = whitelist.filter(col(entry).isNotNull()).groupBy(col(entry).alias("entry")).agg(F.count(F.lit(1)).alias("times"))
-    # Each entry answers to itself, and to itself with one letter masked.
-    names = F.concat(F.array(F.col("entry")), F.transform(_positions(F.col("entry")), lambda i: _with(F.col("entry"), i, MASK, 1)))
-    answers = entries.select("entry", "times", F.explode(F.array_distinct(names)).alias("name"))
-    seen = df.filter(col(barcode).isNotNull()).select(col(barcode).alias(key)).distinct()
-    odd = seen.join(entries.select("entry"), F.col(key) == F.col("entry"), "left_anti")
-    met = odd.select(key, F.explode(_sources(F.col(key))).alias("name")).join(answers, "name").select(key, "entry", "times").distinct()
-    met = met.filter(F.col("entry") != F.col(key))
-    one = met.groupBy(key).agg(F.sum("times").alias("n"), F.first("entry").alias(fixed)).filter("n = 1").select(key, fixed)
-    same = seen.join(entries.select("entry"), F.col(key) == F.col("entry"), "left_semi").select(key, F.col(key).alias(fixed))
-    table = one.unionByName(same)
-    return df.join(table, col(barcode) == F.col(key), "left").withColumn(out, F.col(fixed)).drop(key, fixed)
+    value = fresh("fixed", df)
+    table = corrections(df.select(col(barcode).alias("barcode")), "barcode", whitelist, entry, out=value)
+    return attach(df, table.withColumnRenamed("barcode", barcode), (barcode,), value).withColumnRenamed(value, out)
 
 
 class _Nearest:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from readroute.functions import seq as fn
 from readroute.operators import barcodes
 from readroute.operators.anchors import Options, anchors
+from readroute.session import cut
 
 
 def atac_tags(bc: Column, bcq: Column, cb: Column) -> Column:
@@ -22,29 +23,38 @@ def gex_tags(bc: Column, bcq: Column, umi: Column, umiq: Column, cb: Column) ->
 def tag(found: DataFrame, context: barcodes.BarcodeContext) -> DataFrame:
     """Adds ``cb``, ``tags`` and ``valid`` to anchored reads.
 
-    Both assays' barcodes are corrected against their own list; ATAC ones are
-    then translated to the expression assay's. ``valid`` is whether there is a
-    corrected barcode; reads of the route ``other`` have no tags.
+    Barcodes are corrected against their own assay's list; ATAC ones are then
+    translated to the expression assay's. ``valid`` is whether there is a
+    corrected barcode; reads of the route ``other`` have no tags. The anchored
+    reads are written to the shared folder first: the search is the costly
+    part, and the correction needs both their barcodes and the reads again.
     """
-    own = found.withColumn("__atac", F.when(F.col("route") == "atac", F.col("bc"))).withColumn("__gex", F.when(F.col("route") == "gex", F.col("bc")))
-    fixed = barcodes.correct(own, "__atac", context.atac, out="__fixed")
-    fixed = barcodes.translate(fixed, "__fixed", context.translation, out="__moved")
-    fixed = barcodes.correct(fixed, "__gex", context.gex, out="__own")
-    fixed = fixed.withColumn("cb", F.coalesce("__moved", "__own")).drop("__atac", "__gex", "__fixed", "__moved", "__own")
+    found = cut(found)
+    listed = lambda lists, route: lists.select(F.lit(route).alias("route"), "barcode")
+    both = listed(context.atac, "atac").unionByName(listed(context.gex, "gex"))
+    own = barcodes.corrections(found.select("route", "bc"), "bc", both, by=("route",), out="own")
+    moved = context.translation.select(F.lit("atac").alias("route"), F.col("barcode").alias("own"), "translated")
+    table = own.join(moved, ["route", "own"], "left").select("route", "bc", "n_rows", F.coalesce("translated", "own").alias("cb"))
+    fixed = barcodes.attach(found, table, ("route", "bc"), "cb")
     tags = F.when(F.col("route") == "atac", atac_tags(F.col("bc"), F.col("bcq"), F.col("cb"))).when(F.col("route") == "gex", gex_tags(F.col("bc"), F.col("bcq"), F.col("umi"), F.col("umiq"), F.col("cb")))
     return fixed.withColumn("tags", tags).withColumn("valid", F.col("cb").isNotNull())
 
 
+def valid_only(routed: DataFrame) -> DataFrame:
+    """Without the anchored reads that have no valid barcode."""
+    return routed.filter((F.col("route") == "other") | F.col("valid"))
+
+
 def demux(reads: DataFrame, context: barcodes.BarcodeContext, options: Options = Options(), only_valid: bool = False, spread: int | None = None) -> DataFrame:
     """Routes, cuts and tags reads (``header, seq, qual`` and any others).
 
     ATAC is tried first, then GEX; what neither fits goes to ``other`` whole.
     With ``only_valid``, anchored reads without a valid barcode are dropped,
     not retried or sent elsewhere. Adds the anchor columns, ``cb``, ``tags``,
-    ``valid``.
+    ``valid``. Every read is searched once.
     """
     routed = tag(anchors(reads, options=options, spread=spread), context)
-    return routed.filter((F.col("route") == "other") | F.col("valid")) if only_valid else routed
+    return valid_only(routed) if only_valid else routed
 
 
 def records(routed: DataFrame, technical: bool = False) -> DataFrame:

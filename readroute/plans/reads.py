@@ -166,32 +166,63 @@ def _context(spark: SparkSession, sf_dir: str) -> barcodes.BarcodeContext:
     return barcodes.BarcodeContext(spark, load(spark, sf_dir, "whitelist_atac"), load(spark, sf_dir, "whitelist_gex"))
 
 
-_LEFT, _TAIL = "ACACTCTTTCCCTACACGACGCTCTTCCGATCT", "TTTTTTTTTTTT"
+# The adapters around the barcodes of both assays, and the site.
+_GEX_LEFT, _GEX_TAIL = "ACACTCTTTCCCTACACGACGCTCTTCCGATCT", "TTTTTTTTTTTT"
+_GEX_DAMAGED = "ACACTCTTTCCCTACACGACTCTCTTACGATCT"
+_ATAC_LEFT, _ATAC_RIGHT = "AATGATACGGCGACCACCGAGATCTACAC", "CGCGTCTGTCGTCGGCAGCGTC"
+_SITE, _SITE_BACK = "AGATGTGTATAAGAGACAG", "CTGTCTCTTATACACATCT"
 
 
 def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads built from orders: 3 of 4 carry an exact GEX adapter with a
-    barcode of the list, half of them turned round; the others are plain."""
-    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
-    dna = lambda x: F.translate(F.md5(x), "0123456789abcdef", "ACGTACGTACGTACGT")
+    """Reads built from orders, of known truth by their number modulo 12.
+
+    0 to 2 GEX, 3 to 5 ATAC with two sites, 6 ATAC with one (run-off), 7 GEX
+    with a letter of the barcode replaced, 8 ATAC with one put in and 9 with
+    one taken out, 10 GEX with two adapter letters replaced and a barcode of no
+    list, 11 without an adapter. Of every other dozen the reads are turned.
+    List entries holding a piece of the adapter are left out, as in them an
+    approximate match may begin elsewhere than where the adapter was put.
+    """
     key = F.col("k").cast("string")
-    gex = load(spark, sf_dir, "whitelist_gex").select("idx", F.col("barcode").alias("true_bc"))
-    rows = orders.join(gex, F.pmod(F.col("k"), F.lit(6000)) == F.col("idx"))
-    umi = F.substring(dna(F.concat(F.lit("u"), key)), 1, 12)
-    body = F.concat(*[dna(F.concat(F.lit(f"i{i}"), key)) for i in range(4)])
-    anchored = F.concat(F.lit(_LEFT), "true_bc", umi, F.lit(_TAIL), body)
-    seq = F.when(F.col("k") % 4 == 3, body).when(F.col("k") % 8 < 4, anchored).otherwise(fn.complement_reversed(anchored))
-    return rows.select((F.col("k") % 16).cast("int").alias("file_id"), F.col("k").alias("rec_pos"), F.concat(F.lit("@o"), key).alias("header"), seq.alias("seq"), F.repeat(F.lit("I"), F.length(seq)).alias("qual"))
+    dna = lambda part: F.translate(F.md5(F.concat(F.lit(part), key)), "0123456789abcdef", "ACGTACGTACGTACGT")
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 12).alias("arm"), (F.col("o_orderkey") % 24 < 12).alias("forward"))
+    lists = load(spark, sf_dir, "whitelist_gex").select("idx", F.col("barcode").alias("g")).join(load(spark, sf_dir, "whitelist_atac").select("idx", F.col("barcode").alias("a")), "idx").filter("not contains(a, 'ATCTAC')")
+    rows = orders.join(lists, F.pmod(F.col("k"), F.lit(6000)) == F.col("idx"))
+    arm, a, g = F.col("arm"), F.col("a"), F.col("g")
+    # The letter before a barcode is C; where the barcode begins with one too, a
+    # gap could stand on either side, so such a barcode is left as it is.
+    clear = ~a.startswith("C")
+    other = F.translate(F.substring(g, 8, 1), "ACGT", "CATG")
+    bc = (
+        F.when(arm == 7, F.concat(F.substring(g, 1, 7), other, F.substring(g, 9, 8)))
+        .when(arm == 10, F.substring(dna("x"), 1, 16))
+        .when((arm == 8) & clear, F.concat(F.substring(a, 1, 9), F.lit("A"), F.substring(a, 10, 7)))
+        .when((arm == 9) & clear, F.concat(F.substring(a, 1, 9), F.substring(a, 11, 6)))
+        .when(arm.isin(3, 4, 5, 6, 8, 9), a)
+        .otherwise(g)
+    )
+    body = F.concat(*[dna(f"i{i}") for i in range(4)])
+    left = F.when(arm == 10, _GEX_DAMAGED).otherwise(_GEX_LEFT)
+    gex = F.concat(left, "bc", F.substring(dna("u"), 1, 12), F.lit(_GEX_TAIL), body)
+    atac = F.concat(F.lit(_ATAC_LEFT), "bc", F.lit(_ATAC_RIGHT + _SITE), body, F.when(arm == 6, "").otherwise(F.lit(_SITE_BACK)))
+    built = rows.withColumn("bc", bc).withColumn("seq", F.when(arm == 11, body).when(arm.isin(0, 1, 2, 7, 10), gex).otherwise(atac))
+    seq = F.when(F.col("forward"), F.col("seq")).otherwise(fn.complement_reversed(F.col("seq")))
+    return built.select((F.col("k") % 16).cast("int").alias("file_id"), F.col("k").alias("rec_pos"), F.concat(F.lit("@o"), key).alias("header"), seq.alias("seq"), F.repeat(F.lit("I"), F.length("seq")).alias("qual"))
+
+
+def _routed(spark: SparkSession, sf_dir: str, options: Options = Options(), only_valid: bool = False) -> DataFrame:
+    return routing.demux(_exact(spark, sf_dir), _context(spark, sf_dir), options, only_valid, spread=_tasks(spark))
 
 
 def demux_exact(spark, sf_dir):
-    """Routes, barcodes and UMIs of reads whose truth is known."""
-    return routing.demux(_exact(spark, sf_dir), _context(spark, sf_dir), spread=_tasks(spark)).select("rec_pos", "route", "strand", "cb", "umi", "cut_start", "cut_end", "valid")
+    """Routes, barcodes and UMIs of reads whose truth is known, run-off kept."""
+    return _routed(spark, sf_dir, Options(keep_runoff=True)).select("rec_pos", "route", "strand", "bc", "cb", "umi", "cut_start", "cut_end", "valid")
 
 
 def demux_records(spark, sf_dir):
-    made = routing.records(routing.demux(_exact(spark, sf_dir), _context(spark, sf_dir), spread=_tasks(spark)), technical=True)
-    return made.select("rec_pos", "route", "header", F.length("seq").cast("int").alias("n_seq"), F.length("qual").cast("int").alias("n_qual"))
+    """The written records, technical ones too, run-off not kept."""
+    made = routing.records(_routed(spark, sf_dir), technical=True)
+    return made.select("rec_pos", "route", "header", F.length("seq").cast("int").alias("n_seq"), F.length("qual").cast("int").alias("n_qual"), F.md5("seq").alias("seq_md5"))
 
 
 def demux_fuzzy(spark, sf_dir):
@@ -204,18 +235,18 @@ def route_counts(spark, sf_dir):
 
 
 def exact_counts(spark, sf_dir):
-    return routing.counts(anchors(_exact(spark, sf_dir), spread=_tasks(spark)))
+    return routing.counts(anchors(_exact(spark, sf_dir), options=Options(keep_runoff=True), spread=_tasks(spark)))
 
 
 def anchor_hits(spark, sf_dir):
     """One anchor alone over reads whose truth is known."""
     hits = barcode_hits(_exact(spark, sf_dir), GEX, spread=_tasks(spark)).filter("bc is not null")
-    return hits.select("rec_pos", "bc", "bc_pos", "strand")
+    return hits.select("rec_pos", "bc", "strand")
 
 
 def valid_only_filter(spark, sf_dir):
-    routed = load(spark, sf_dir, "gex_tags").select("row_id", "file_id", F.when(F.col("cr").isNull(), "other").otherwise("gex").alias("route"), F.col("is_valid").alias("valid"))
-    return routing.counts(routed.filter((F.col("route") == "other") | F.col("valid")))
+    """Counts by file without anchored reads that lack a valid barcode."""
+    return routing.counts(_routed(spark, sf_dir, only_valid=True))
 
 
 def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:

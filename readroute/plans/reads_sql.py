@@ -46,8 +46,26 @@ bounds AS (
 """
 
 _EXACT = f"""
-WITH g AS (SELECT o_orderkey AS k, w.barcode AS bc FROM orders JOIN whitelist_gex w ON w.idx = o_orderkey % 6000),
-e AS (SELECT k, bc, substr({DNA.format("'u' || k")}, 1, 12) AS umi, k % 4 <> 3 AS has, k % 8 < 4 AS forward FROM g)
+k AS (SELECT o_orderkey AS k, o_orderkey % 12 AS arm, o_orderkey % 24 < 12 AS forward, g.barcode AS g, a.barcode AS a, NOT starts_with(a.barcode, 'C') AS clear
+      FROM orders JOIN whitelist_gex g ON g.idx = o_orderkey % 6000 JOIN whitelist_atac a ON a.idx = g.idx WHERE NOT contains(a.barcode, 'ATCTAC')),
+b AS (SELECT *, CASE WHEN arm = 11 THEN 'other' WHEN arm IN (0, 1, 2, 7, 10) THEN 'gex' ELSE 'atac' END AS kind,
+      CASE WHEN arm = 11 THEN NULL WHEN arm = 7 THEN left(g, 7) || translate(substr(g, 8, 1), 'ACGT', 'CATG') || substr(g, 9)
+           WHEN arm = 10 THEN left({DNA.format("'x' || k")}, 16) WHEN arm = 8 AND clear THEN left(a, 9) || 'A' || substr(a, 10)
+           WHEN arm = 9 AND clear THEN left(a, 9) || substr(a, 11) WHEN arm IN (0, 1, 2) THEN g ELSE a END AS bc,
+      left({DNA.format("'u' || k")}, 12) AS umi, {" || ".join(DNA.format(f"'i{i}' || k") for i in range(4))} AS body FROM k),
+-- Where the genomic part begins and ends before turning, and the read's length.
+c AS (SELECT *, CASE kind WHEN 'gex' THEN 33 + 28 WHEN 'atac' THEN 29 + length(bc) + 22 + 19 END AS s,
+      CASE kind WHEN 'gex' THEN 33 + 28 + 12 + 128 WHEN 'atac' THEN 29 + length(bc) + 22 + 19 + 128 END AS e,
+      CASE kind WHEN 'gex' THEN 33 + 28 + 12 + 128 WHEN 'atac' THEN 29 + length(bc) + 22 + 19 + 128 + CASE WHEN arm = 6 THEN 0 ELSE 19 END ELSE 128 END AS n FROM b),
+e AS (SELECT c.*, CASE kind WHEN 'gex' THEN (SELECT x.barcode FROM of_gex x WHERE x.variant = c.bc)
+      WHEN 'atac' THEN (SELECT coalesce(p.translated, x.barcode) FROM of_atac x LEFT JOIN pairs p ON p.barcode = x.barcode WHERE x.variant = c.bc) END AS cb,
+      CASE WHEN forward THEN s ELSE n - e END AS cut_start, CASE WHEN forward THEN e ELSE n - s END AS cut_end FROM c)
+"""
+_TWO_LISTS = "WITH " + ", ".join(
+    f"of_{x} AS (WITH {_VARIANTS.format(list='whitelist_' + x)} SELECT variant, barcode FROM corrections)" for x in ("gex", "atac")
+) + _MOVED + ", " + _EXACT
+#: Without run-off kept, such reads are of no assay.
+_STRICT = _TWO_LISTS + """, f AS (SELECT k, CASE WHEN arm = 6 THEN 'other' ELSE kind END AS route, bc, umi, cb, forward, cut_start, cut_end, n, body, arm FROM e)
 """
 
 _PARTS = "CAST(floor(length(seq) / 4) AS INTEGER) AS a, CAST(floor(length(seq) / 2) AS INTEGER) AS b"
@@ -98,22 +116,27 @@ SELECT l_orderkey, l_linenumber, CAST(CASE WHEN y - x >= 25 THEN x END AS INTEGE
     "technical_remainder": f"""
 SELECT file_id, rec_pos, substr(seq, a + 1, b - a) AS genomic, substr(seq, 1, a) || '----' || substr(seq, b + 1) AS seq_rest,
        substr(qual, 1, a) || '----' || substr(qual, b + 1) AS qual_rest FROM (SELECT *, {_PARTS} FROM reads)""",
-    "demux_exact": _EXACT + """
-SELECT k AS rec_pos, CASE WHEN has THEN 'gex' ELSE 'other' END AS route, CASE WHEN has THEN CASE WHEN forward THEN '+' ELSE '-' END END AS strand,
-       CASE WHEN has THEN bc END AS cb, CASE WHEN has THEN umi END AS umi,
-       CAST(CASE WHEN has THEN CASE WHEN forward THEN 61 ELSE 0 END END AS INTEGER) AS cut_start,
-       CAST(CASE WHEN has THEN CASE WHEN forward THEN 201 ELSE 140 END END AS INTEGER) AS cut_end, has AS valid FROM e""",
-    "demux_records": _EXACT + """
-SELECT k AS rec_pos, CASE WHEN has THEN 'gex' ELSE 'other' END AS route,
-       '@o' || k || CASE WHEN has THEN ' CB=' || bc || ' CR=' || bc || ' CY=' || repeat('I', 16) || ' UB=' || umi || ' UR=' || umi || ' UY=' || repeat('I', 12) ELSE '' END AS header,
-       CAST(CASE WHEN has THEN 140 ELSE 128 END AS INTEGER) AS n_seq, CAST(CASE WHEN has THEN 140 ELSE 128 END AS INTEGER) AS n_qual FROM e""",
-    "anchor_hits": _EXACT + """
-SELECT k AS rec_pos, bc || umi AS bc, CAST(33 AS INTEGER) AS bc_pos, CASE WHEN forward THEN '+' ELSE '-' END AS strand FROM e WHERE has""",
-    "exact_counts": _EXACT + """
-SELECT CAST(k % 16 AS INTEGER) AS file_id, CAST(0 AS BIGINT) AS atac, count(*) FILTER (has) AS gex, count(*) FILTER (NOT has) AS other FROM e GROUP BY k % 16""",
-    "valid_only_filter": """
-SELECT file_id, CAST(0 AS BIGINT) AS atac, count(*) FILTER (cr IS NOT NULL AND is_valid) AS gex, count(*) FILTER (cr IS NULL) AS other
-FROM gex_tags WHERE cr IS NULL OR is_valid GROUP BY file_id""",
+    "demux_exact": _TWO_LISTS + """
+SELECT k AS rec_pos, kind AS route, CASE WHEN kind <> 'other' THEN CASE WHEN forward THEN '+' ELSE '-' END END AS strand, bc, cb, CASE WHEN kind = 'gex' THEN umi END AS umi,
+       CAST(cut_start AS INTEGER) AS cut_start, CAST(cut_end AS INTEGER) AS cut_end, cb IS NOT NULL AS valid FROM e""",
+    "demux_records": _STRICT + f""", r AS (
+  SELECT *, '@o' || k AS id, CASE WHEN arm IN (0, 1, 2, 7) THEN '{{left}}' || bc || umi || repeat('T', 12) || body WHEN arm = 10 THEN '{{damaged}}' || bc || umi || repeat('T', 12) || body
+            WHEN arm = 11 THEN body ELSE '{{atac}}' || bc || '{{right}}' || body || CASE WHEN arm = 6 THEN '' ELSE '{{back}}' END END AS built FROM f),
+w AS (SELECT *, CASE WHEN forward THEN built ELSE {RC.format('built')} END AS seq FROM r),
+h AS (SELECT *, coalesce(' CB=' || cb, '') || ' CR=' || bc || ' CY=' || repeat('I', length(bc)) AS tags FROM w),
+o AS (SELECT k, route, id || CASE route WHEN 'gex' THEN tags || ' UB=' || umi || ' UR=' || umi || ' UY=' || repeat('I', 12) WHEN 'atac' THEN tags ELSE '' END AS header,
+             CASE WHEN route = 'other' THEN seq ELSE substr(seq, cut_start + 1, cut_end - cut_start) END AS seq FROM h
+      UNION ALL SELECT k, 'technical', id || tags, left(seq, cut_start) || '----' || substr(seq, cut_end + 1) FROM h WHERE route = 'atac')
+SELECT k AS rec_pos, route, header, CAST(length(seq) AS INTEGER) AS n_seq, CAST(length(seq) AS INTEGER) AS n_qual, md5(seq) AS seq_md5 FROM o""".format(
+        left="ACACTCTTTCCCTACACGACGCTCTTCCGATCT", damaged="ACACTCTTTCCCTACACGACTCTCTTACGATCT", atac="AATGATACGGCGACCACCGAGATCTACAC", right="CGCGTCTGTCGTCGGCAGCGTCAGATGTGTATAAGAGACAG", back="CTGTCTCTTATACACATCT"
+    ),
+    "anchor_hits": _TWO_LISTS + """
+SELECT k AS rec_pos, bc || umi AS bc, CASE WHEN forward THEN '+' ELSE '-' END AS strand FROM e WHERE kind = 'gex'""",
+    "exact_counts": _TWO_LISTS + """
+SELECT CAST(k % 16 AS INTEGER) AS file_id, count(*) FILTER (kind = 'atac') AS atac, count(*) FILTER (kind = 'gex') AS gex, count(*) FILTER (kind = 'other') AS other FROM e GROUP BY k % 16""",
+    "valid_only_filter": _STRICT + """
+SELECT CAST(k % 16 AS INTEGER) AS file_id, count(*) FILTER (route = 'atac') AS atac, count(*) FILTER (route = 'gex') AS gex, count(*) FILTER (route = 'other') AS other
+FROM f WHERE route = 'other' OR cb IS NOT NULL GROUP BY k % 16""",
     "bam_summary": """
 SELECT barcode, coalesce(is_mapped, false) AS is_mapped, count(*) AS n,
        CAST(sum(((coalesce(length, 0) % 64) + 64) % 64) AS BIGINT) AS bases FROM bam_summary GROUP BY 1, 2""",

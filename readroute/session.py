@@ -30,13 +30,18 @@ def col(name: str) -> F.Column:
 def use_checkpoints(spark: SparkSession) -> None:
     """Point checkpoint() at the shared folder the cluster names.
 
-    ``spark.checkpoint.dir`` wins where it is set. Only where it is unset, as
-    in tests on one machine, a temporary folder takes its place.
+    ``spark.checkpoint.dir`` wins where it is set. Only where it is unset on a
+    local master, as in tests, a temporary folder takes its place; on a cluster
+    that would be a folder no other machine sees, and ``ValueError`` is raised.
+    Checkpoints are deleted once nothing in the session refers to them.
     """
     sc = spark.sparkContext
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="readroute-checkpoint-"))
 
 
