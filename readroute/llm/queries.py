@@ -150,7 +150,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.score(docs, "text").filter("score >= 1").select("doc_id")
+    return toxicity.score(docs, "text").filter(F.col("score") >= toxicity.CASE).select("doc_id")
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,139 +4,53 @@ A noisy channel turns intended words into what stands in the text: digits and
 signs for letters, stars for letters left out, letters repeated, separators,
 blanks or invisible characters between letters, look-alikes of other scripts.
 Each odd token is decoded by Viterbi search over the lattice of its characters'
-readings under a character language model; the reading wins if it is likelier
-than the token as it stands. The score is given to the restored lines, by
-weighted patterns for insults, threats, hate against groups and sexual content.
-
-The JVM cuts texts into tokens, a batch's distinct tokens are decoded once and
-remembered, and lines that no rule can match, as they lack words every match of
-it holds (:mod:`readroute.llm.gate`), are passed over by array operations; only
-the others are looked at one by one.
+readings under a character language model (:mod:`charmodel`), and the restored
+words are scored by a learned model (:mod:`scorer`).
+
+The JVM cuts texts into tokens; a worker restores each different token once,
+and a batch's words are scored together by array operations.
 """
 
 from __future__ import annotations
 
-import math
+import random
 import re
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readroute.llm import lexicon
-from readroute.llm.gate import Gate
+from readroute.llm import phrases, scorer
+from readroute.llm.bpe import _slices
+from readroute.llm.charmodel import ANY, STANDS_FOR, VOCABULARIES, CharModel, fold, latin, vocabulary
 from readroute.session import col, map_arrow
 
-KINDS = ("insult", "threat", "hate", "sexual")
-
-#: Tokens: line ends, and runs of letters, digits and the signs noise uses.
-#: A JSON escape of a line end is a line end, and one of a letter that letter.
-#: Possessive, so that a token of any length needs no stack.
-TOKENS = r"\n|(?:\\u[0-9a-fA-F]{4}|[\p{L}\p{M}\p{N}\p{Cf}@$!*#%&+|.'’·•~_^-]++)++"
-
-# What may stand for a letter, beside the letter itself.
-STANDS_FOR = {
-    "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq",
-    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "v": "u", "€": "e", "£": "l", "¡": "i", "x": "k", "z": "s",
-}
-ANY = "*#%&"
-BETWEEN = ".-_~·•'’^*+|"
-# Letters of other scripts that look like Latin ones.
-ALIKE = str.maketrans("аеорсхуікнмтвѕјԁαοερικνυτß", "aeopcxyikhmtbsjdaoepikvutb")
-
-#: Costs (negative log-likelihoods) of the channel's acts.
-COST = {"same": 0.02, "sign": 1.2, "any": 2.6, "between": 0.35, "again": 0.35}
-#: What a character costs when the token is read as it stands: letters by the
-#: language of code and prose, other characters as in numbers and names.
-PLAIN_LETTER, PLAIN_SIGN, LONGEST = 2.6, 3.2, 48
-#: How much likelier (in logarithms, half the span) stars are in a word that offends.
-OFFENDS = 3.0
-
-
-class _Node:
-    __slots__ = ("next", "letter", "weight", "word")
-
-    def __init__(self, letter: str):
-        self.next: dict[str, _Node] = {}
-        self.letter, self.weight, self.word = letter, 0.0, None
-
-
-def vocabulary() -> dict[str, float]:
-    """The words the channel may have started from, with prior weights."""
-    words: dict[str, float] = {}
-    for weight, group in ((3.0, lexicon.OTHERS), (2.0, lexicon.EXPLICIT), (2.0, lexicon.INSULTS), (1.5, lexicon.ADJECTIVES), (1.5, lexicon.NOUNS), (1.0, lexicon.SENSUAL), (1.0, lexicon.GROUPS), (1.0, lexicon.GROUP_WORDS), (1.0, lexicon.DEHUMANIZERS), (0.5, lexicon.FOREIGN)):
-        for w in group:
-            w = w.replace("-", "")
-            words[w] = max(words.get(w, 0.0), weight)
-    return words
-
-
-class Channel:
-    """Viterbi decoding under a character model: the chance of a letter given
-    all before it, as the vocabulary's weights make it."""
-
-    def __init__(self):
-        self.words = vocabulary()
-        self.offensive = {w.replace("-", "") for group in (lexicon.INSULTS, lexicon.EXPLICIT, lexicon.ADJECTIVES, lexicon.NOUNS, lexicon.DEHUMANIZERS, lexicon.SENSUAL, lexicon.FOREIGN) for w in group}
-        self.root = _Node("")
-        for w, weight in self.words.items():
-            node = self.root
-            node.weight += weight
-            for c in w:
-                node = node.next.setdefault(c, _Node(c))
-                node.weight += weight
-            node.word = w
-
-    def decode(self, token: str) -> str | None:
-        """The likeliest intended word, or None to leave the token as it is."""
-        if not 2 <= len(token) <= LONGEST:
-            return None
-        # States: trie nodes, each with the cost of its best path so far.
-        states: dict[int, tuple[float, _Node]] = {id(self.root): (0.0, self.root)}
-        letters = 0
-        for i, c in enumerate(token):
-            after: dict[int, tuple[float, _Node]] = {}
-
-            def reach(cost: float, node: _Node) -> None:
-                have = after.get(id(node))
-                if have is None or cost < have[0]:
-                    after[id(node)] = (cost, node)
-
-            readings = [(c, COST["same"])] if c.isalpha() else []
-            readings += [(x, COST["sign"]) for x in STANDS_FOR.get(c, "")]
-            letters += c.isalpha()
-            for cost, node in states.values():
-                total = node.weight
-                for x, price in readings:
-                    child = node.next.get(x)
-                    if child is not None:
-                        reach(cost + price + math.log(total / child.weight), child)
-                    if x == node.letter:
-                        reach(cost + COST["again"], node)
-                if c in ANY:
-                    for child in node.next.values():
-                        reach(cost + COST["any"] + math.log(total / child.weight), child)
-                # A star stands for one letter; between two it may also separate.
-                if c in BETWEEN and node is not self.root and (c != "*" or token[i - 1].isalpha() and token[i + 1 : i + 2].isalpha()):
-                    reach(cost + COST["between"], node)
-            states = after
-            if not states:
-                return None
-        # People put stars into words that offend, hardly into others.
-        starred = any(c in "*#%&" for c in token[1:-1])
-        ends = [(cost + math.log(node.weight / self.words[node.word]) + ((-OFFENDS if node.word in self.offensive else OFFENDS) if starred else 0), node.word) for cost, node in states.values() if node.word]
-        if not ends:
-            return None
-        cost, word = min(ends)
-        plain = sum(PLAIN_LETTER if c.isalpha() else PLAIN_SIGN for c in token)
-        # Stars alone say little: two letters at least must be left.
-        return word if cost < plain and letters + sum(c in STANDS_FOR for c in token if not c.isalpha()) >= 2 else None
+KINDS = phrases.KINDS
 
+#: Tokens: runs of letters, digits and the signs noise uses, and JSON escapes
+#: of letters. Possessive, so that a token of any length needs no stack.
+TOKENS = r"(?:\\u[0-9a-fA-F]{4}|[\p{L}\p{M}\p{N}\p{Cf}@$!*#%&+|.'’·•~_^-]++)++"
+#: Texts sampled at most as plain ones when the scorer is fitted.
+SAMPLE = 1000
 
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
+#: Scripts written without spaces: each character is a word.
+_UNSPACED = re.compile("[぀-ヿ㐀-鿿가-힯]")
+_SEPARATORS = re.compile(r"[._\-~·•^+|']+")
+_EDGES = ".-_~·•'^+|&%#"
+#: Letters, at least two, and signs that may stand for or between letters.
+_HIDES = re.compile("(?=.*[a-z].*[a-z])[a-z%s]+" % re.escape("".join(STANDS_FOR) + ANY + _EDGES))
+_CODED = re.compile("[A-Za-z0-9]{15,}")
+_TWO = re.compile("[a-z].*[a-z]")
+_NUMBER = r"^[-+.]?[0-9][0-9.eExX_%:/+*^~#&|-]*$"
+#: Letters on both sides of an apostrophe, not single ones throughout.
+_SHORTENED = re.compile(r"([a-z]+)'([a-z]{2,}|[stdm])|([a-z]{2,})'([a-z])")
+# What stands shortened behind an apostrophe, and before it.
+_LONG = {"m": "am", "re": "are", "ll": "will", "ve": "have", "d": "would", "s": ""}
+_NOT = {"ca": "can", "wo": "will", "sha": "shall", "ai": "is"}
 
 
 def unescape(token: str) -> str:
@@ -145,271 +59,306 @@ def unescape(token: str) -> str:
     return plain.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-_MARKS = re.compile(r"[\u0300-\u036f\u200b-\u200f\u2060\u00ad\ufeff\u061c\u180e]")
-_EDGE = ".-_~·•'’^+|&%#"
-#: A character over three times, but for those of which each is a letter.
-_STRETCHED = re.compile(r"([^*#%&])\1{3,}")
-_PARTS = (re.compile(r"[._~·•'’^-]+"), re.compile(r"[^\w]+"))
-_UNSPACED = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
-#: Signs between characters of such scripts.
-_STREWN = re.compile(rf"(?<={_UNSPACED.pattern})[\W_]+(?={_UNSPACED.pattern})")
-_SPELT = re.compile(r"[0-9@$!*#%&+|.'’·•~_^-]")
-
-
 class Restorer:
     """Tokens to restored words, remembering them."""
 
-    def __init__(self, most: int = 400_000):
-        self.channel, self.most = Channel(), most
-        self.known: dict[str, str] = {}
-        self.ordinary = {*self.channel.words, *lexicon.THEMSELVES}
-
-    def restore(self, token: str) -> str:
-        found = self.known.get(token)
-        if found is None:
-            if len(self.known) >= self.most:
-                self.known = {}
-            found = self.known[token] = self._restore(token)
-        return found
-
-    def _restore(self, token: str) -> str:
-        if token.isascii():
+    def __init__(self, model: CharModel, most: int = 300_000):
+        self.model, self.most = model, most
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def learn(self, tokens: Sequence[str]) -> None:
+        """Restores all tokens not met before, decoding them together."""
+        new = [t for t in tokens if t not in self.known]
+        if len(self.known) + len(new) > self.most:
+            self.known, new = {}, list(tokens)
+        # Long runs of letters and digits, as images are coded in, first.
+        coded = [t for t in new if _CODED.fullmatch(t) and not t.isalpha()]
+        lost = {t for t, hopeless in zip(coded, self.model.hopeless(coded)) if hopeless}
+        self.known.update(dict.fromkeys(lost, ("<num>",)))
+        parted = {t: self._parts(t) for t in new if t not in lost}
+        odd = {p for parts in parted.values() for p in parts if isinstance(p, tuple)}
+        # The whole token first; where it is no word, its parts.
+        read = self.model.decode(sorted({p[0] for p in odd} | {x for p in odd for x in p[1] if self._odd(x)}))
+        for t, parts in parted.items():
+            self.known[t] = tuple(w for p in parts for w in (self._choose(p, read) if isinstance(p, tuple) else [p]))
+
+    def _odd(self, x: str) -> bool:
+        """Whether a run of ASCII letters, digits and signs may hide a word."""
+        if x in self.model.words:
+            return False
+        return _HIDES.fullmatch(x) is not None
+
+    def _parts(self, token: str) -> list:
+        """Words of the token, and (whole, parts) where it is to be decoded."""
+        if "\\u" in token:
+            token = unescape(token)
+        if token.isascii() and token.isalpha():
             word = token.lower()
-        else:
-            if _UNSPACED.search(token):
-                return token
-            word = _MARKS.sub("", unicodedata.normalize("NFKD", token)).lower()
-            if not word.isascii() and any("a" <= c <= "z" for c in word):
-                word = word.translate(ALIKE)
-        word = word.strip(_EDGE)
-        bare = word.rstrip("!")
-        if bare in self.ordinary or not bare:
-            return bare
-        if len(bare) > LONGEST:
-            folded = _STRETCHED.sub(r"\1\1\1", bare)
-            return self.restore(folded) if len(folded) < len(bare) else self._parted(bare)
-        if not bare.isalpha() and not (_SPELT.search(bare) and any(c.isalpha() for c in bare) or bare.isdigit() and len(bare) <= 3):
-            return bare
-        return self.channel.decode(bare) or self.channel.decode(word) or bare.replace("’", " ").replace("'", " ").replace("-", " ").replace(".", " ").replace("_", " ").strip()
-
-    def _parted(self, word: str) -> str:
-        """A word longer than any the channel starts from, restored part by part:
-        between separators, then between all signs; without any it stays."""
-        for sign in _PARTS:
-            parts = [p for p in sign.split(word) if p]
-            if len(parts) > 1:
-                break
-        else:
-            return word
+            return [word] if word in self.model.words else [(word, (word,))]
+        word = token.lower() if token.isascii() else latin(token)
+        if not word.isascii():
+            if _UNSPACED.search(word):
+                return [c for c in word if c.isalnum()]
+            return ["".join(c for c in word if c.isalnum() or not c.isascii())]
+        word = word.strip(_EDGES)
+        bare = word.strip("!*@$" + _EDGES)
+        if not bare or bare in self.model.words:
+            return [bare] if bare else []
+        short = _SHORTENED.fullmatch(word)
+        if short:
+            a, b = short.group(1) or short.group(3), short.group(2) or short.group(4)
+            if b == "t" and a.endswith("n"):
+                return [_NOT.get(a[:-1], a[:-1]), "not"]
+            return [w for w in (a, _LONG.get(b, b)) if w]
+        parts = tuple(p for p in _SEPARATORS.split(word) if p)
+        if len(parts) > 1 and all(p in self.model.words and len(p) > 1 for p in parts):
+            return list(parts)
+        if not _TWO.search(word):
+            return ["<num>"]
+        return [(word, parts)]
+
+    def _choose(self, odd: tuple[str, tuple[str, ...]], read: dict) -> list[str]:
+        whole, parts = odd
+        found = read.get(whole) or (whole.endswith("!") and read.get(whole.rstrip("!")))
+        single = len(parts) == 1 or any(len(p) == 1 for p in parts)
+        if found and (single or found[0] in self.model.words and sum(len(p) < 3 for p in parts) > 1):
+            return self._run_on(found[0])
+        if len(parts) == 1 and parts[0].isalpha():
+            return self._run_on(parts[0])
         out: list[str] = []
         i = 0
         while i < len(parts):
             j = i
-            while j < len(parts) and len(parts[j]) == 1:
+            while j < len(parts) and len(parts[j]) == 1 and parts[j].isalpha():
                 j += 1
-            if j - i >= 3 and sum(p.isalpha() for p in parts[i:j]) >= 2:
+            if j - i >= 3:
                 out += self.spelt(parts[i:j])
                 i = j
-            else:
-                out.append(self.restore(parts[i]))
-                i += 1
-        return " ".join(w for w in out if w)
+                continue
+            got = read.get(parts[i])
+            plain = parts[i] if parts[i].isalpha() else parts[i].strip("!*@$") if parts[i].strip("!*@$").isalpha() else "<num>"
+            out += self._run_on(got[0]) if got else self._run_on(plain) if plain.isalpha() else [plain]
+            i += 1
+        return out
 
-    def spelt(self, letters: list[str]) -> list[str]:
-        """Single letters as the longest words they spell, from the left."""
+    def _run_on(self, word: str) -> list[str]:
+        """A word, or the words that run together in it."""
+        if len(word) < 8 or word in self.model.words:
+            return [word]
+        return self.model.words_in(word) or [word]
+
+    def spelt(self, letters: Sequence[str]) -> list[str]:
+        """Single letters as the words they spell."""
+        text = "".join(letters)
+        return [text] if text in self.model.words else self.model.words_in(text) or [text]
+
+    def words(self, text: str) -> list[str]:
+        """A text's words, restored; for the passages that are learned from."""
+        tokens = [t for t in re.findall(r"[^\s,;:()?\"]+", text)]
+        self.learn(tokens)
+        return self.joined([w for t in tokens for w in self.known[t]])
+
+    def joined(self, words: list[str]) -> list[str]:
+        """Runs of three and more single letters as the words they spell."""
         out: list[str] = []
-        k = 0
-        while k < len(letters):
-            for n in range(min(len(letters), k + LONGEST), k + 2, -1):
-                word = self.channel.decode("".join(letters[k:n]))
-                if word and len(word) >= 3:
-                    out.append(word)
-                    k = n
-                    break
+        i = 0
+        while i < len(words):
+            j = i
+            while j < len(words) and len(words[j]) == 1 and words[j].isascii() and words[j].isalpha():
+                j += 1
+            if j - i >= 3:
+                out += self.spelt(words[i:j])
             else:
-                out.append(letters[k])
-                k += 1
+                out += words[i : max(j, i + 1)]
+            i = max(j, i + 1)
         return out
 
 
-_RULES = [(KINDS.index(kind), weight, re.compile(pattern)) for kind, weight, pattern in lexicon.RULES]
-_PHRASES = [(KINDS.index(kind), p) for kind, many in lexicon.UNSPACED.items() for p in many]
+def char_model(paths: Sequence[str] = VOCABULARIES) -> CharModel:
+    """The character model over the vocabularies and the passages' words."""
+    words, rng = vocabulary(paths), random.Random(3)
+    abusive: set[str] = set()
+    plain: set[str] = set()
+    for kind in (*KINDS, "plain"):
+        (plain if kind == "plain" else abusive).update(fold(w) for _, p in phrases.passages(kind, rng, 5) for w in p.split())
+    for name in ("fool", "fools", "contempt", "slur", "sexpart"):
+        plain -= {w for x in phrases.LISTS[name] for w in x.split()}
+    least = sorted(words.values())[len(words) // 2]
+    for w in abusive | plain:
+        if w.isascii() and w.isalpha():
+            words[w] = words.get(w, 0.0) + least
+    return CharModel(words, abusive - plain)
 
-#: Which rules a line's words leave possible.
-_GATE = Gate([pattern for _, _, pattern in lexicon.RULES])
 
-#: Words of contempt, sex and foreign abuse, which no ordinary token may become.
-_STRONG = {*lexicon.INSULTS, *lexicon.EXPLICIT, *lexicon.FOREIGN} | set(
-    "panties nudes moaned dripping braindead worm maggot vermin filth scum subhuman cockroaches parasites parasite despises vanish doorknobs thimble sleeptight wheelchair"
-    " drown bleeding stab strangle kys deserve savages inferior plague ashamed sick shit hell hardcore breed throat garbage oxygen rats disease boat thieves river scared smash".split()
-)
+class Scorer:
+    """Scores batches of token lists under fitted weights."""
 
+    def __init__(self, model: CharModel, weights: scorer.Weights, most: int = 300_000):
+        self.restorer, self.weights, self.most = Restorer(model, most), weights, most
+        self._forget()
 
-def score_line(words: list[str]) -> list[float]:
-    """The line's score for each of KINDS; 1 and more is a case."""
-    line = " ".join(words)
-    line = line.replace("-", " ").replace("_", " ") if "user_" not in line else line.replace("-", " ")
-    out = [0.0] * len(KINDS)
-    for k in _GATE.rules(_GATE.text(line)):
-        kind, weight, pattern = _RULES[k]
-        if out[kind] < 1 and pattern.search(line):
-            out[kind] += weight
-    return out
+    def _forget(self) -> None:
+        self.words = scorer.Words()
+        self.own = np.zeros(0, np.float32)
+        self.hash, self.by_class, self.single = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
 
+    def _number(self, words: Sequence[str]) -> list[int]:
+        return [self.words(w) for w in words]
 
-class Scorer:
-    def __init__(self):
-        self.restorer = Restorer()
-        self.held: dict[str, int] = {}
-
-    def _flag(self, token: str) -> int:
-        """4: one letter, 8: line end, 16: unspaced script."""
-        if token == "\n":
-            return 8
-        if not token.isascii() and _UNSPACED.search(token):
-            return 16
-        if len(token) == 1 or (len(token) == 2 and not token[1].isalnum()):
-            return 4 if token[0].isalnum() or token[0] in "@$!*" else 0
-        return 0
-
-    def _held(self, token: str) -> int:
-        """The clauses of rules that the token's words satisfy."""
-        found = self.held.get(token)
-        if found is None:
-            if len(self.held) >= self.restorer.most:
-                self.held = {}
-            word = self.restorer.restore(token).replace("-", " ")
-            found = _GATE.text(word)
-            if "_" in word:
-                found |= _GATE.text(word.replace("_", " "))
-            self.held[token] = found
-        return found
-
-    def _joined(self, tokens: list[str]) -> list[str]:
-        """Restored words, runs of single letters decoded as one word each."""
-        out: list[str] = []
-        i = 0
-        while i < len(tokens):
-            j = i
-            while j < len(tokens) and self._flag(tokens[j]) == 4:
-                j += 1
-            if j - i >= 3:
-                i = self._spaced(tokens, i, j, out)
-                continue
-            out.append(self.restorer.restore(tokens[i]))
-            i += 1
-        return [w for w in out if w]
-
-    def _spaced(self, tokens: list[str], i: int, j: int, out: list[str]) -> int:
-        """Decodes tokens i..j, single letters; the word may end in token j."""
-        letters = [t[0].lower() for t in tokens[i:j]]
-        if j < len(tokens) and tokens[j] != "\n":
-            for k in range(min(2, j - i)):
-                word = self.restorer.channel.decode("".join(letters[k:]) + tokens[j].lower().strip(_EDGE + "!"))
-                if word and len(word) >= j - i - k + 1:
-                    out += letters[:k] + [word]
-                    return j + 1
-        out += self.restorer.spelt(letters)
-        return j
+    def _update(self) -> None:
+        a = len(self.own)
+        if a < len(self.words.names):
+            new = self.words.names[a:]
+            self.own = np.concatenate([self.own, np.array([self.weights.of_word(w)[0] for w in new], np.float32)])
+            self.hash = np.concatenate([self.hash, np.array(self.words.hash[a:], np.uint64)])
+            self.by_class = np.concatenate([self.by_class, np.array(self.words.by_class[a:], np.uint64)])
+            self.single = np.concatenate([self.single, np.array([len(w) == 1 and w.isascii() and w.isalpha() for w in new], bool)])
 
     def score(self, pieces: pa.ListArray) -> np.ndarray:
-        """Scores (documents x kinds) of a batch of token lists."""
+        """Scores (documents x (all, each kind)) of a batch of token lists."""
+        out = np.zeros((len(pieces), 1 + len(KINDS)))
         ends = pieces.offsets.to_numpy()
-        scores = np.zeros((len(pieces), len(KINDS)))
-        words = pieces.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-        names = [unescape(t) if "\\u" in t else t for t in words.dictionary.to_pylist()]
-        if not names:
-            return scores
-        flags = np.fromiter((self._flag(t) for t in names), np.int8, len(names))
-        code = words.indices.to_numpy()
-        flag = flags[code]
-        ends = ends - ends[0]
-        # Lines: from one line end, or start of a document, to the next.
-        first = np.zeros(len(code) + 1, bool)
-        first[ends] = True
-        first[1:] |= flag == 8
-        starts = np.flatnonzero(first[:-1])
-        if not len(starts):
-            return scores
-        count = lambda hit: np.add.reduceat(hit.astype(np.int32), starts)
-        # The clauses that a line's words satisfy, of the words that satisfy any.
-        bits = _GATE.columns_of([self._held(t) for t in names])
-        at = np.flatnonzero(bits.any(axis=1)[code])
-        line = np.searchsorted(starts, at, "right") - 1
-        some = np.flatnonzero(np.diff(line, prepend=-1))
-        look = np.zeros(len(starts), bool)
-        if len(some):
-            held = np.stack([np.bitwise_or.reduceat(bits[code[at], k], some) for k in range(bits.shape[1])], axis=1)
-            look[line[some]] = _GATE.any_rule(held)
-        single = flag == 4
-        runs = single[:-2] & single[1:-1] & single[2:] if len(single) > 2 else np.zeros(0, bool)
-        look |= count(flag & 16 > 0) > 0
-        look |= count(np.concatenate([runs, np.zeros(len(single) - len(runs), bool)])) > 0
-        stops = np.append(starts[1:], len(code))
-        owner = np.searchsorted(ends, starts, "right") - 1
-        done: dict[tuple, list[float]] = {}
-        for k in np.flatnonzero(look):
-            doc = owner[k]
-            if (scores[doc] >= 1).all():
-                continue
-            at = code[starts[k] : stops[k]]
-            key = at.tobytes()
-            got = done.get(key)
-            if got is None:
-                got = done[key] = self._line([names[i] for i in at])
-                if len(done) > 20_000:
-                    done.clear()
-            np.maximum(scores[doc], got, out=scores[doc])
-        return scores
-
-    def _line(self, tokens: list[str]) -> list[float]:
-        best = [0.0] * len(KINDS)
-        # Long lines are read in overlapping windows, so patterns stay local.
-        for a in range(0, max(1, len(tokens)), 60):
-            # A long token may have become many words.
-            words = " ".join(self._joined(tokens[a : a + 90])).split(" ")
-            for b in range(0, max(1, len(words) - 120), 60):
-                best = [max(x, y) for x, y in zip(best, score_line(words[b : b + 180]))]
-        if any(_UNSPACED.search(t) for t in tokens):
-            text = _STREWN.sub("", "".join(tokens))
-            for kind, phrase in _PHRASES:
-                if phrase in text:
-                    best[kind] = max(best[kind], 1.0)
-        return best
-
-
-_SCORERS: list[Scorer] = []
-
-
-def score(df: DataFrame, text: str) -> DataFrame:
+        tokens = pieces.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        if not len(tokens.dictionary):
+            return out
+        if len(self.words.names) > self.most:
+            self._forget()
+        # Runs of numbers are one word, and are not unpacked.
+        number = pc.match_substring_regex(tokens.dictionary, _NUMBER).to_numpy(zero_copy_only=False)
+        names = tokens.dictionary.filter(pa.array(~number)).to_pylist()
+        self.restorer.learn(names)
+        made = [self._number(self.restorer.known[t]) for t in names]
+        nothing = self.words("<num>")
+        self._update()
+        count = np.ones(len(number), np.int64)
+        count[~number] = [len(m) for m in made]
+        flat, first = np.empty(count.sum(), np.int64), np.cumsum(count) - count
+        flat[first[number]] = nothing
+        spare = np.ones(len(flat), bool)
+        spare[first[number]] = False
+        flat[spare] = np.fromiter((w for m in made for w in m), np.int64)
+        code = tokens.indices.to_numpy()
+        again = number[code]
+        again[1:] &= again[:-1].copy()
+        again[:1] = False
+        begin = ends[:-1] - ends[0]
+        again[begin[begin < len(again)]] = False
+        n = np.where(again, 0, count[code])
+        stop = np.cumsum(n)
+        word = flat[np.repeat(first[code] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)]
+        bounds = np.concatenate([[0], stop])[ends - ends[0]]
+        word, bounds = self._spelt(word, bounds)
+        docs = np.flatnonzero(np.diff(bounds))
+        if not len(docs):
+            return out
+        starts = bounds[:-1][docs]
+        begins = np.zeros(len(word), bool)
+        begins[starts] = True
+        near = scorer.neighbours(self.hash[word], self.by_class[word], begins)
+        best, a, b = scorer.best_passages(self.own[word] + self.weights.around(near), starts)
+        out[docs, 0] = 1 / (1 + np.exp(-(best + self.weights.base)))
+        for k, doc in enumerate(docs):
+            if out[doc, 0] >= 0.1:
+                out[doc, 1:] = out[doc, 0] * self._kinds(word[a[k] : b[k] + 1], [x[a[k] : b[k] + 1] for x in near])
+        return out
+
+    def _kinds(self, words: np.ndarray, near: list[np.ndarray]) -> np.ndarray:
+        z = self.weights.kinds_base + sum(self.weights.of_word(self.words.names[w])[1:] for w in words) + self.weights.kinds_around(near)
+        z = np.exp(z - z.max())
+        return z / z.max()
+
+    def _spelt(self, word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of three and more single letters as the words they spell."""
+        single = self.single[word]
+        if not single.any():
+            return word, bounds
+        edge = np.zeros(len(word) + 1, bool)
+        edge[bounds] = True
+        # A run ends where its text does.
+        opens = single & (edge[:-1] | ~np.concatenate([[False], single[:-1]]))
+        closes = single & (edge[1:] | ~np.concatenate([single[1:], [False]]))
+        a, b = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        long = b - a >= 3
+        runs = list(zip(a[long].tolist(), b[long].tolist()))
+        if not runs:
+            return word, bounds
+        known: dict[tuple, list[int]] = {}
+        parts, at, grown = [], 0, np.zeros(len(word) + 1, np.int64)
+        for a, b in runs:
+            key = tuple(word[a:b].tolist())
+            if key not in known:
+                known[key] = self._number(self.restorer.spelt([self.words.names[i] for i in key]))
+            parts += [word[at:a], np.array(known[key], np.int64)]
+            grown[b] += len(known[key]) - (b - a)
+            at = b
+        parts.append(word[at:])
+        self._update()
+        return np.concatenate(parts), bounds + np.cumsum(grown)[bounds]
+
+
+def tokens_of(text: F.Column) -> F.Column:
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\\[nrt\"\\]", " ")
+    return F.regexp_extract_all(plain, F.lit(TOKENS), F.lit(0))
+
+
+def fit(df: DataFrame, text: str, sample: int = SAMPLE, paths: Sequence[str] = VOCABULARIES) -> tuple[CharModel, scorer.Weights]:
+    """The models: letters from the vocabularies, weights from the passages and
+    from at most ``sample`` texts of ``df`` as plain ones, those whose hashes
+    are the lowest. A sampled text gives at most 4,000 of its words, from a
+    place its hash chooses; scoring reads all texts whole."""
+    rows = df.select(col(text).alias("text")).filter("text is not null").select("text", F.xxhash64("text").alias("h"))
+    held = rows.orderBy("h").limit(sample).select("h", tokens_of(F.col("text")).alias("tokens"))
+    begin = F.pmod(F.col("h"), F.greatest(F.size("tokens") - 4000, F.lit(1))).cast("int") + 1
+    chosen = held.select(F.slice("tokens", begin, 4000).alias("tokens")).collect()
+    model = char_model(paths)
+    restorer = Restorer(model)
+    restorer.learn(sorted({t for r in chosen for t in r.tokens}))
+    texts = [restorer.joined([w for t in r.tokens for w in restorer.known[t]]) for r in chosen]
+    return model, scorer.fit(restorer.words, texts, ordinary(model))
+
+
+def ordinary(model: CharModel, many: int = 2000) -> list[str]:
+    """Words of the vocabularies by falling weight, but for those of abuse."""
+    return [w for w in sorted(model.words, key=lambda w: (-model.words[w], w)) if w not in model.offensive][:many]
+
+
+_SCORERS: dict[str, Scorer] = {}
+
+
+def score(df: DataFrame, text: str, models: tuple[CharModel, scorer.Weights] | None = None) -> DataFrame:
     """``df`` with the columns ``score, insult, threat, hate, sexual`` in place
-    of ``text``: the highest score of any line by kind, and the highest of all.
-    A document of score 1 or more holds such a passage.
+    of ``text``: how likely the text's worst passage is abusive, from 0 to 1,
+    and by kind. From :data:`CASE` on a document holds such a passage.
 
-    Null, empty and blank texts score 0. Texts are read whole. Columns of
-    ``df`` named like a score raise ``ValueError``.
+    The models are fitted on ``df`` itself where none are given. Null, empty
+    and blank texts score 0. Texts are read whole. Columns of ``df`` named like
+    a score raise ``ValueError``.
     """
     names = ("score", *KINDS)
     if {c.lower() for c in df.columns if c != text} & set(names):
         raise ValueError(f"the input has a column named like one of {names}; rename it first")
     rest = [c for c in df.columns if c != text]
-    plain = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\\[nr]", "\n")
-    plain = F.regexp_replace(plain, r"\\[t\"\\]", " ")
-    cut = df.select(*[col(c) for c in rest], F.regexp_extract_all(plain, F.lit(TOKENS), F.lit(0)).alias("__tokens"))
+    shared = df.sparkSession.sparkContext.broadcast(models or fit(df, text))
+    key = str(shared.id) if hasattr(shared, "id") else str(shared._jbroadcast.id())
+    cut = df.select(*[col(c) for c in rest], tokens_of(col(text)).alias("__tokens"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in cut.schema if f.name != "__tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _SCORERS:
-            _SCORERS.append(Scorer())
-        for batch in batches:
-            found = _SCORERS[0].score(batch.column(batch.num_columns - 1))
-            columns = [pa.array(found.max(axis=1) if len(found) else np.zeros(0)), *[pa.array(found[:, i]) for i in range(len(KINDS))]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *names])
+        if key not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[key] = Scorer(*shared.value)
+        for batch in (part for whole in batches for part in _slices(whole, 300_000)):
+            found = _SCORERS[key].score(batch.column(batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(found[:, i]) for i in range(len(names))]], names=[*batch.schema.names[:-1], *names])
 
     return map_arrow(cut, run, fields + ", ".join(f"{n} double" for n in names))
 
 
+#: The score from which a document holds such a passage.
+CASE = 0.6
+
+
 def rates(scored: DataFrame, source: str) -> DataFrame:
-    """Per source: documents, those of score 1 or more, and their rate by kind."""
-    case = lambda c: F.avg((F.col(c) >= 1).cast("double"))
-    return scored.groupBy(col(source).alias(source)).agg(F.count(F.lit(1)).alias("n_docs"), F.sum((F.col("score") >= 1).cast("long")).alias("n_flagged"), case("score").alias("rate"), *[case(k).alias(f"{k}_rate") for k in KINDS])
+    """Per source: documents, those with a case, and their rate by kind."""
+    case = lambda c: F.avg((F.col(c) >= CASE).cast("double"))
+    return scored.groupBy(col(source).alias(source)).agg(F.count(F.lit(1)).alias("n_docs"), F.sum((F.col("score") >= CASE).cast("long")).alias("n_flagged"), case("score").alias("rate"), *[case(k).alias(f"{k}_rate") for k in KINDS])

@@ -1,6 +1,5 @@
 import math
 import random
-import re
 from collections import Counter
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("readroute.llm.queries")
 
-from readroute.llm import canonical, components, distinct, frequent, lexicon, mixing, percentiles, toxicity
+from readroute.llm import canonical, components, distinct, frequent, mixing, percentiles
 
 
 # --- percentiles
@@ -237,114 +236,3 @@ def test_mixing_reaches_its_shares(spark):
     assert got["n", "gone"].used_tokens == 0 and got["n", "mid"].actual_share == 1.0
     assert got["o", "gone"].actual_share == 0 and got["p", "big"].used_tokens == 0
     assert all(r.repeats >= 1 for r in chosen.collect())
-
-
-# --- abusive content
-
-
-FOUL = ["what a stup1d b.a.s.t.a.r.d you are", "you are a w*******s l***r", "I will b r e a k your legs", "foreigners are v3rm1n", "i want to fuuuuck you", "du bist ein Arschloch", "hijo de puta", "このバカ野郎", "send n​udes and beg", "eres un imbécil", r'{"source": ["# \u3053\u306e\u30d0\u30ab\u91ce\u90ce\n"]}', r'"you are a w\u200borthless l\u006fser\n"', r"va crever, esp\u00e8ce d\u2019idiot"]
-FINE = ["", " ", "cock pheasants and great tits", "kill the process and break the loop", "the dumb baseline", "x**2 + a**b", "women and men answered alike", "Parasite load per ewe", "if not ok: break", "strip the naked URL"]
-
-
-def test_foul_and_fine_lines(spark):
-    rows = [(i, t, "s") for i, t in enumerate([*FOUL, *FINE, None])]
-    got = {r.id: r for r in toxicity.score(spark.createDataFrame(rows, "id int, text string, src string"), "text").collect()}
-    assert len(got) == len(rows)
-    assert [rows[i][1] for i in range(len(FOUL)) if got[i].score < 1] == []
-    assert [rows[i][1] for i in range(len(FOUL), len(rows)) if got[i].score >= 1] == []
-
-
-def test_a_passage_is_found_anywhere(spark):
-    filler = "plain words about river gauges and bakery orders\n" * 4000
-    texts = [filler + FOUL[0] + "\n" + filler, filler, filler.replace("\n", " ") + FOUL[1] + " " + filler.replace("\n", " ")]
-    texts[0] += "aZ09+" * 200_000 + "\\u00e8" * 50_000
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    assert [r.score >= 1 for r in toxicity.score(df, "text").orderBy("id").collect()] == [True, False, True]
-    rates = toxicity.rates(toxicity.score(df.withColumn("src", F.lit("a")), "text"), "src").first()
-    assert (rates.n_docs, rates.n_flagged) == (3, 2)
-    assert toxicity.score(df.limit(0), "text").count() == 0
-    with pytest.raises(ValueError):
-        toxicity.score(df.withColumnRenamed("id", "score"), "text")
-
-
-def test_channel_restores_words():
-    restore = toxicity.Restorer().restore
-    cases = {"fu​ck": "fuck", "F.U.C.K": "fuck", "b4st4rd": "bastard", "naaaaked": "naked", "p***y": "pussy", "páthetic": "pathetic", "ｆuck": "fuck", "сunt": "cunt", "pvssy": "pussy"}
-    assert {k: restore(k) for k in cases} == cases
-    for plain in ("value", "x2", "utf8", "md5", "1234", "a1b2c3d4e5", "vision", "h5py", "v1.2.3"):
-        assert not set(restore(plain).split()) & set(toxicity._STRONG), plain
-
-
-def _samples(seq, rng):
-    """A text that a parsed pattern matches, but for what it looks ahead to."""
-    out = ""
-    for op, arg in seq:
-        name = str(op)
-        if name == "LITERAL":
-            out += chr(arg)
-        elif name == "ANY":
-            out += " "
-        elif name == "IN" and str(arg[0][0]) == "CATEGORY":
-            out += "q"
-        elif name == "IN":
-            out += chr(rng.choice(arg)[1])
-        elif name == "SUBPATTERN":
-            out += _samples(arg[3], rng)
-        elif name == "BRANCH":
-            out += _samples(rng.choice(arg[1]), rng)
-        elif name == "MAX_REPEAT":
-            out += "".join(_samples(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
-        else:
-            assert name in ("AT", "ASSERT", "ASSERT_NOT"), name
-    return out
-
-
-def test_every_rule_passes_its_own_gate():
-    rng = random.Random(10)
-    for k, (_, _, pattern) in enumerate(lexicon.RULES):
-        compiled, parsed, matched = re.compile(pattern), re._parser.parse(pattern), 0
-        for _ in range(400):
-            text = _samples(parsed, rng)
-            if compiled.search(text):
-                matched += 1
-                assert k in toxicity._GATE.rules(toxicity._GATE.text(text)), text
-        assert matched, pattern
-    assert toxicity._GATE.rules(toxicity._GATE.text("plain words about river gauges")) == []
-
-
-PLAIN = ["I will rape you", "I will murder you", "I am going to torture her", "I will choke you", "I know where you live", "you will regret this", "watch your back", "piece of crap", "piss off", "take off your clothes", "lynch all gays", "deport all muslims", "muslims go home", "You're a loser"]
-
-
-def test_lines_without_a_listed_word_are_scored(spark):
-    df = spark.createDataFrame(list(enumerate(PLAIN)), "id int, text string")
-    assert [PLAIN[r.id] for r in toxicity.score(df, "text").collect() if r.score < 1] == []
-
-
-def test_letters_alone_are_decoded(spark):
-    restore = toxicity.Restorer().restore
-    cases = {"moorron": "moron", "iddiot": "idiot", "fuuck": "fuck", "azzhole": "asshole", "dicx": "dick", "Zlut": "slut"}
-    assert {k: restore(k) for k in cases} == cases
-    for plain in ("root", "bitte", "hoot", "rapped", "ridding", "class", "pizza", "matrix", "Herr", "foot"):
-        assert restore(plain) == plain.lower()
-    df = spark.createDataFrame([(0, "you are an azzhole"), (1, "such an iddiot"), (2, "fuuck you")], "id int, text string")
-    assert [r.id for r in toxicity.score(df, "text").collect() if r.score < 1] == []
-
-
-LONG = ["you_worthless_piece_of_shit_go_kill_yourself_right_now_and_never_return", "what an idio" + "o" * 60 + "t", "f" + "." * 30 + "u" + "." * 30 + "c" + "." * 30 + "k you", ".".join("youareaworthlessmoronandmore"), "river+gauge+readings+of+the+bakery+you+are+a+b4st4rd+and+so+on", "-".join(["plain"] * 3000) + "-go-kill-yourself-" + "-".join(["plain"] * 3000)]
-
-
-def test_tokens_of_any_length_are_read(spark):
-    assert all(max(map(len, t.split())) > toxicity.LONGEST for t in LONG)
-    fine = ["-".join(["plain"] * 30), "a1b2" * 20, "=" * 80, "test_that_the_loop_will_kill_the_worker_process_and_break"]
-    df = spark.createDataFrame(list(enumerate([*LONG, *fine])), "id int, text string")
-    got = {r.id: r.score for r in toxicity.score(df, "text").collect()}
-    assert [LONG[k][:60] for k in range(len(LONG)) if got[k] < 1] == []
-    assert [t for k, t in enumerate(fine, len(LONG)) if got[k] >= 1] == []
-
-
-def test_signs_between_characters_of_unspaced_scripts(spark):
-    foul = ["バ*カ*野*郎", "死.ね", "死 ね", "王_八_蛋", "씨\u200b발", "お前は死~ね"]
-    df = spark.createDataFrame(list(enumerate([*foul, "今日は.いい.天気", "漢 字"])), "id int, text string")
-    got = {r.id: r.score for r in toxicity.score(df, "text").collect()}
-    assert [foul[k] for k in range(len(foul)) if got[k] < 1] == []
-    assert got[len(foul)] == got[len(foul) + 1] == 0
