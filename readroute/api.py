@@ -3,7 +3,6 @@ rewriting SAM comments."""
 
 from __future__ import annotations
 
-import shutil
 from collections.abc import Mapping, Sequence
 from itertools import repeat
 
@@ -14,9 +13,10 @@ from readroute.functions import seq as fn
 from readroute.operators import routing, split
 from readroute.operators.anchors import Options
 from readroute.operators.barcodes import BarcodeContext
-from readroute.sources.bam import bam_header, read_bam, write_bam_file
-from readroute.sources.dispatch import format_of
-from readroute.sources.fastq import numbered, read_fastq
+from readroute.sources.bam import bam_header, read_bam, write_bam_groups
+from readroute.sources.dispatch import format_of, write_reads
+from readroute.sources.fastq import read_fastq, write_fastq
+from readroute.sources.files import expand, write_files
 
 ROUTES = ("atac", "gex", "other", "technical")
 
@@ -37,9 +37,10 @@ def split_reads(
     """Splits FASTQ files into ATAC, GEX, other and, if asked, technical ones.
 
     One path each, or lists of them (the shortest ends all). Outputs named
-    ``.fastq``, ``.fastq.gz`` or ``.bam`` become single files; any other name
-    becomes a folder of FASTQ parts, which is what scales. Returns the counts
-    [ATAC, GEX, other] of written reads, per file for lists.
+    ``.fastq``, ``.fastq.gz`` or ``.bam`` become single files, written in parts
+    and joined; any other name becomes a folder of FASTQ parts. All inputs are
+    one scan, and each read is searched once. Returns the counts [ATAC, GEX,
+    other] of written reads, per file for lists.
     """
     single = isinstance(inputs, str)
     listed = lambda x: repeat(None) if x is None else [x] if isinstance(x, str) else x
@@ -47,53 +48,28 @@ def split_reads(
     for job in jobs:
         if job[0].endswith(".bam"):
             raise ValueError(f"reads are split from FASTQ, not from {job[0]}")
-    files = [job[0] for job in jobs]
-    if not files:
+    if not jobs:
         return []
-    reads = None
-    for k, path in enumerate(files):
-        one = read_fastq(spark, path).withColumn("file_id", F.lit(k))
-        reads = one if reads is None else reads.unionByName(one)
-    if n_records is not None:
-        reads = numbered(reads).filter(F.col("rec_no") < n_records).drop("rec_no")
+    # An input may be a folder, and may be named more than once.
+    named = [(path, k) for k, job in enumerate(jobs) for path in sorted(expand(job[0]))]
+    owners = spark.createDataFrame(named or [("", 0)], "path string, job int")
+    reads = read_fastq(spark, sorted({p for p, _ in named}), n_records=n_records).join(F.broadcast(owners), "path")
     routed = routing.demux(reads, context, Options(keep_runoff=keep_runoff), only_valid)
-    # The search is costly and every output needs it, so it is kept once.
-    made = routing.records(routed, technical is not None).select("file_id", "rec_pos", "route", "header", "seq", "qual", "tags").persist()
-    try:
-        n = {(r.file_id, r.route): r.n for r in made.groupBy("file_id", "route").agg(F.count(F.lit(1)).alias("n")).collect()}
-        for k, (_, *outs) in enumerate(jobs):
-            for route, path in zip(ROUTES, outs):
-                if path is not None:
-                    _write(made.filter((F.col("file_id") == k) & (F.col("route") == route)), path)
-    finally:
-        made.unpersist()
+    made = routing.records(routed, technical is not None).select("job", "path", "rec_pos", "route", "header", "seq", "qual", "tags")
+    n = {(r.job, r.route): r.n for r in made.groupBy("job", "route").agg(F.count(F.lit(1)).alias("n")).collect()}
+    grouped = made.withColumn("to", F.concat_ws("/", F.col("job").cast("string"), "route"))
+    files = {f"{k}/{route}": path for k, (_, *outs) in enumerate(jobs) for route, path in zip(ROUTES, outs) if path is not None}
+    for kind, suffixes in (("fastq", (".fastq", ".fastq.gz")), ("bam", (".bam",))):
+        own = {g: p for g, p in files.items() if p.endswith(suffixes)}
+        if own:
+            write_reads(grouped, own, "to", ("path", "rec_pos"), kind)
+    for g, path in files.items():
+        if not path.endswith((".fastq", ".fastq.gz", ".bam")):
+            write_fastq(grouped.filter(F.col("to") == g), path)
     result = [[n.get((k, r), 0) for r in ROUTES[:3]] for k in range(len(jobs))]
     return result[0] if single else result
 
 
-def _write(df: DataFrame, path: str) -> None:
-    ordered = df.orderBy("rec_pos")
-    if path.endswith(".bam"):
-        name = F.regexp_replace(F.coalesce(fn.control_id(F.col("header")), F.lit("*")), "^@", "")
-        tags = F.transform(F.filter(F.col("tags"), lambda t: t["v"].isNotNull()), lambda t: F.struct(t["k"].alias("k"), F.lit("Z").alias("type"), t["v"].alias("v")))
-        rows = ordered.select(
-            name.alias("name"), F.lit(4).alias("flag"), F.lit(-1).alias("ref_id"), F.lit(-1).alias("pos"), F.lit(0).alias("mapq"), F.lit("*").alias("cigar"),
-            F.lit(-1).alias("next_ref"), F.lit(-1).alias("next_pos"), F.lit(0).alias("tlen"), "seq", fn.scores(F.col("qual")).alias("qual"), tags.alias("tags"),
-        )
-        write_bam_file(path, rows.toLocalIterator(prefetchPartitions=True))
-        return
-    lines = ordered.select(fn.fastq_record(F.col("header"), F.col("seq"), F.col("qual")).alias("value"))
-    if path.endswith((".fastq", ".fastq.gz")):
-        import gzip
-
-        with (gzip.open if path.endswith(".gz") else open)(path, "wt", encoding="utf-8", newline="\n") as f:
-            for r in lines.toLocalIterator(prefetchPartitions=True):
-                f.write(r.value + "\n")
-        return
-    shutil.rmtree(path, ignore_errors=True)
-    lines.write.text(path)
-
-
 def summarize_bam(spark: SparkSession, path: str, barcode_tag: str = "CB", missing_ok: bool = False) -> DataFrame:
     return split.summarize(read_bam(spark, path, ["flag", "seq", "tags"]), barcode_tag, missing_ok)
 
@@ -112,8 +88,6 @@ def split_bam(
     Unmapped reads, those without the tag, and unknown barcodes are left out.
     Every group gets a file with the source's header, in the source's order.
     """
-    from readroute.sources.bam import write_bam_groups
-
     format_of(path, "bam")
     table = lookup if isinstance(lookup, DataFrame) else spark.createDataFrame(list(lookup.items()), "barcode string, grp string")
     groups = [r.grp for r in table.select("grp").distinct().collect()]
@@ -133,9 +107,6 @@ def sam_comments_to_tags(spark: SparkSession, sam_file: str, output: str, commen
     line = fn.sam_line(F.col("value"), comment_prefix, tag_prefix, token_bound)
     lines = spark.read.text(sam_file).select(F.monotonically_increasing_id().alias("at"), line.alias("value"))
     if output.endswith(".sam"):
-        with open(output, "w", encoding="utf-8", newline="\n") as f:
-            for r in lines.toLocalIterator(prefetchPartitions=True):
-                f.write(r.value + "\n")
+        write_files(lines.withColumn("to", F.lit("0")), {"0": output}, "to", ("at",), lambda r: (r["value"] + "\n").encode("utf-8"), bytes)
         return
-    shutil.rmtree(output, ignore_errors=True)
-    lines.sortWithinPartitions("at").select("value").write.text(output)
+    lines.sortWithinPartitions("at").select("value").write.mode("overwrite").text(output)

@@ -50,12 +50,10 @@ def _mates(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positional join of the mates, file by file, with the id check as a flag."""
-    from readroute.sources.fastq import numbered
-
-    a, b = (numbered(m) for m in _mates(spark, sf_dir))
-    b = b.select("file_id", "rec_no", F.col("header").alias("header2"), F.col("seq").alias("seq2"))
-    return a.join(b, ["file_id", "rec_no"]).select("file_id", F.col("rec_no").cast("long").alias("rec_no"), "header", "header2", "seq", "seq2")
+    """The mates side by side, file by file, with the id check as a flag."""
+    reads = linked(_mates(spark, sf_dir), verify_ids=False, by=("file_id",))
+    a, b = F.col("reads")[0], F.col("reads")[1]
+    return reads.select("file_id", F.col("rec_no").cast("long").alias("rec_no"), a["header"].alias("header"), b["header"].alias("header2"), a["seq"].alias("seq"), b["seq"].alias("seq2"))
 
 
 def fastq_linked(spark, sf_dir):

@@ -9,10 +9,8 @@ order of the file without counting; ``rec_no`` is numbered only on request.
 from __future__ import annotations
 
 import gzip
-import io
-import os
 from collections.abc import Iterator
-from pathlib import Path
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from readroute.functions import seq as fn
-from readroute.session import cut
+from readroute.session import fresh
+from readroute.sources.files import expand, open_in, size_of
 
 SCHEMA = "path string, file_id int, rec_pos bigint, header string, seq string, qual string"
 
@@ -82,38 +81,21 @@ def records(f, start: int = 0, end: int | None = None) -> Iterator[tuple[int, st
         at += len(line) + len(seq) + len(plus) + len(qual)
 
 
-def records_by_marks(lines: Iterator[str]) -> Iterator[tuple[int, str, str, str]]:
-    """The lenient reading by first characters: any line beginning with ``+``
-    is skipped and any with ``@`` starts a record. A quality beginning with
-    either is lost with its record; kept for results that must agree."""
-    number, header, seq, state = 0, None, None, "none"
-    for line in lines:
-        line = line.strip()
-        if line.startswith("+"):
-            continue
-        if line.startswith("@"):
-            header, state = line, "header"
-        elif state == "header":
-            seq, state = line, "seq"
-        elif state == "seq":
-            yield number, header, seq, line
-            number, state = number + 1, "none"
-
-
 class FastqReader(DataSourceReader):
     def __init__(self, options):
         self.paths = sorted(expand(options["path"]))
         self.split = int(options.get("splitbytes", 64 << 20))
         self.batch = int(options.get("batchsize", 4096))
-        self.compat = str(options.get("compat", "false")).lower() == "true"
+        #: Records at most of each range, as no file gives more than these.
+        self.most = int(options["mostrecords"]) if "mostrecords" in options else None
 
     def partitions(self):
         out = []
         for k, path in enumerate(self.paths):
-            if path.endswith(".gz") or self.compat:
+            if path.endswith(".gz"):
                 out.append(_Range(path, k, 0, None))
             else:
-                size = os.path.getsize(path)
+                size = size_of(path)
                 out += [_Range(path, k, a, min(a + self.split, size)) for a in range(0, max(size, 1), self.split)]
         return out or [_Range("", 0, 0, 0)]
 
@@ -122,11 +104,9 @@ class FastqReader(DataSourceReader):
             return
         names = ["path", "file_id", "rec_pos", "header", "seq", "qual"]
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string()]
-        opened = gzip.open(part.path, "rb") if part.path.endswith(".gz") else open(part.path, "rb")
-        with opened as f:
-            found = records_by_marks(io.TextIOWrapper(f, "utf-8", "replace")) if self.compat else records(f, part.start, part.end)
+        with open_in(part.path) as raw, (gzip.open(raw, "rb") if part.path.endswith(".gz") else raw) as f:
             rows: list[tuple] = []
-            for r in found:
+            for r in islice(records(f, part.start, part.end), self.most):
                 rows.append((part.path, part.file_id, *r))
                 if len(rows) == self.batch:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
@@ -147,60 +127,65 @@ class FastqSource(DataSource):
         return FastqReader(self.options)
 
 
-def expand(path: str) -> list[str]:
-    """The files of a path, folder, pattern or comma-separated list of them."""
-    out: list[str] = []
-    for p in path.split(","):
-        p = p.removeprefix("file://")
-        if any(c in p for c in "*?["):
-            out += [str(x) for x in Path("/").glob(os.path.abspath(p).lstrip("/"))]
-        elif os.path.isdir(p):
-            out += [str(x) for x in Path(p).iterdir() if x.name.endswith((".fastq", ".fastq.gz"))]
-        else:
-            out.append(p)
-    return out
-
-
 def read_fastq(spark: SparkSession, path: str | list[str], phred: str = "raw", n_records: int | None = None, **options) -> DataFrame:
     """Records of FASTQ files, one row each, keyed by (file_id, rec_pos).
 
     ``phred`` is ``raw`` (the string) or ``illumina`` (an array of scores).
-    ``n_records`` keeps the first records of every file; 0 keeps none.
+    ``n_records`` keeps the first records of every file; 0 keeps none. Of no
+    range of a file are more than these read.
     """
     quality = fn.phred(phred)
     spark.dataSource.register(FastqSource)
     paths = path if isinstance(path, str) else ",".join(path)
-    df = spark.read.format("fastq").options(**{k: str(v) for k, v in options.items()}).load(paths)
+    reader = spark.read.format("fastq").options(**{k: str(v) for k, v in options.items()})
+    if n_records is not None:
+        reader = reader.option("mostrecords", str(n_records))
+    df = reader.load(paths)
     if n_records is not None:
         df = numbered(df).filter(F.col("rec_no") < n_records).drop("rec_no")
     return df.withColumn("qual", quality(F.col("qual")))
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """Adds ``rec_no``, the record's number in its file, from 0.
+#: Records about that :func:`numbered` sorts together.
+_TOGETHER = 100_000
 
-    Files may be huge, so no task numbers a whole one: records are laid out by
-    range once, numbered within their part, and shifted by the parts before.
-    """
-    laid = cut(df.repartitionByRange("file_id", "rec_pos").withColumn("__part", F.spark_partition_id()))
-    held = laid.groupBy(F.col("file_id").alias("__f"), F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
-    before = held.select("__f", "__p", (F.sum("__n").over(Window.partitionBy("__f").orderBy("__p")) - F.col("__n")).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("file_id", "__part").orderBy("rec_pos")) - 1
-    placed = laid.withColumn("__i", inside).join(before, F.col("file_id").eqNullSafe(F.col("__f")) & (F.col("__part") == F.col("__p")))
-    return placed.withColumn("rec_no", F.col("__before") + F.col("__i")).drop("__part", "__f", "__p", "__before", "__i")
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Adds ``rec_no``, the record's number in its file, from 0 in the order of
+    ``rec_pos``; equal positions are numbered in any order.
 
-def linked(files: list[DataFrame], verify_ids: bool = True, strict_ids: bool = False, n_records: int | None = None) -> DataFrame:
+    Files may be huge, so no task numbers a whole one: positions fall into
+    stretches that hold some records each, a stretch is numbered by itself and
+    shifted by the counts of those before. Counting reads the positions alone;
+    the records are shuffled once, to their stretch.
+    """
+    by_file = df.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.max("rec_pos").alias("m"))
+    size = by_file.agg(F.sum("n").alias("n"), F.sum(F.coalesce("m", F.lit(0)) + 1).alias("span")).first()
+    shift = max(0, ((_TOGETHER * (size.span or 1)) // (size.n or 1)).bit_length() - 1)
+    f, p, n, before = (fresh(x, df) for x in ("file", "stretch", "held", "before"))
+    stretch = F.shiftright("rec_pos", shift)
+    held = df.groupBy(F.col("file_id").alias(f), stretch.alias(p)).agg(F.count(F.lit(1)).alias(n))
+    # Few rows: one for each stretch.
+    starts = held.select(f, p, (F.sum(n).over(Window.partitionBy(f).orderBy(p)) - F.col(n)).alias(before))
+    at = fresh("at", df)
+    inside = F.row_number().over(Window.partitionBy("file_id", at).orderBy("rec_pos")) - 1
+    placed = df.withColumn(at, stretch).withColumn("rec_no", inside)
+    placed = placed.join(starts, F.col("file_id").eqNullSafe(F.col(f)) & F.col(at).eqNullSafe(F.col(p)))
+    return placed.withColumn("rec_no", F.col("rec_no") + F.col(before)).drop(at, f, p, before)
+
+
+def linked(files: list[DataFrame], verify_ids: bool = True, strict_ids: bool = False, n_records: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Records of linked files side by side: (rec_no, reads array of structs).
 
-    The n-th records of all files form a row; the shortest file ends it. With
+    The n-th records of all files form a row; the shortest file ends it. Frames
+    of several files are linked file by file with ``by=("file_id",)``. With
     ``verify_ids`` a mate whose header does not begin with the previous file's
     id fails the query (``strict_ids``: does not have that very id).
     """
     out = None
     for k, f in enumerate(files):
-        one = numbered(f).select("rec_no", F.struct("header", "seq", "qual").alias(f"r{k}"))
-        out = one if out is None else out.join(one, "rec_no")
+        one = numbered(f).select(*by, "rec_no", F.struct("header", "seq", "qual").alias(f"r{k}"))
+        out = one if out is None else out.join(one, [*by, "rec_no"])
     if n_records is not None:
         out = out.filter(F.col("rec_no") < n_records)
     if verify_ids:
@@ -208,7 +193,7 @@ def linked(files: list[DataFrame], verify_ids: bool = True, strict_ids: bool = F
             ok = fn.same_read(F.col(f"r{k}.header"), fn.control_id(F.col(f"r{k - 1}.header")), strict_ids)
             message = F.concat(F.lit("ID mismatch at record "), F.col("rec_no").cast("string"))
             out = out.withColumn(f"r{k}", F.when(F.coalesce(ok, F.lit(False)), F.col(f"r{k}")).otherwise(F.raise_error(message)))
-    return out.select("rec_no", F.array(*[F.col(f"r{k}") for k in range(len(files))]).alias("reads"))
+    return out.select(*by, "rec_no", F.array(*[F.col(f"r{k}") for k in range(len(files))]).alias("reads"))
 
 
 def write_fastq(df: DataFrame, path: str, compress: bool = False, partition_by: tuple[str, ...] = ()) -> None:

@@ -54,8 +54,6 @@ def test_fastq_options_and_broken_files(spark, tmp_path):
     assert fastq.read_fastq(spark, str(tmp_path / "empty.fastq")).count() == 0
     assert fastq.read_fastq(spark, str(tmp_path / "a.fastq"), n_records=1).count() == 1
     assert fastq.read_fastq(spark, str(tmp_path / "a.fastq"), n_records=0).count() == 0
-    # By first characters, the quality "@!" is taken for a header.
-    assert fastq.read_fastq(spark, str(tmp_path / "a.fastq"), compat=True).count() == 1
     with pytest.raises(ValueError):
         fastq.read_fastq(spark, "x", phred="solexa")
     with pytest.raises(ValueError):
@@ -129,10 +127,48 @@ def test_bam_round_trip_and_split(spark, tmp_path):
 
 
 def test_large_bam_spans_blocks(spark, tmp_path):
-    rows = [aligned(f"read{i}", CB=BC[i % 2]) for i in range(5000)]
-    bam.write_bam_file(str(tmp_path / "l.bam"), rows)
-    df = bam.read_bam(spark, str(tmp_path / "l.bam"), ["name", "tags"])
-    assert df.columns == ["name", "tags"] and df.count() == 5000
+    """Ranges of any size give every record once and in order."""
+    rng = random.Random(5)
+    rows = [aligned(f"read{i}", CB=BC[i % 2], XX="".join(rng.choice("ACGT") for _ in range(rng.choice([5, 90, 4000])))) for i in range(3000)]
+    rows[700]["seq"] = "".join(rng.choice("ACGT") for _ in range(200_000))
+    path = str(tmp_path / "l.bam")
+    bam.write_bam_file(path, rows, "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:chromosome{i}{rng.random()}\tLN:9\n" for i in range(6000)), [(f"chromosome{i}", 9) for i in range(6000)])
+    df = bam.read_bam(spark, path, ["name", "tags"])
+    assert df.columns == ["name", "tags"] and df.count() == 3000
+    for size in (3_000, 20_000, 70_000, 1 << 30):
+        df = bam.read_bam(spark, path, ["name", "rec_no"], splitbytes=size)
+        if size > 20_000:
+            assert [r.name for r in df.orderBy("rec_no").collect()] == [r["name"] for r in rows], size
+        reader = bam.BamReader({"path": path, "splitbytes": size}, df.schema)
+        found = [(r["name"], r["rec_no"]) for part in reader.partitions() for r in reader.records(part)]
+        assert [n for n, _ in found] == [r["name"] for r in rows] and found == sorted(found, key=lambda x: x[1])
+    with open(path, "rb") as f:
+        cut = f.read()[:-200]
+    (tmp_path / "cut.bam").write_bytes(cut)
+    with pytest.raises(Exception):
+        bam.read_bam(spark, str(tmp_path / "cut.bam")).collect()
+
+
+def test_writers_take_the_same_arguments(spark, tmp_path):
+    rows = [(i, f"@r{i}", "ACGT"[: 1 + i % 4], "IIII"[: 1 + i % 4]) for i in range(500)]
+    df = spark.createDataFrame(rows, "n int, header string, seq string, qual string").repartition(7)
+    for name in ("w.fastq", "w.fastq.gz", "w.bam"):
+        path = str(tmp_path / name)
+        dispatch.writer_for(path)(df, path, order=("n",))
+        got = dispatch.open_reads(spark, path).orderBy("rec_no" if name.endswith("bam") else "rec_pos")
+        assert [r.seq for r in got.collect()] == [r[2] for r in rows], name
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["w.bam", "w.fastq", "w.fastq.gz"]
+
+
+def test_numbering_of_uneven_positions(spark):
+    rng = random.Random(3)
+    rows = [(f, p) for f in (0, 1, None) for p in rng.sample(range(10**9), 400)] + [(0, 5)] * 3
+    got = fastq.numbered(spark.createDataFrame(rows, "file_id int, rec_pos bigint")).collect()
+    for f in (0, 1, None):
+        mine = sorted((r.rec_no, r.rec_pos) for r in got if r.file_id == f)
+        assert [n for n, _ in mine] == list(range(len(mine))) and [p for _, p in mine] == sorted(p for g, p in rows if g == f)
+    empty = spark.createDataFrame([], "file_id int, rec_pos bigint")
+    assert fastq.numbered(empty).count() == 0
 
 
 def test_split_reads_end_to_end(spark, tmp_path):
