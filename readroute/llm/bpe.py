@@ -36,6 +36,7 @@ WORDS = (
 
 #: Words up to this many bytes contract one pair a step; longer ones contract
 #: all places of their least pair at once, which takes fewer, costlier steps.
+#: Longer ones are first cut where no merge can reach across.
 SHORT = 64
 
 _PAIRED = """
@@ -92,26 +93,38 @@ class Merges:
         self.pairs = packed
         back = {c: b for b, c in enumerate(letters)}
         self.tokens = {i: bytes(back[c] for c in t) for t, i in vocab.items() if all(c in back for c in t)}
+        #: Whether two bytes stand side by side in any token. Where they do not,
+        #: no merge ever reaches from one to the other.
+        self.joins = np.zeros((256, 256), bool)
+        for t in self.tokens.values():
+            self.joins[list(t[:-1]), list(t[1:])] = True
+
+    def pieces(self, raw: bytes) -> list[bytes]:
+        """A word in parts that are encoded by themselves."""
+        codes = np.frombuffer(raw, np.uint8)
+        cuts = [0, *(np.flatnonzero(~self.joins[codes[:-1], codes[1:]]) + 1).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def _database():
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
-    return con
+    # All in memory: a worker's own folder is no place for spilled data.
+    return duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
 
 
 class Encoder:
-    """Encodes words, remembering up to ``most`` of them."""
+    """Encodes words, remembering up to ``most`` of them; a query takes about
+    ``letters`` bytes of words at a time."""
 
-    def __init__(self, merges: Merges, most: int = 200_000, step: int = 20_000):
-        self.merges, self.most, self.step = merges, most, step
+    def __init__(self, merges: Merges, most: int = 200_000, letters: int = 200_000):
+        self.merges, self.most, self.letters = merges, most, letters
         self.known: dict[str, np.ndarray] = {}
         self.con = _database()
         self.con.register("given", pa.table({"k": merges.pairs, "m": merges.made}))
         self.con.execute("CREATE TABLE merges AS SELECT k, m FROM given")
 
-    def _run(self, words: list[str], raw: list[bytes], sql: str) -> None:
+    def _run(self, raw: list[bytes], sql: str) -> Iterator[tuple[bytes, np.ndarray]]:
         lengths = np.array([len(r) for r in raw])
         flat = self.merges.bytes[np.frombuffer(b"".join(raw), np.uint8)]
         at = np.repeat(np.arange(len(raw), dtype=np.int32), lengths)
@@ -123,18 +136,28 @@ class Encoder:
             ids = batch.column(1)
             values, offsets = ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy()
             for w, a, b in zip(batch.column(0).to_pylist(), offsets[:-1], offsets[1:]):
-                self.known[words[w]] = values[a:b].copy()
+                yield raw[w], values[a:b].copy()
 
     def learn(self, words: list[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known, new = {}, words
-        raw = [w.encode("utf-8") for w in new]
+        raw = {w: w.encode("utf-8") for w in new}
+        parts = {w: self.merges.pieces(r) if len(r) > SHORT else [r] for w, r in raw.items() if r}
+        distinct = list({p for ps in parts.values() for p in ps})
+        made: dict[bytes, np.ndarray] = {}
         for long, sql in ((False, LEFTMOST), (True, EVERYWHERE)):
-            pick = [i for i, r in enumerate(raw) if (len(r) > SHORT) == long and r]
-            for a in range(0, len(pick), self.step):
-                part = pick[a : a + self.step]
-                self._run([new[i] for i in part], [raw[i] for i in part], sql)
+            pick = [p for p in distinct if (len(p) > SHORT) == long]
+            ends = np.cumsum([len(p) for p in pick])
+            a = 0
+            while a < len(pick):
+                # As many as hold ``letters`` bytes, or one that is longer.
+                top = (ends[a - 1] if a else 0) + self.letters
+                b = max(a + 1, int(np.searchsorted(ends, top, "right")))
+                made.update(self._run(pick[a:b], sql))
+                a = b
+        for w, ps in parts.items():
+            self.known[w] = made[ps[0]] if len(ps) == 1 else np.concatenate([made[p] for p in ps])
 
     def encode(self, pieces: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets of the texts in them)."""

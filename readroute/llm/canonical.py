@@ -14,6 +14,7 @@ weighted Damerau-Levenshtein distance and the entries' frequency decide.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,26 +154,56 @@ class DeleteTable:
         none = np.zeros(0, np.int64)
         return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
-    def closest(self, words: list[str], frequency: np.ndarray | None = None) -> pd.DataFrame:
-        """For each word: entry, distance, ties (entries as close), suggestion."""
+    def closest(self, words: list[str], owners: list[list[str]], often: dict[str, int]) -> list[tuple]:
+        """For each word: (entry, distance, ties, suggestion).
+
+        ``owners`` are the entries as they stand of each of the table's, which
+        may share their letters; all of them tie. ``often`` says how often each
+        occurs.
+        """
         left, right = self.candidates(words)
         d = levenshtein([words[i] for i in left], [self.entries[j] for j in right])
         near = pd.DataFrame({"w": left, "e": right, "d": d})
         near = near[near.d <= self.k]
         best = near[near.d == near.groupby("w").d.transform("min")]
-        out = pd.DataFrame({"distance": best.groupby("w").d.first(), "ties": best.groupby("w").size(), "e": best.groupby("w").e.first()}).reindex(range(len(words)))
-        out["entry"] = [self.entries[int(e)] if t == 1 else None for e, t in zip(out.e.fillna(0), out.ties)]
-        out["suggestion"] = out.entry
-        for w, rows in best[best.w.map(out.ties) > 1].groupby("w"):
-            rank = lambda e: (weighted_damerau(words[w], self.entries[e]), -(frequency[e] if frequency is not None else 0), self.entries[e])
-            out.at[w, "suggestion"] = self.entries[min(rows.e, key=rank)]
-        return out[["entry", "distance", "ties", "suggestion"]]
+        out: list[tuple] = [(None, None, 0, None)] * len(words)
+        for w, d, e in zip(best.w, best.d, best.e):
+            have = out[w]
+            held = owners[e] if have[3] is None else [*have[3], *owners[e]]
+            out[w] = (None, int(d), len(held), held)
+        for w, (_, d, ties, held) in enumerate(out):
+            if ties == 1:
+                out[w] = (held[0], d, 1, held[0])
+            elif ties:
+                rank = lambda r: (weighted_damerau(words[w], _letters(r)), -often.get(r, 0), r)
+                out[w] = (None, d, ties, min(held, key=rank))
+        return out
+
+
+def _letters(value: str) -> str:
+    return "".join(c for c in value if c.isascii() and c.isalpha()).upper()
 
 
 def deletes_per_entry(n: int, k: int) -> int:
     return 1 + (n if k >= 1 else 0) + (n * (n - 1) // 2 if k >= 2 else 0)
 
 
+#: One table a Python worker: tasks that follow in it find it made.
+_TABLES: dict[tuple, tuple] = {}
+
+
+def _table(key: tuple, shared) -> tuple[DeleteTable, list[list[str]], dict]:
+    if key not in _TABLES:
+        while len(_TABLES) > 1:
+            _TABLES.pop(next(iter(_TABLES)))
+        raw = shared.value
+        by_letters: dict[str, list[str]] = {}
+        for c, r in zip(letters_only(pa.array(raw, pa.string())).to_pylist(), raw):
+            by_letters.setdefault(c, []).append(r)
+        _TABLES[key] = (DeleteTable(list(by_letters), key[1]), list(by_letters.values()), {})
+    return _TABLES[key]
+
+
 RESULT = "entry string, distance int, ties int, suggestion string"
 
 
@@ -210,29 +241,18 @@ def to_canonical(df: DataFrame, value: str, reference: DataFrame, entry: str, k:
     where = odd.schema.names.index("__value")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in odd.schema)
 
+    key = (str(uuid.uuid4()), k)
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = shared.value
-        cleaned = letters_only(pa.array(raw, pa.string())).to_pylist()
-        by_letters: dict[str, list[str]] = {}
-        for c, r in zip(cleaned, raw):
-            by_letters.setdefault(c, []).append(r)
-        table = DeleteTable(list(by_letters), k)
-        frequency = np.array([sum(counts.value.get(r, 0) for r in by_letters[e]) for e in table.entries])
-        seen: dict[str, tuple] = {}
+        table, owners, seen = _table(key, shared)
         for batch in batches:
             words = letters_only(batch.column(where)).dictionary_encode()
             new = [w for w in words.dictionary.to_pylist() if w not in seen]
             if len(seen) > 500_000:
-                seen, new = {}, words.dictionary.to_pylist()
+                seen.clear()
+                new = words.dictionary.to_pylist()
             if new:
-                near = table.closest(new, frequency)
-                for w, e, d, t, s in zip(new, *[near[c] for c in ("entry", "distance", "ties", "suggestion")]):
-                    if t == t and t:
-                        owners = by_letters[e] if e is not None else []
-                        unique = owners[0] if t == 1 and len(owners) == 1 else None
-                        seen[w] = (unique, int(d), int(max(t, len(owners))), unique or by_letters[s][0])
-                    else:
-                        seen[w] = (None, None, 0, None)
+                seen.update(zip(new, table.closest(new, owners, counts.value)))
             found = [seen[w] for w in words.dictionary.to_pylist()]
             at = words.indices
             out = [pa.array([f[i] for f in found], t).take(at) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))]
@@ -271,11 +291,14 @@ def _by_join(rows: DataFrame, entries: DataFrame, k: int, keep: tuple[str, ...])
     pairs = words.withColumn("c", cuts("w")).join(refs.withColumn("c", cuts("e")), "c").select("w", "e", "entry").distinct()
     near = pairs.withColumn("d", F.levenshtein("w", "e")).filter(F.col("d") <= k)
     # A word has few entries this near, so its window is small.
-    best = near.withColumn("m", F.min("d").over(Window.partitionBy("w"))).filter("d = m")
+    mine = Window.partitionBy("w")
+    best = near.withColumn("m", F.min("d").over(mine)).filter("d = m").withColumn("ties", F.count(F.lit(1)).over(mine).cast("int"))
+    one = best.filter("ties = 1").select("w", F.col("d").cast("int").alias("distance"), "ties", F.col("entry").alias("suggestion"), "entry")
+    # Only where several tie are they weighed.
     often = rows.groupBy(F.col("__value").alias("o")).agg(F.count(F.lit(1)).alias("often"))
-    best = best.join(often, F.col("entry") == F.col("o"), "left").withColumn("weight", _weights("w", "e"))
+    tied = best.filter("ties > 1").join(often, F.col("entry") == F.col("o"), "left").withColumn("weight", _weights("w", "e"))
     likeliest = F.min(F.struct("weight", -F.coalesce("often", F.lit(0)), "entry"))
-    closest = best.groupBy("w").agg(F.first("d").cast("int").alias("distance"), F.count(F.lit(1)).cast("int").alias("ties"), likeliest["entry"].alias("suggestion"))
-    closest = closest.withColumn("entry", F.when(F.col("ties") == 1, F.col("suggestion")))
+    tied = tied.groupBy("w").agg(F.first("d").cast("int").alias("distance"), F.first("ties").alias("ties"), likeliest["entry"].alias("suggestion"))
+    closest = one.unionByName(tied.withColumn("entry", F.lit(None).cast("string")))
     by_value = values.join(closest, "w", "left").select(F.col("__value").alias("__v"), "entry", "distance", F.coalesce("ties", F.lit(0)).alias("ties"), "suggestion")
     return odd.join(by_value, F.col("__value") == F.col("__v")).select(*[col(c) for c in keep], "__value", "entry", "distance", "ties", "suggestion")

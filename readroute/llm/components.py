@@ -49,7 +49,8 @@ def connected_components(pairs: DataFrame, left: str, right: str, hot_share: int
     ``component`` is the smallest id of the group. Pairs with a null end and
     records paired with themselves link nothing; repeats and orientation do not
     matter; without links the result is empty. Ids may be of any ordered type;
-    other columns of ``pairs`` are ignored.
+    other columns of ``pairs`` are ignored. Every round halves the unfinished
+    labels at least, so ``max_rounds`` suffices for groups of 2^64 records.
     """
     with Scratch(pairs.sparkSession) as scratch:
         labels = _labels(pairs, col(left), col(right), scratch, (hot_share, hot_floor), max_rounds)

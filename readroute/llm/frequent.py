@@ -22,8 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from readroute.session import col
+from readroute.session import col, cut
 
 SUMMARY = "grp string, item string, n long, delta long, rows long, hidden long"
 
@@ -85,7 +86,8 @@ def summarize(df: DataFrame, item: str, groups: Sequence[str] = (), error: float
                 kinds = [pa.string(), pa.string()] + [pa.int64()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=["grp", "item", "n", "delta", "rows", "hidden"])
 
-    return cells.mapInArrow(count, SUMMARY)
+    # Written once: the passes that follow must not count anew.
+    return cut(cells.mapInArrow(count, SUMMARY))
 
 
 def intervals(summaries: DataFrame) -> DataFrame:
@@ -102,7 +104,8 @@ def intervals(summaries: DataFrame) -> DataFrame:
 def frequent_items(df: DataFrame, item: str, groups: Sequence[str] = (), support: float = 0.005, error: float | None = None) -> DataFrame:
     """Items that may hold ``support`` of their group's non-null rows or more.
 
-    Returns ``groups..., item, low, high, total``. No item at or above the
+    Returns ``groups..., item, low, high, total``; groups keep their types, null
+    ones are groups like others, items are strings. No item at or above the
     support is missing; items whose interval straddles it are included. With
     ``error`` (a twentieth of the support by default) as the bound of the
     undercount, fewer than ``1 / (support - error)`` items a group can result.
@@ -112,8 +115,9 @@ def frequent_items(df: DataFrame, item: str, groups: Sequence[str] = (), support
     if not 0 < error < support <= 1:
         raise ValueError("0 < error < support <= 1 must hold")
     kept = intervals(summarize(df, item, groups, error)).filter(F.col("high") >= F.col("total") * F.lit(Decimal(str(support))))
-    out = [F.get_json_object("grp", f"$.{g}").alias(g) for g in groups]
-    return kept.select(*out, F.col("item").alias(item), "low", "high", "total")
+    shape = T.StructType([T.StructField(g, df.schema[g].dataType) for g in groups])
+    names = F.from_json("grp", shape)
+    return kept.select(*[names[g].alias(g) for g in groups], F.col("item").alias(item), "low", "high", "total")
 
 
 def exactly(df: DataFrame, candidates: DataFrame, item: str, groups: Sequence[str], support: float) -> DataFrame:
@@ -123,5 +127,10 @@ def exactly(df: DataFrame, candidates: DataFrame, item: str, groups: Sequence[st
     second pass is a broadcast join and a count; no row is shuffled by item.
     """
     keys = [*groups, item]
-    exact = df.join(F.broadcast(candidates.select(*keys, "total")), keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
-    return exact.filter(F.col("n") >= F.col("total") * F.lit(Decimal(str(support))))
+    few = candidates.select(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("total").alias("__total"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & col(k).cast(few.schema[f"__k{i}"].dataType).eqNullSafe(F.col(f"__k{i}"))
+    exact = df.join(F.broadcast(few), same).groupBy(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__n"), F.first("__total").alias("__total"))
+    exact = exact.filter(F.col("__n") >= F.col("__total") * F.lit(Decimal(str(support))))
+    return exact.select(*[col(k) for k in keys], F.col("__n").alias("n"), F.col("__total").alias("total"))

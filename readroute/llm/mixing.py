@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from readroute.session import col, cut
 
 BITS, LEVEL_BITS = 60, 12
+#: Mixes times sources at most: each has a histogram on the driver.
+MOST_TARGETS = 10_000
 
 PLAN = "mix string, source string, target_share double, max_repeats int, source_tokens long, wanted_tokens double, whole_repeats int, threshold long"
 
@@ -43,8 +45,11 @@ def plan(rows: DataFrame, targets: DataFrame) -> DataFrame:
         targets.filter("mix is not null and source is not null")
         .groupBy("mix", "source")
         .agg(F.sum(F.when(F.col("target_share") > 0, F.col("target_share")).otherwise(0.0)).alias("share"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))).alias("cap"))
+        .limit(MOST_TARGETS + 1)
         .collect()
     )
+    if len(wanted) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets; plan the mixes in parts")
     names = spark.createDataFrame([(s,) for s in {w.source for w in wanted}], "source string")
     mine = rows.join(F.broadcast(names), "source")
     tokens = {r.source: r.n for r in mine.groupBy("source").agg(F.sum("size").alias("n")).collect()}
@@ -77,16 +82,16 @@ def _refine(spark, mine: DataFrame, open_: dict, level: int, out: dict) -> dict:
     inside = mine.join(F.broadcast(prefixes), ["source"]).filter(F.shiftrightunsigned("key", shift + LEVEL_BITS) == F.col("prefix"))
     # At most 4096 rows a target: its histogram, not its documents.
     histogram: dict = {}
-    for r in inside.groupBy("source", "prefix", bucket.alias("bucket")).agg(F.sum("size").alias("n"), F.countDistinct("key").alias("keys")).collect():
-        histogram.setdefault((r.source, r.prefix), []).append((r.bucket, r.n, r["keys"]))
+    for r in inside.groupBy("source", "prefix", bucket.alias("bucket")).agg(F.sum("size").alias("n"), (F.min("key") < F.max("key")).alias("many")).collect():
+        histogram.setdefault((r.source, r.prefix), []).append((r.bucket, r.n, r.many))
     left = {}
     for (mix, source), (prefix, budget) in open_.items():
         threshold = prefix << (shift + LEVEL_BITS)
-        for b, n, keys in sorted(histogram.get((source, prefix), [])):
+        for b, n, many in sorted(histogram.get((source, prefix), [])):
             if n <= budget:
                 budget -= n
                 threshold = (b + 1) << shift
-            elif keys > 1:
+            elif many:
                 left[mix, source] = (b, budget)
                 break
             else:

@@ -77,6 +77,15 @@ def test_frequent_items(spark):
         frequent.frequent_items(df, "item", support=0.1, error=0.2)
 
 
+def test_groups_of_any_name_type_and_null(spark):
+    rows = [(None, 1, "a")] * 50 + [("x", 2, "b")] * 30 + [("x", 2, f"r{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "`a.b` string, n int, item string")
+    few = frequent.frequent_items(df, "item", ["a.b", "n"], 0.2)
+    assert dict(few.dtypes)["n"] == "int"
+    assert {tuple(r)[:3] for r in few.collect()} == {(None, 1, "a"), ("x", 2, "b")}
+    assert {tuple(r) for r in frequent.exactly(df, few, "item", ["a.b", "n"], 0.2).collect()} == {(None, 1, "a", 50, 50), ("x", 2, "b", 30, 50)}
+
+
 # --- free values to a reference list
 
 
@@ -128,6 +137,14 @@ def test_suggestions_follow_weight_then_frequency(spark, bound):
     assert got["GGCATT"] == ("GGCAAT", 1, "GGCAAT") and got["GGCCAT"] == ("GGCAAT", 1, "GGCAAT")
 
 
+@pytest.mark.parametrize("bound", [1 << 28, 0])
+def test_entries_that_share_their_letters_all_tie(spark, bound):
+    ref = spark.createDataFrame([("ACGTACGT",), ("acgtacgt",), ("ACGTACGG",), ("tt-tt",), ("TTTT",), ("GGGGG",)], "v string")
+    df = spark.createDataFrame([("ACGTACGA",), ("TTTTA",), ("GGGGA",), ("",), (None,)], "v string")
+    got = {r.v: (r.entry, r.distance, r.ties, r.suggestion) for r in canonical.to_canonical(df, "v", ref, "v", max_broadcast_bytes=bound).collect()}
+    assert got == {"ACGTACGA": (None, 1, 3, "ACGTACGG"), "TTTTA": (None, 1, 2, "TTTT"), "GGGGA": ("GGGGG", 1, 1, "GGGGG"), "": (None, None, 0, None)}
+
+
 def test_canonical_with_an_empty_list(spark):
     df = spark.createDataFrame([("a",), (None,)], "v string")
     got = canonical.to_canonical(df, "v", df.filter("v is null"), "v").collect()

@@ -58,10 +58,24 @@ def test_slices_hold_all_rows():
 
 def test_both_queries_agree():
     encoder = bpe.Encoder(bpe.Merges(bpe.VOCABULARY))
-    words = [" hello", "aaaaaaa", "banana", "=====", "mississippi", "zzzzzzzzzzzz"]
-    for sql in (bpe.LEFTMOST, bpe.EVERYWHERE):
-        encoder._run(words, [w.encode() for w in words], sql)
-        got = [encoder.known[w].tolist() for w in words]
-        assert encoder.known.clear() is None
-        first = locals().get("first", got)
-        assert got == first
+    raw = [w.encode() for w in (" hello", "aaaaaaa", "banana", "=====", "mississippi", "zzzzzzzzzzzz")]
+    first, second = ({w: ids.tolist() for w, ids in encoder._run(raw, sql)} for sql in (bpe.LEFTMOST, bpe.EVERYWHERE))
+    assert first == second and len(first) == len(raw)
+
+
+def test_many_long_words_stay_in_memory(reference, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(3000)) for _ in range(60)] + ["ab" * 20_000]
+    encoder = bpe.Encoder(bpe.Merges(bpe.VOCABULARY))
+    encoder.learn(words)
+    assert all(encoder.known[w].tolist() == reference(w) for w in words)
+    assert not list(tmp_path.iterdir())
+
+
+def test_pieces_are_encoded_by_themselves(reference):
+    merges = bpe.Merges(bpe.VOCABULARY)
+    word = "qzXj9vQkZw" * 30
+    pieces = merges.pieces(word.encode())
+    assert len(pieces) > 20 and b"".join(pieces) == word.encode()
+    assert [i for p in pieces for i in reference(p.decode())] == reference(word)
