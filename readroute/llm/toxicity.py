@@ -101,7 +101,7 @@ class Restorer:
                 return [c for c in word if c.isalnum()]
             return ["".join(c for c in word if c.isalnum() or not c.isascii())]
         word = word.strip(_EDGES)
-        bare = word.strip("!*@$" + _EDGES)
+        bare = word.strip("!*" + _EDGES)
         if not bare or bare in self.model.words:
             return [bare] if bare else []
         short = _SHORTENED.fullmatch(word)
@@ -111,7 +111,7 @@ class Restorer:
                 return [_NOT.get(a[:-1], a[:-1]), "not"]
             return [w for w in (a, _LONG.get(b, b)) if w]
         parts = tuple(p for p in _SEPARATORS.split(word) if p)
-        if len(parts) > 1 and all(p in self.model.words and len(p) > 1 for p in parts):
+        if len(parts) > 1 and all(p in self.model.words for p in parts) and 3 * sum(len(p) == 1 for p in parts) <= len(parts):
             return list(parts)
         if not _TWO.search(word):
             return ["<num>"]
@@ -119,9 +119,9 @@ class Restorer:
 
     def _choose(self, odd: tuple[str, tuple[str, ...]], read: dict) -> list[str]:
         whole, parts = odd
-        found = read.get(whole) or (whole.endswith("!") and read.get(whole.rstrip("!")))
-        single = len(parts) == 1 or any(len(p) == 1 for p in parts)
-        if found and (single or found[0] in self.model.words and sum(len(p) < 3 for p in parts) > 1):
+        found = read.get(whole)
+        # Whole, where signs stand within one word rather than between words.
+        if found and (2 * sum(len(p) == 1 for p in parts) >= len(parts) or found[0] in self.model.words and not all(p in self.model.words for p in parts)):
             return self._run_on(found[0])
         if len(parts) == 1 and parts[0].isalpha():
             return self._run_on(parts[0])
@@ -303,13 +303,19 @@ def tokens_of(text: F.Column) -> F.Column:
 
 def fit(df: DataFrame, text: str, sample: int = SAMPLE, paths: Sequence[str] = VOCABULARIES) -> tuple[CharModel, scorer.Weights]:
     """The models: letters from the vocabularies, weights from the passages and
-    from at most ``sample`` texts of ``df`` as plain ones, those whose hashes
-    are the lowest. A sampled text gives at most 4,000 of its words, from a
-    place its hash chooses; scoring reads all texts whole."""
-    rows = df.select(col(text).alias("text")).filter("text is not null").select("text", F.xxhash64("text").alias("h"))
-    held = rows.orderBy("h").limit(sample).select("h", tokens_of(F.col("text")).alias("tokens"))
+    from a sample of the texts of ``df`` as plain ones.
+
+    About ``sample`` texts and at most twice as many are taken, those whose
+    hash lies below the share they are of all; repeats count once. A sampled
+    text gives at most 4,000 of its tokens, from a place its hash chooses;
+    scoring reads all texts whole. Nothing but the sample is shuffled.
+    """
+    rows = df.select(col(text).alias("text"), F.xxhash64(col(text)).alias("h")).filter("text is not null")
+    below = min(sample / max(df.count(), 1), 1.0) * 2.0**64 - 2.0**63
+    held = rows.filter(F.col("h") <= F.lit(int(min(below, 2**63 - 1)))).groupBy("h").agg(F.first("text").alias("text")).limit(2 * sample)
+    held = held.select("h", tokens_of(F.col("text")).alias("tokens"))
     begin = F.pmod(F.col("h"), F.greatest(F.size("tokens") - 4000, F.lit(1))).cast("int") + 1
-    chosen = held.select(F.slice("tokens", begin, 4000).alias("tokens")).collect()
+    chosen = sorted(held.select("h", F.slice("tokens", begin, 4000).alias("tokens")).collect(), key=lambda r: r.h)
     model = char_model(paths)
     restorer = Restorer(model)
     restorer.learn(sorted({t for r in chosen for t in r.tokens}))
