@@ -8,11 +8,7 @@ corrected when exactly one list entry is a neighbour.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readroute.session import col, cut, fresh
@@ -145,101 +141,70 @@ def correct(df: DataFrame, barcode: str, whitelist: DataFrame, entry: str = "bar
     return attach(df, table.withColumnRenamed("barcode", barcode), (barcode,), value).withColumnRenamed(value, out)
 
 
-class _Nearest:
-    """The two nearest list entries by weighted mismatches, found in blocks."""
-
-    def __init__(self, entries: list[str], chunk: int = 1 << 16, block: int = 64):
-        self.block = block
-        by_length: dict[int, list[str]] = {}
-        for e in entries:
-            by_length.setdefault(len(e), []).append(e)
-        self.tables: dict[int, list] = {}
-        for n, es in by_length.items():
-            parts = [es[a : a + chunk] for a in range(0, len(es), chunk)]
-            self.tables[n] = [(p, np.array([[ord(c) for c in e] for e in p], np.int32).reshape(len(p), n)) for p in parts]
-
-    def __call__(self, words: list[str], quals: list[str]) -> list[tuple]:
-        """(entry, its weight, its mismatches, the second one's weight)."""
-        out: list[tuple] = [(None, None, None, None)] * len(words)
-        for n in self.tables:
-            mine = [i for i, w in enumerate(words) if len(w) == n == len(quals[i]) and n]
-            for a in range(0, len(mine), self.block):
-                ids = mine[a : a + self.block]
-                for i, row in zip(ids, self._block(n, [words[i] for i in ids], [quals[i] for i in ids])):
-                    out[i] = row
-        return out
-
-    def _block(self, n: int, words: list[str], quals: list[str]) -> list[tuple]:
-        codes = np.array([[ord(c) for c in w] for w in words], np.int32)
-        weights = np.maximum((np.array([[ord(c) - 33 for c in q] for q in quals]) - 15) / 15, 0) + 1
-        rows = np.arange(len(words))
-        best: list[list] = [[] for _ in words]
-        for entries, table in self.tables[n]:
-            weighed, plain = np.zeros((len(words), len(table))), np.zeros((len(words), len(table)), np.int32)
-            for k in range(n):
-                differs = codes[:, k : k + 1] != table[None, :, k]
-                weighed += differs * weights[:, k : k + 1]
-                plain += differs
-            for _ in range(min(2, len(entries))):
-                first = weighed.argmin(axis=1)
-                for r, f in zip(rows, first):
-                    best[r].append((float(weighed[r, f]), entries[f], int(plain[r, f])))
-                weighed[rows, first] = np.inf
-        ranked = [sorted(b, key=lambda x: x[0]) for b in best]
-        return [(b[0][1], b[0][0], b[0][2], b[1][0] if len(b) > 1 else None) for b in ranked]
-
-
-def correct_weighted(df: DataFrame, barcode: str, quality: str, whitelist: DataFrame, entry: str = "barcode", max_dist: int = 2, min_weight_dist: float = 0.5, out: str = "corrected", max_broadcast: int = 2_000_000) -> DataFrame:
+def _piece(text: Column, i: Column, parts: int) -> Column:
+    """The i-th (from 0) of ``parts`` pieces of a text, of about one size."""
+    n = F.length(text)
+    begin, end = F.floor(i * n / parts).cast("int"), F.floor((i + 1) * n / parts).cast("int")
+    return F.substring(text, begin + 1, end - begin)
+
+
+def _within(pairs: DataFrame, entries: DataFrame, radius: int, b: str, q: str) -> DataFrame:
+    """(b, q, entry, times, weight, mismatches) of all entries of a barcode's
+    length with at most ``radius`` mismatches. Of radius + 1 pieces one at least
+    must be the same, so only those that share one meet."""
+    numbers = F.sequence(F.lit(0), F.lit(radius))
+    cut_up = lambda text: F.transform(numbers, lambda i: F.struct(F.length(text).alias("n"), i.alias("i"), _piece(text, i, radius + 1).alias("s")))
+    mine = pairs.select(b, q, F.explode(cut_up(F.col(b))).alias("piece"))
+    listed = entries.select("entry", "times", F.explode(cut_up(F.col("entry"))).alias("piece"))
+    met = mine.join(listed, "piece").select(b, q, "entry", "times").distinct()
+    at = F.sequence(F.lit(1), F.length(b))
+    letter = lambda c, i: F.substring(F.col(c), i, F.lit(1))
+    differs = lambda i: letter(b, i) != letter("entry", i)
+    cost = lambda i: F.greatest((F.ascii(letter(q, i)) - 48) / F.lit(15.0), F.lit(0.0)) + 1
+    found = met.withColumn("mismatches", F.size(F.filter(at, differs))).filter(F.col("mismatches") <= radius)
+    return found.withColumn("weight", F.aggregate(at, F.lit(0.0), lambda total, i: total + F.when(differs(i), cost(i)).otherwise(0.0)))
+
+
+def correct_weighted(df: DataFrame, barcode: str, quality: str, whitelist: DataFrame, entry: str = "barcode", max_dist: int = 2, min_weight_dist: float = 0.5, out: str = "corrected") -> DataFrame:
     """``df`` with the list's entry nearest by quality-weighted mismatches.
 
     A mismatch at a base of score Q weighs ``1 + max((Q - 15) / 15, 0)``. The
     nearest entry of the barcode's length is taken if it has at most
     ``max_dist`` mismatches and the second nearest is farther by more than
-    ``min_weight_dist``. Entries of the list stay; null barcodes, those whose
-    quality is null or of another length, and those no entry fits give null.
-
-    The distinct (barcode, quality) pairs are compared with the list in blocks,
-    as arrays. A list of more than ``max_broadcast`` entries is broadcast in
-    parts of that size, whose nearest entries are then ranked together.
+    ``min_weight_dist`` (a repeated entry is its own second). Entries of the
+    list stay; null barcodes, those whose quality is null or of another length,
+    and those no entry fits give null.
+
+    The distinct (barcode, quality) pairs meet the entries that share a piece
+    with them. As a mismatch weighs 1 at least, a rival within the distance of
+    the nearest weighs, and so differs, by no more than that; only pairs whose
+    nearest is far enough for such a rival to differ by more than ``max_dist``
+    are looked up again, in wider and wider classes.
     """
     if out.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"the input has a column {out!r} already; pass another name")
     b, q, fixed = fresh("bc_b", df), fresh("bc_q", df), fresh("bc_fixed", df)
-    entries = whitelist.filter(col(entry).isNotNull()).select(col(entry).alias("entry"))
-    parts = -(-entries.count() // max_broadcast)
-    pairs = df.filter(col(barcode).isNotNull()).select(col(barcode).alias(b), F.coalesce(col(quality), F.lit("")).alias(q)).distinct()
-    known = entries.distinct()
-    odd = pairs.join(known, F.col(b) == F.col("entry"), "left_anti")
-    table = pairs.join(known, F.col(b) == F.col("entry"), "left_semi").withColumn(fixed, F.col(b))
-    near = None
-    for part in range(parts):
-        # By position, so that repeats of an entry are dealt out evenly too.
-        mine = entries if parts == 1 else entries.filter(F.pmod(F.monotonically_increasing_id(), F.lit(parts)) == part)
-        found = _nearest_of(odd, [r[0] for r in mine.toLocalIterator()], b, q)
-        near = found if near is None else near.unionByName(found)
-    if near is not None:
-        one = F.struct("weight", "entry", "mismatches")
-        ranked = near.groupBy(b, q).agg(F.min(one).alias("one"), F.sort_array(F.collect_list("weight")).alias("firsts"), F.min("second").alias("second"))
-        # The runner-up is another part's first, or a second of any part.
-        second = F.least(F.try_element_at(F.col("firsts"), F.lit(2)) if parts > 1 else F.lit(None).cast("double"), F.col("second"))
-        clear = (F.col("one.mismatches") <= max_dist) & F.coalesce(F.col("one.weight") < second - min_weight_dist, second.isNull())
-        table = table.unionByName(ranked.filter(clear).select(b, q, F.col("one.entry").alias(fixed)))
-    joined = df.join(table, (col(barcode) == F.col(b)) & (F.coalesce(col(quality), F.lit("")) == F.col(q)), "left")
-    return joined.withColumn(out, F.col(fixed)).drop(b, q, fixed)
-
-
-def _nearest_of(pairs: DataFrame, entries: list[str], b: str, q: str) -> DataFrame:
-    shared = pairs.sparkSession.sparkContext.broadcast(entries)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nearest = _Nearest(shared.value)
-        for batch in batches:
-            found = nearest(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            columns = list(zip(*found)) if found else [[]] * 4
-            made = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.int32(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[b, q, "entry", "weight", "mismatches", "second"])
-
-    return pairs.mapInArrow(run, f"{b} string, {q} string, entry string, weight double, mismatches int, second double").filter("entry is not null")
+    entries = whitelist.filter(col(entry).isNotNull()).groupBy(col(entry).alias("entry")).agg(F.count(F.lit(1)).alias("times"))
+    seen = df.filter(col(barcode).isNotNull()).groupBy(col(barcode).alias(b), F.coalesce(col(quality), F.lit("")).alias(q)).agg(F.count(F.lit(1)).alias("n_rows"))
+    known = entries.select(F.col("entry").alias(b))
+    table = seen.join(known, b, "left_semi").withColumn(fixed, F.col(b))
+    odd = seen.join(known, b, "left_anti").filter((F.length(b) == F.length(q)) & (F.length(b) > 0)).drop("n_rows")
+    near = cut(_within(odd, entries, max_dist, b, q))
+    first = near.groupBy(b, q).agg(F.floor(F.min("weight") + min_weight_dist).cast("int").alias("reach"))
+    rivals, low = near.join(first.filter(F.col("reach") <= max_dist), [b, q], "left_semi"), max_dist
+    # A base of the highest score there is weighs 6.2.
+    most = int(6.2 * max_dist + min_weight_dist) + 1
+    for high in [*(r for r in (4, 7) if max_dist < r < most), most]:
+        wider = first.filter((F.col("reach") > low) & (F.col("reach") <= high)).select(b, q)
+        rivals, low = rivals.unionByName(_within(wider, entries, high, b, q)), high
+    place = F.row_number().over(Window.partitionBy(b, q).orderBy("weight", "entry"))
+    two = rivals.withColumn("place", place).filter("place <= 2").groupBy(b, q)
+    of = lambda c, k: F.max(F.when(F.col("place") == k, F.col(c)))
+    two = two.agg(of("entry", 1).alias(fixed), of("times", 1).alias("times"), of("mismatches", 1).alias("mismatches"), of("weight", 1).alias("one"), of("weight", 2).alias("two"))
+    clear = (F.col("mismatches") <= max_dist) & (F.col("times") == 1) & (F.col("two").isNull() | (F.col("one") < F.col("two") - min_weight_dist))
+    table = table.unionByName(two.filter(clear).select(b, q, fixed).join(seen, [b, q]))
+    asked = df.withColumn(q, F.coalesce(col(quality), F.lit("")))
+    return attach(asked, table.withColumnRenamed(b, barcode), (barcode, q), fixed).withColumnRenamed(fixed, out).drop(q)
 
 
 def translations(source: DataFrame, target: DataFrame) -> DataFrame:

@@ -288,11 +288,16 @@ def output_map_check(spark, sf_dir):
     return split.differing_groups(load(spark, sf_dir, "barcode_lookup"), named)
 
 
-def sam_tags(spark, sf_dir):
+def sam_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SAM lines with comments, made from the tags (row_id, line)."""
     tags = load(spark, sf_dir, "gex_tags").select("row_id", "cb", "cr", "cy", "ub")
     comment = F.concat(F.lit("CB="), F.coalesce("cb", F.lit("")), F.lit(" CR="), F.coalesce("cr", F.lit("")), F.lit(" note UB="), F.coalesce("ub", F.lit("")))
     line = F.when(F.col("row_id") % 50 == 0, F.concat(F.lit("@CO\t"), comment)).when(F.col("row_id") % 7 == 0, F.lit("r\t4\tplain")).otherwise(F.concat(F.lit("r"), F.col("row_id").cast("string"), F.lit("\t4\t"), comment))
-    return tags.select("row_id", fn.sam_line(line, fn.SAM_COMMENTS, fn.SAM_TAGS).alias("line"))
+    return tags.select("row_id", line.alias("line"))
+
+
+def sam_tags(spark, sf_dir):
+    return sam_source(spark, sf_dir).select("row_id", fn.sam_line(F.col("line"), fn.SAM_COMMENTS, fn.SAM_TAGS).alias("line"))
 
 
 QUERIES = {

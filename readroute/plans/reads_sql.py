@@ -99,6 +99,14 @@ FROM gex_tags""",
     "barcode_delete": _with_variants("whitelist_gex", "SELECT barcode, variant FROM dropped"),
     "correction_table": _with_variants("whitelist_gex", 'SELECT barcode, count(*) AS n, min(variant) AS "first", max(variant) AS "last" FROM corrections GROUP BY barcode'),
     "correct_barcode": _with_variants("whitelist_gex", "SELECT row_id, cr, c.barcode AS corrected FROM gex_tags LEFT JOIN corrections c ON c.variant = cr"),
+    "correct_barcode_weighted": f"""
+WITH w AS (SELECT barcode FROM whitelist_gex),
+p AS (SELECT DISTINCT cr, cy FROM gex_tags WHERE length(cr) = 16 AND length(cy) = 16 AND cr NOT IN (SELECT barcode FROM w)),
+n AS (SELECT cr, cy, barcode, {" + ".join(f"(substr(cr, {i}, 1) <> substr(barcode, {i}, 1))::INTEGER" for i in range(1, 17))} AS d,
+      {" + ".join(f"CASE WHEN substr(cr, {i}, 1) <> substr(barcode, {i}, 1) THEN 1 + greatest((ascii(substr(cy, {i}, 1)) - 48) / 15.0::DOUBLE, 0) ELSE 0 END" for i in range(1, 17))} AS weight FROM p, w),
+r AS (SELECT *, row_number() OVER (PARTITION BY cr, cy ORDER BY weight) AS place, lead(weight) OVER (PARTITION BY cr, cy ORDER BY weight) AS second FROM n),
+c AS (SELECT cr, cy, barcode FROM r WHERE place = 1 AND d <= 2 AND weight < second - 0.5 UNION ALL SELECT DISTINCT cr, cy, cr FROM gex_tags WHERE cr IN (SELECT barcode FROM w))
+SELECT row_id, t.cr, c.barcode AS corrected FROM gex_tags t LEFT JOIN c ON c.cr = t.cr AND c.cy IS NOT DISTINCT FROM t.cy""",
     "translate_barcode": "WITH x AS (SELECT 1)" + _MOVED + "SELECT row_id, cr, coalesce(translated, cr) AS translated FROM atac_tags LEFT JOIN pairs ON barcode = cr",
     "atac_tags": "WITH " + _VARIANTS.format(list="whitelist_atac") + _MOVED + f"""
 SELECT row_id, '@' || {_tag('CB', 'cb')} || {_tag('CR', 'cr')} || {_tag('CY', 'cy')} AS tags, cb IS NOT NULL AS valid

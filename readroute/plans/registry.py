@@ -1,6 +1,6 @@
 """All queries outside the llm subpackage, and their SQL."""
 
-from readroute.plans import problems, reads, reads_sql
+from readroute.plans import files, problems, reads, reads_sql
 
-QUERIES = {**problems.QUERIES, **reads.QUERIES}
-ORACLES = {**problems.ORACLES, **reads_sql.ORACLES}
+QUERIES = {**problems.QUERIES, **reads.QUERIES, **files.QUERIES}
+ORACLES = {**problems.ORACLES, **reads_sql.ORACLES, **files.ORACLES}

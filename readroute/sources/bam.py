@@ -26,6 +26,9 @@ SCHEMA = (
     f" seq string, qual array<int>, tags array<{TAG}>, path string, rec_no bigint"
 )
 
+#: The fields of a record before its tags.
+RECORD = ("name", "flag", "ref_id", "pos", "mapq", "cigar", "next_ref", "next_pos", "tlen", "seq", "qual")
+
 # Fixed values of the format.
 _MAGIC = b"BAM\x01"
 _BASES = "=ACMGRSVTWYHKDBN"

@@ -21,9 +21,14 @@ from pyspark.sql import functions as F
 
 def located(path: str) -> tuple[pafs.FileSystem, str]:
     """The filesystem of a path, and the path in it."""
-    if "://" in path and not path.startswith("file://"):
+    if "://" in path and not path.startswith("file:"):
         return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), os.path.abspath(path.removeprefix("file://"))
+    return pafs.LocalFileSystem(), os.path.abspath(_plain(path))
+
+
+def _plain(path: str) -> str:
+    """A local path without its scheme."""
+    return path.removeprefix("file://").removeprefix("file:")
 
 
 def open_in(path: str) -> io.BufferedReader:
@@ -41,7 +46,7 @@ def expand(path: str, suffixes: tuple[str, ...] = (".fastq", ".fastq.gz")) -> li
     out: list[str] = []
     for one in path.split(","):
         fs, inside = located(one)
-        head = one[: len(one) - len(inside)] if one.endswith(inside) and "://" in one else ""
+        head = one[: len(one) - len(inside)] if one.endswith(inside) and not isinstance(fs, pafs.LocalFileSystem) else ""
         pattern = any(c in inside for c in "*?[")
         if pattern:
             base = inside[: min(inside.find(c) for c in "*?[" if c in inside)].rpartition("/")[0] or "/"
@@ -50,7 +55,7 @@ def expand(path: str, suffixes: tuple[str, ...] = (".fastq", ".fastq.gz")) -> li
         elif fs.get_file_info(inside).type == pafs.FileType.Directory:
             out += [head + f.path for f in fs.get_file_info(pafs.FileSelector(inside)) if f.is_file and f.path.endswith(suffixes)]
         else:
-            out.append(one.removeprefix("file://"))
+            out.append(_plain(one))
     return out
 
 
@@ -100,6 +105,7 @@ def write_files(df: DataFrame, paths: dict[str, str], group: str, order: Iterabl
         for r in part:
             fs, base = located(folder(r["__file"]))
             _, target = located(paths[names[r["__file"]]])
+            fs.create_dir(target.rpartition("/")[0] or "/", recursive=True)
             parts = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if not f.base_name.startswith("."))
             with fs.open_output_stream(target + ".joined-" + token) as whole:
                 whole.write(begin)

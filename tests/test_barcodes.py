@@ -62,19 +62,29 @@ def weighted(bc, qual, entries, max_dist, gap):
     return entries[scored[0][1]] if len(scored) == 1 or scored[0][0] < scored[1][0] - gap else None
 
 
-@pytest.mark.parametrize("bound", [2_000_000, 15])
-def test_weighted_nearest(spark, bound):
-    rng = random.Random(2)
+@pytest.mark.parametrize("seed", [2, 3])
+def test_weighted_nearest(spark, seed):
+    rng = random.Random(seed)
     word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
     entries = [word(8) for _ in range(40)] + [word(6)] * 2
-    rows = [(rng.choice([None, word(8), word(6), word(5), entries[0]]), rng.choice([None, "I" * 8, "#5I#5I#5", "555555"])) for _ in range(150)]
+    rows = [(rng.choice([None, word(8), word(6), word(5), entries[0]]), rng.choice([None, "I" * 8, "#5I#5I#5", "555555", "~~~~~~~~", "~#~#~#"])) for _ in range(250)]
     rows += [(e[:3] + "A" + e[4:], "#5I#5I#5") for e in entries]
     df = spark.createDataFrame(rows, "bc string, q string")
     wl = spark.createDataFrame([(e,) for e in entries], "barcode string")
-    for r in B.correct_weighted(df, "bc", "q", wl, max_broadcast=bound).collect():
+    for r in B.correct_weighted(df, "bc", "q", wl).collect():
         assert r.corrected == weighted(r.bc, r.q, entries, 2, 0.5), r
 
 
+def test_long_tables_are_attached_without_a_hot_key(spark):
+    keys = ["hot"] * 400 + [f"k{i}" for i in range(200)] + [None, "odd"]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "`a.b` string, n int")
+    rows = [(k, f"to {k}", keys.count(k)) for k in set(keys) if k and k != "odd"]
+    table = spark.createDataFrame(rows, "`a.b` string, v string, n_rows long")
+    for bound in (0, 1000):
+        got = B.attach(df, table, ("a.b",), "v", max_broadcast=bound, hot_share=4).collect()
+        assert sorted((r["a.b"] or "", r.n, r.v or "") for r in got) == sorted((k or "", i, f"to {k}" if k and k != "odd" else "") for i, k in enumerate(keys))
+
+
 def test_translation(spark):
     atac = spark.createDataFrame([(0, "A"), (1, "B"), (2, "A"), (3, "C"), (9, "D")], "idx bigint, barcode string")
     gex = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z"), (3, None)], "idx bigint, barcode string")
