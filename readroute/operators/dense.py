@@ -65,22 +65,25 @@ class _Dense:
             names.append([part[i] for i in met % len(part)])
             met = met // len(part)
         lookup = np.fromiter((self.codes.setdefault(k, len(self.codes)) for k in zip(*reversed(names))), np.int64, len(names[0]))
-        codes = lookup[inverse]
         self._grow()
-        size = len(self.rows)
-        self.rows += np.bincount(codes, minlength=size)
+        # Reduced over the batch's own keys first, then added where those stand.
+        size = len(met)
+        self.rows[lookup] += np.bincount(inverse, minlength=size)
         for i, v in enumerate(values):
             there = pc.is_valid(v)
             if not self.whole[i]:
                 v = pc.cast(v, pa.float64())
                 there = pc.fill_null(pc.invert(pc.is_nan(v)), False)
-            mask = there.to_numpy(zero_copy_only=False)
-            at = codes[mask]
+            at = inverse[there.to_numpy(zero_copy_only=False)]
             x = pc.cast(v.filter(there), pa.int64() if self.whole[i] else pa.float64()).to_numpy(zero_copy_only=False)
-            self.seen[i] += np.bincount(at, minlength=size)
-            np.add.at(self.sums[i], at, x)
-            np.minimum.at(self.lows[i], at, x)
-            np.maximum.at(self.highs[i], at, x)
+            total, (low, high) = np.zeros(size, x.dtype), (np.full(size, b, x.dtype) for b in self._bounds(self.whole[i]))
+            np.add.at(total, at, x)
+            np.minimum.at(low, at, x)
+            np.maximum.at(high, at, x)
+            self.seen[i][lookup] += np.bincount(at, minlength=size)
+            self.sums[i][lookup] += total
+            self.lows[i][lookup] = np.minimum(self.lows[i][lookup], low)
+            self.highs[i][lookup] = np.maximum(self.highs[i][lookup], high)
 
     def blocks(self, schema: pa.Schema, block: int) -> Iterator[pa.RecordBatch]:
         keys = list(self.codes)
