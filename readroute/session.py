@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,14 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, **what: F.Column) -> tuple[DataFrame, dict]:
+        """The table, and aggregates over its rows taken while it is written;
+        all are 0 where there are none."""
+        watch = Observation()
+        table = self.write(df.observe(watch, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in what.items()]))
+        got = watch.get
+        return table, {k: got.get(k) or 0 for k in ("n", *what)}
+
     def __enter__(self) -> "Scratch":
         return self
 
