@@ -1,4 +1,10 @@
-"""Lines the scorer never learns from: none is a passage of phrases.py."""
+"""Lines the scorer does not learn from.
+
+``ABUSIVE`` and ``PLAIN`` were known while phrases.py was written, and its frames
+were widened once after their misses were seen, so figures on them flatter.
+``FRESH_ABUSIVE`` and ``FRESH_PLAIN`` were written when the frames and all
+settings were final; nothing was changed after they were scored.
+"""
 
 ABUSIVE = r"""
 You really are the dumbest piece of shit I have ever worked with
@@ -158,3 +164,128 @@ def lines(block: str) -> list[str]:
 
 ABUSIVE_LINES = [x.replace("\0", "\n") for x in lines(ABUSIVE)]
 PLAIN_LINES = PLAIN.split("\n")
+
+
+FRESH_ABUSIVE = r"""
+Only a lobotomised baboon could merge something this bad, you clown
+Your notebook is trash and so are you
+I bet your parents wish they had never had you
+Grow a brain, you snivelling little weasel
+Stop breathing, nobody will notice
+you absolute waste of skin
+Everything you touch turns to shit because you are an incompetent hack
+why dont you do us all a favour and jump under a train
+Our teacher is a senile old cow
+You r3t4rded m0nkey
+s.h.u.t u.p you fat pig
+th1s 1d10t sh0uld be f1red and spat on
+Eres más tonto que una piedra, subnormal
+Que te den por culo, payaso
+Você é burro feito uma porta, seu animal
+Du hast doch nichts in der Birne, du Pfeife
+Was für ein hirnloser Vollpfosten
+T'es vraiment trop con, pauvre tache
+Espèce de sous-merde
+Sei proprio un deficiente, fai pena
+Ты полный дебил и урод
+本当に頭の悪いクズだな
+你脑子进水了吧，蠢货
+Tomorrow I'm waiting outside your office with a crowbar
+One day somebody will cut the brakes of your car
+I'd gladly put two bullets in that reviewer
+We're going to drag you out of your house and beat you
+Keep talking and you will lose your teeth
+Your kids won't be safe from me
+you won't leave that building alive
+Te voy a arrancar la cabeza
+Cuando te vea te rajo
+Eu te acho e te encho de porrada
+Ich komme vorbei und schlage dich tot
+On va te retrouver et te saigner
+Ti aspetto sotto casa e ti spezzo le gambe
+夜中に家に行って刺すからな
+Все равно я тебя зарежу
+Hindus should be rounded up and put in camps
+Roma people steal because it is in their blood
+There are too many blacks in this city, ship them off
+Lesbians are disgusting and need to be cured
+Albanians? All dealers and pimps, every single one
+Disabled people are a burden and should not be born
+No decent person would rent to a pakistani
+Jews run everything, they are a cancer on the world
+Los rumanos son todos unos delincuentes, que se larguen
+Os venezuelanos só trazem doença e crime, mandem embora
+Türken raus aus unserer Stadt
+Les roms sont une bande de voleurs, qu'ils dégagent
+中国人は汚い、日本から消えろ
+女人就该待在厨房
+I'd love to feel your lips around my cock
+She straddled him and took every inch of his dick
+My pussy is dripping just thinking of you
+Click here for uncensored nude cam girls
+come sit on daddy's lap and I'll make you moan
+he pulled down her panties and went down on her
+Quiero correrme en tus tetas
+Quero gozar dentro de você
+Ich will dich von hinten nehmen, du geile Schlampe
+Je veux te lécher partout, ma salope
+おっぱいを揉みながらやりたい
+想舔你的奶子
+""".strip().split("\n")
+
+FRESH_PLAIN = r"""
+The author argues that insults in forums have risen since 2015
+Pig iron output and scrap prices
+A rat in the maze found the cheese in 30 s
+The bullet points on slide two are wrong
+Heads will roll if the build is red again, joked the lead
+Trash talk is common in sports commentary
+Burn-in of 1000 samples was discarded
+The hammer price of the painting
+Kurdish and Turkish speakers were interviewed
+Albanian exports by sector
+Roma households below the poverty line
+He cut the brakes of the bicycle to length
+An epidemic killed a third of the town in 1349
+Our dog licks everyone
+Licking County, Ohio
+The cam shaft drives the valves
+Uncensored observations enter the likelihood
+Nude lipstick shades in the survey
+A moaning wind is heard in the poem
+Stroke patients were followed for a year
+Finger joints and mortise joints
+Suck the sample into the pipette
+Blow the dust from the lens
+Strip off the insulation
+Mount the drive on the server
+Balls were drawn without replacement
+Queer studies as a discipline
+Gay and lesbian couples adopt more often
+The transgender population was estimated from census data
+Homeless people were counted in one night
+Black and white images have one channel
+White noise is added to the signal
+The slave trade ended in 1807
+He was called an idiot by the press
+Do not feed trolls
+I will find a better optimiser tomorrow
+We are going to drag the slider to the left
+You will lose your changes if you close the tab
+Your kernel is dead, please restart
+Kill -9 leaves no chance to clean up
+This bastard sword dates from 1450
+The bitch whelped nine pups
+Titmice and boobies nest here
+El cerdo ibérico se alimenta de bellotas
+La puta red neuronal no converge, hay que bajar la tasa
+O burro é um animal de carga
+Die Sau hat zehn Ferkel
+Der Hahn und die Henne
+La chatte dort sur le lit
+Les salopettes sont en solde
+La figa di legno non esiste
+女性と子供の健康調査
+障害者雇用率の推移
+中国人口数量变化
+""".strip().split("\n")
