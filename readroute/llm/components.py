@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from readroute.session import Scratch, col, cut
 
 
-def _lookup(rows: DataFrame, key: str, labels: DataFrame, out: str, hot: tuple[int, int]) -> DataFrame:
-    """``rows`` with the label of ``key`` as ``out``; labels are (node, root).
+def _lookup(rows: DataFrame, total: int, key: str, labels: DataFrame, out: str, hot: tuple[int, int]) -> DataFrame:
+    """``rows``, ``total`` of them, with the label of ``key`` as ``out``; labels
+    are (node, root).
 
     ``hot`` is (share, floor): keys with more than 1/share of the rows and
     more than ``floor`` of them, fewer than ``share`` keys, take their labels
@@ -30,7 +31,6 @@ def _lookup(rows: DataFrame, key: str, labels: DataFrame, out: str, hot: tuple[i
     """
     share, floor = hot
     labels = labels.select(F.col("node").alias("__k"), F.col("root").alias("__r"))
-    total = rows.count()
     if total <= floor:  # then no key is hot
         plain = rows.join(labels, F.col(key) == F.col("__k"), "left")
         return plain.withColumn(out, F.coalesce("__r", key)).drop("__k", "__r")
@@ -59,25 +59,27 @@ def connected_components(pairs: DataFrame, left: str, right: str, hot_share: int
 
 def _labels(pairs: DataFrame, a: Column, b: Column, scratch: Scratch, hot: tuple[int, int], max_rounds: int) -> DataFrame:
     links = pairs.filter(a.isNotNull() & b.isNotNull() & (a != b))
-    links = scratch.write(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
-    labels = None
+    # What has to be known of a table is counted while it is written.
+    links, seen = scratch.counted(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
+    labels, n_labels = None, 0
     for _ in range(max_rounds):
-        if links.isEmpty():
+        if not seen["n"]:
             return links.select(F.col("u").alias("node"), F.col("u").alias("root")) if labels is None else labels
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         roots = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
-        roots = scratch.write(roots.select("node", F.least("node", "m").alias("root")))
+        roots, held = scratch.counted(roots.select("node", F.least("node", "m").alias("root")))
         while True:
-            jumped = scratch.write(_lookup(roots, "root", roots, "far", hot))
-            moved = not jumped.filter("far <> root").isEmpty()
+            jumped, got = scratch.counted(_lookup(roots, held["n"], "root", roots, "far", hot), moved=F.count_if(F.col("far") != F.col("root")))
             roots = jumped.select("node", F.col("far").alias("root"))
-            if not moved:
+            if not got["moved"]:
                 break
-        at_u = scratch.write(_lookup(links, "u", roots, "ru", hot))
-        ends = _lookup(at_u, "v", roots, "rv", hot).filter("ru <> rv")
-        links = scratch.write(ends.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+        at_u = _lookup(links, seen["n"], "u", roots, "ru", hot)
+        if seen["n"] > hot[1]:  # its hot keys are looked for in a pass of their own
+            at_u = scratch.write(at_u)
+        ends = _lookup(at_u, seen["n"], "v", roots, "rv", hot).filter("ru <> rv")
+        links, seen = scratch.counted(ends.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
         if labels is None:
-            labels = roots
+            labels, n_labels = roots, held["n"]
         else:
-            labels = scratch.write(_lookup(labels, "root", roots, "far", hot).select("node", F.col("far").alias("root")))
+            labels = scratch.write(_lookup(labels, n_labels, "root", roots, "far", hot).select("node", F.col("far").alias("root")))
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
