@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readroute.functions import fixtures
 from readroute.functions import seq as fn
 from readroute.operators import barcodes, routing, split
 from readroute.operators.anchors import GEX, Options, anchors, atac_interval_column, barcode_hits, gex_interval_column
@@ -164,11 +165,8 @@ def _context(spark: SparkSession, sf_dir: str) -> barcodes.BarcodeContext:
     return barcodes.BarcodeContext(spark, load(spark, sf_dir, "whitelist_atac"), load(spark, sf_dir, "whitelist_gex"))
 
 
-# The adapters around the barcodes of both assays, and the site.
-_GEX_LEFT, _GEX_TAIL = "ACACTCTTTCCCTACACGACGCTCTTCCGATCT", "TTTTTTTTTTTT"
+# Fixed value: the expression adapter with two letters replaced.
 _GEX_DAMAGED = "ACACTCTTTCCCTACACGACTCTCTTACGATCT"
-_ATAC_LEFT, _ATAC_RIGHT = "AATGATACGGCGACCACCGAGATCTACAC", "CGCGTCTGTCGTCGGCAGCGTC"
-_SITE, _SITE_BACK = "AGATGTGTATAAGAGACAG", "CTGTCTCTTATACACATCT"
 
 
 def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +180,7 @@ def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     approximate match may begin elsewhere than where the adapter was put.
     """
     key = F.col("k").cast("string")
-    dna = lambda part: F.translate(F.md5(F.concat(F.lit(part), key)), "0123456789abcdef", "ACGTACGTACGTACGT")
+    dna = lambda part: fixtures.bases(key, part)
     orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 12).alias("arm"), (F.col("o_orderkey") % 24 < 12).alias("forward"))
     lists = load(spark, sf_dir, "whitelist_gex").select("idx", F.col("barcode").alias("g")).join(load(spark, sf_dir, "whitelist_atac").select("idx", F.col("barcode").alias("a")), "idx").filter("not contains(a, 'ATCTAC')")
     rows = orders.join(lists, F.pmod(F.col("k"), F.lit(6000)) == F.col("idx"))
@@ -199,13 +197,13 @@ def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(arm.isin(3, 4, 5, 6, 8, 9), a)
         .otherwise(g)
     )
-    body = F.concat(*[dna(f"i{i}") for i in range(4)])
-    left = F.when(arm == 10, _GEX_DAMAGED).otherwise(_GEX_LEFT)
-    gex = F.concat(left, "bc", F.substring(dna("u"), 1, 12), F.lit(_GEX_TAIL), body)
-    atac = F.concat(F.lit(_ATAC_LEFT), "bc", F.lit(_ATAC_RIGHT + _SITE), body, F.when(arm == 6, "").otherwise(F.lit(_SITE_BACK)))
+    body = fixtures.bases(key, "i", 4)
+    left = F.when(arm == 10, _GEX_DAMAGED).otherwise(fixtures.GEX_LEFT)
+    gex = fixtures.gex_read(F.col("bc"), F.substring(dna("u"), 1, 12), body, left)
+    atac = fixtures.atac_read(F.col("bc"), body, arm == 6)
     built = rows.withColumn("bc", bc).withColumn("seq", F.when(arm == 11, body).when(arm.isin(0, 1, 2, 7, 10), gex).otherwise(atac))
     seq = F.when(F.col("forward"), F.col("seq")).otherwise(fn.complement_reversed(F.col("seq")))
-    return built.select((F.col("k") % 16).cast("int").alias("file_id"), F.col("k").alias("rec_pos"), F.concat(F.lit("@o"), key).alias("header"), seq.alias("seq"), F.repeat(F.lit("I"), F.length("seq")).alias("qual"))
+    return built.select((F.col("k") % 16).cast("int").alias("file_id"), F.col("k").alias("rec_pos"), F.concat(F.lit("@o"), key).alias("header"), seq.alias("seq"), fixtures.qualities(F.col("seq")).alias("qual"))
 
 
 def _routed(spark: SparkSession, sf_dir: str, options: Options = Options(), only_valid: bool = False) -> DataFrame:

@@ -83,6 +83,17 @@ def test_column_functions(spark):
     assert row(fn.tagged_header(F.lit("@r"), fn.tag_array([("CB", F.lit("x")), ("CR", F.lit(None).cast("string")), ("CY", F.lit(""))]))) == "@r CB=x CY="
 
 
+def test_made_up_reads(spark):
+    from readroute.functions import fixtures as fx
+
+    row = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert row(fx.bases(F.lit("k"))) == row(fx.bases(F.lit("k"))) != row(fx.bases(F.lit("l"))) and len(row(fx.bases(F.lit("k"), "b", 3))) == 96
+    assert row(fx.qualities(F.lit("ACGTAC"), "I", [(1, 3, "A"), (5, 9, "B"), (8, 9, "C")])) == "IAAIIB"
+    assert row(fx.gex_read(F.lit("B"), F.lit("U"), F.lit("x"))) == fx.GEX_LEFT + "BU" + fx.GEX_TAIL + "x"
+    assert row(fx.atac_read(F.lit("B"), F.lit("x"))).endswith(fx.SITE + "x" + fx.SITE_BACK)
+    assert row(fx.atac_read(F.lit("B"), F.lit("x"), True)).endswith(fx.SITE + "x")
+
+
 def test_sam_lines(spark, tmp_path):
     lines = ["@HD\tVN:1", "r\t4\tCB=AC UB=GT", "r\t4\tnothing", "r\t4\tUB= CB=", "r\t4\tXCB=1 CB=2", "  r\t4\tCB=9 tail  ", ""]
     want = ["@HD\tVN:1", "r\t4\tCB:Z:AC\tUB:Z:GT\tCB=AC UB=GT", "r\t4\tnothing", "r\t4\tCB:Z:\tUB:Z:\tUB= CB=", "r\t4\tCB:Z:1\tXCB=1 CB=2", "r\t4\tCB:Z:9\tCB=9 tail", ""]
