@@ -106,7 +106,7 @@ def neighbours(h: np.ndarray, c: np.ndarray, first: np.ndarray) -> list[np.ndarr
 def _place(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and mark of keys: the top bits, and others to tell those of one
     bucket apart."""
-    return (keys >> np.uint64(64 - _BITS)).astype(np.int32), (keys >> np.uint64(40 - _BITS)).astype(np.uint8)
+    return (keys >> np.uint64(64 - _BITS)).astype(np.int32), (keys >> np.uint64(48 - _BITS)).astype(np.uint16)
 
 
 @dataclass
@@ -290,7 +290,7 @@ def _weights(x: _Examples, w: np.ndarray, each: float, base: float, z: _Examples
             every[n][1 + k] = v
     # Slight weights of pairs only add noise where buckets collide.
     keys = sorted((k for k, v in every.items() if isinstance(k, int) and abs(v[0]) > 0.02), key=lambda k: abs(every[k][0]))
-    table, marks, kinds = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.uint8), np.zeros((BUCKETS, len(KINDS)), np.float32)
+    table, marks, kinds = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.uint16), np.zeros((BUCKETS, len(KINDS)), np.float32)
     if keys:
         at, mark = _place(np.array(keys, np.uint64))
         values = np.array([every[k] for k in keys])

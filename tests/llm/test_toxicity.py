@@ -47,6 +47,25 @@ def test_held_out_lines(spark, models):
     assert np.mean(false) <= 0.05
 
 
+def test_wording_met_in_tables(spark, models):
+    """Constructions that a round's tables held and its frames did not, in other
+    words, and plain lines taken for them."""
+    foul = ["the intern is a rotten little bootlicker", "what a slimy sack of garbage our boss turned out to be", "typical pensioners, locusts, every single one", "tomorrow they find my colleague in the lake", "he could hardly wait to mount his neighbour while the others watch", "I drag you behind my van"]
+    fine = ["Comparamos fat con protein", "Loser bracket, team 4", "refugees, women and old people are the three groups of table 2", "このセルを実行してください"]
+    learned = {f for k in (*phrases.KINDS, "plain") for f in phrases.frames(k)}
+    assert not learned & {x.lower() for x in foul + fine}
+    assert [x for x, s in zip(foul, scores(spark, models, foul)) if s < toxicity.CASE] == []
+    assert [x for x, s in zip(fine, scores(spark, models, fine)) if s >= toxicity.CASE] == []
+
+
+def test_marks_tell_pairs_of_a_bucket_apart():
+    """A corpus has far more pairs than the table has buckets; with 256 marks
+    one strange pair in some thousand took the weight of another."""
+    keys = (np.uint64(5) << np.uint64(64 - scorer._BITS)) + np.random.default_rng(1).integers(0, 1 << (64 - scorer._BITS), 20_000, np.uint64)
+    at, marks = scorer._place(keys)
+    assert set(at) == {5} and len(set(marks.tolist())) > 10_000
+
+
 def test_frames_left_out(models):
     """Recall on every fifth frame when it is not learned from. Many of these
     are the only ones of their language or wording, so this is a floor."""
