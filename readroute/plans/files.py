@@ -135,7 +135,7 @@ def stream_records(spark, sf_dir, folder):
     """The splitter over a stream of the same reads, in batches of a few files."""
     reads._exact(spark, sf_dir).select("header", "seq", "qual").repartition(4).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("header string, seq string, qual string").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    query = write_routes(stream, reads._context(spark, sf_dir), f"{folder}/out", f"{folder}/state", Options(keep_runoff=True), technical=True)
+    query = write_routes(stream, reads._context(spark, sf_dir), f"{folder}/out", f"{folder}/state", Options(keep_runoff=True), technical=True, spread=reads._tasks(spark))
     query.processAllAvailable()
     query.stop()
     return spark.read.parquet(f"{folder}/out").groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).alias("letters"))

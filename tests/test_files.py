@@ -220,3 +220,23 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r.header[:2], r.route) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("@a", "gex"), ("@b", "other")}
+
+
+def test_stream_of_one_file_is_searched_by_many_tasks(spark, tmp_path, monkeypatch):
+    from readroute.plans import files
+    from readroute.plans import reads as plans
+    from readroute.streaming.routes import write_routes
+
+    spark.createDataFrame([(f"@{i}", "ACGT" * 9, "IIII" * 9) for i in range(60)], "header string, seq string, qual string").coalesce(1).write.parquet(str(tmp_path / "in/1"))
+    wl = spark.createDataFrame([(0, BC[0]), (1, BC[1])], "idx bigint, barcode string")
+    reads = spark.readStream.schema("header string, seq string, qual string").parquet(str(tmp_path / "in/*"))
+    query = write_routes(reads, BarcodeContext(spark, wl, wl), str(tmp_path / "out"), str(tmp_path / "state"), spread=6)
+    query.processAllAvailable()
+    query.stop()
+    made = spark.read.parquet(str(tmp_path / "out"))
+    assert made.count() == 60 and len(made.inputFiles()) == 6
+    # The query over two files a batch deals them out too.
+    told = {}
+    monkeypatch.setattr(files, "write_routes", lambda *a, **kw: told.update(kw) or write_routes(*a, **kw))
+    files.stream_records(spark, "/root/testdata/sf0.001")
+    assert told["spread"] == plans._tasks(spark) > 2
